@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from attestor.llm.bpe import op2_bpe
+from attestor.llm.media import op1_media
 from attestor.llm.sharding import op8_sharding
 from attestor.llm.url_filters import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_url_filters, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_bpe, op3_url_filters, op8_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
