@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from attestor.llm.bpe import op2_bpe
 from attestor.llm.media import op1_media
+from attestor.llm.near_dedup import op10_near_dedup
 from attestor.llm.sharding import op8_sharding
 from attestor.llm.topk import ORACLE as TOP_K_SQL
 from attestor.llm.topk import op4_top_k
 from attestor.llm.toxicity import op5_toxicity
 from attestor.llm.url_filters import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_bpe, op3_url_filters, op4_top_k, op5_toxicity, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_bpe, op3_url_filters, op4_top_k, op5_toxicity, op8_sharding, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": TOP_K_SQL}
