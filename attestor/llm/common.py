@@ -46,6 +46,6 @@ def prefix_sums(df: DataFrame, group: list[str], key: str, ties: list[Column], w
     cut = [*group, "_range"]
     rows = df.withColumn("_range", F.shiftright(F.col(key), 64 - BUCKET_BITS)).withColumn("_weight", weight)
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*cut).agg(F.sum("_weight").alias("_sum")).select(*cut, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = rows.groupBy(*cut).agg(F.sum("_weight").alias("_sum")).select(*cut, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_range_start"))
     inside = Window.partitionBy(*cut).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, cut).withColumn(out, F.col("_start") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))).drop("_range", "_weight", "_start")
+    return rows.join(starts, cut).withColumn(out, F.col("_range_start") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))).drop("_range", "_weight", "_range_start")
