@@ -8,11 +8,12 @@ from attestor.llm.mixing import op9_mixing
 from attestor.llm.near_dedup import op10_near_dedup
 from attestor.llm.quality import op7_quality
 from attestor.llm.sharding import op8_sharding
+from attestor.llm.token_counts import op6_token_counts
 from attestor.llm.topk import ORACLE as TOP_K_SQL
 from attestor.llm.topk import op4_top_k
 from attestor.llm.toxicity import op5_toxicity
 from attestor.llm.url_filters import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_bpe, op3_url_filters, op4_top_k, op5_toxicity, op7_quality, op8_sharding, op9_mixing, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_bpe, op3_url_filters, op4_top_k, op5_toxicity, op6_token_counts, op7_quality, op8_sharding, op9_mixing, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": TOP_K_SQL}
