@@ -193,3 +193,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(described(docs), "document_stats")
     out = scored(stats, fit(stats, labels.where(~held_out(F.col("doc_id")))))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def with_score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
+    """docs with score, in one pass over the texts."""
+    kept = [c for c in docs.columns if c != "score"]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
+    at = kept.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):
+                b = whole.slice(s, 512)
+                x = np.array([statistics(t.as_py()) for t in b.column(at)]).reshape(-1, len(STATISTICS))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=schema.names)
+
+    return docs.select(*kept).mapInArrow(work, schema)

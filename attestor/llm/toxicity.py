@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, supp
             for text, toxic in zip(batch["text"], batch["_toxic"]):
                 for f in counts_of(text):
                     totals.setdefault(f, [0, 0])[int(toxic > 0)] += 1
-            yield pd.DataFrame({"feature": list(totals), "clean": [v[0] for v in totals.values()], "toxic": [v[1] for v in totals.values()]})
+            if totals:
+                yield pd.DataFrame({"feature": list(totals), "clean": [v[0] for v in totals.values()], "toxic": [v[1] for v in totals.values()]})
 
     held = texts.mapInPandas(spread, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     gain = F.col("toxic") - CLEAN_COST * F.col("clean")
@@ -153,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, supp
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [{f: n for f, n in counts_of(t).items() if f in names} for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["_toxic"], "features": [list(x) for x in found], "counts": [list(x.values()) for x in found]})
+            if found:
+                yield pd.DataFrame({"toxic": batch["_toxic"], "features": [list(x) for x in found], "counts": [list(x.values()) for x in found]})
 
     rows = texts.mapInPandas(present, "toxic int, features array<string>, counts array<int>").toPandas()
     toxic = (rows["toxic"] > 0).to_numpy()

@@ -1,5 +1,77 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From raw documents to token ids: toxic documents go, documents of low quality go, one document of each group of near-duplicates stays, sources are mixed to
+their target weights, and what the mix takes is encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Columns besides doc_id, text, lang, source
+and n_chars pass through unread, whatever their names. Rows with null text are documents without words. Of repeated rows the near-duplicate stage keeps one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestor.llm import bpe, mixing, near_dedup, quality, toxicity
+from attestor.llm.common import written
+
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with the columns that no stage knows under names that no operator uses."""
+    return docs.toDF(*(c if c in OWN else f"extra_column_{i}" for i, c in enumerate(docs.columns)))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = _aside(docs)
+    judged = toxicity.judged(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("not toxic").select(*rows.columns).toDF(*docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = _aside(docs)
+    model = quality.fit(written(quality.described(rows), "document_stats"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_score(rows, model).where("score >= 0.5").select(*rows.columns).toDF(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group."""
+    rows = _aside(docs)
+    found = written(near_dedup.near_duplicates(rows, percent=80), "near_duplicates")
+    lost = written(found.where("not kept").select("doc_id").distinct(), "lost_ids")
+    few = lost.count() <= near_dedup.BROADCAST_IDS
+    kept = rows.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*rows.columns).toDF(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix runs through a document; the last of a source may end inside one."""
+    rows = _aside(docs)
+    return mixing.mixed(rows).select(*rows.columns).toDF(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids: the token ids of every row."""
+    return bpe.encoded(_aside(docs), bpe.tokenizer_path(spark), keep=("doc_id", "lang", "source"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: Model fitting, MinHash and byte-pair encoding have no SQL form.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
