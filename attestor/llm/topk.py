@@ -1,9 +1,10 @@
 """Operator 4: exact top-k by integer inner product, with segment statistics from coarse to fine.
 
-A vector is cut into 1, 4 and 16 segments. With a segment's mean m and deviation s over L components, the inner product of two vectors is at most
+A vector is cut into 1, 4, 16 and 32 segments. With a segment's mean m and deviation s over L components, the inner product of two vectors is at most
 the sum over segments of L (m m' + s s'), by Cauchy-Schwarz on the parts around the means; that is, twice the inner product plus the lower bound of the squared
 distance is at most the sum of the squared norms. Bounds are taken level by level for the pairs that the level before has left; the exact integer
-products of the survivors decide. A pair is dropped only if its bound is under the k-th best score found so far for its query, so results are exact.
+products of the survivors decide. A pair is dropped only if its bound is under the k-th best score found so far for its query, so results are exact. On vectors without structure the
+bounds drop little, and nearly all pairs are multiplied.
 
 Queries lie in the shared folder in blocks of bounded size. Each task holds one bounded chunk of candidates and goes through the blocks; a chunk and a
 block give k rows for each query at most, and the last ranking sees only those.
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import written
 
-LEVELS = (1, 4, 16)
-CHUNK = 16_384  # candidates at once
-BLOCK = 512  # queries at once
-BLOCKS_PER_GROUP = 64  # blocks handed to the tasks of one pass
+LEVELS = (1, 4, 16, 32)
+CHUNK = 8_192  # candidates at once
+BLOCK = 128  # queries at once
+BLOCKS_PER_GROUP = 256  # blocks handed to the tasks of one pass
 
 
 def usable(vector: Column) -> Column:
@@ -50,53 +51,63 @@ def statistics(x: np.ndarray, parts: int) -> np.ndarray:
     return np.hstack([sums / np.sqrt(sizes), spread])
 
 
+def in_53_bits(q: np.ndarray, c: np.ndarray) -> bool:
+    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**53
+
+
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Row by row inner products, exact: in floating point where every partial sum is below 2**53, else in whole numbers of any size, held within 64 bits at the end."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if most < 2**53:
-        return np.einsum("ij,ij->i", q.astype(np.float64), c.astype(np.float64)).astype(np.int64)
-    exact = (q.astype(object) * c.astype(object)).sum(axis=1)
-    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in exact], np.int64)
-
-
-def best_of_chunk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of c, score) of each query's k best candidates of other ids, ties to the smaller id. c must be in the order of its ids."""
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
-    slack = 1e-9 * np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(cf, axis=1)[None, :].max(initial=1) + 1e-6
-    bound = statistics(qf, LEVELS[0]) @ statistics(cf, LEVELS[0]).T
-    own = q_ids[:, None] == c_ids[None, :]
-    bound[own] = -np.inf
-    take = min(k, c.shape[0])
-
-    def exact(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        out = np.empty(len(rows), np.int64)
-        for s in range(0, len(rows), 65_536):
-            out[s : s + 65_536] = products(q[rows[s : s + 65_536]], c[columns[s : s + 65_536]])
-        return out
-
-    # A floor for each query: the k-th best exact score among the candidates that the finest level ranks first.
-    finest = statistics(qf, LEVELS[-1]) @ statistics(cf, LEVELS[-1]).T
-    finest[own] = -np.inf
-    seeds = np.argpartition(finest, -take, axis=1)[:, -take:]
-    rows = np.repeat(np.arange(len(q)), take)
-    scores = exact(rows, seeds.ravel()).astype(np.float64)
-    scores[np.isneginf(finest[rows, seeds.ravel()])] = -np.inf
-    floor = scores.reshape(-1, take).min(axis=1) if take == k else np.full(len(q), -np.inf)
-    alive = (bound + slack >= floor[:, None]) & ~own
-    for parts in LEVELS[1:-1]:
-        r, col = np.nonzero(alive)
-        if len(r) > alive.size // 8:
-            alive &= statistics(qf, parts) @ statistics(cf, parts).T + slack >= floor[:, None]
-        else:
-            keep = np.einsum("ij,ij->i", statistics(qf, parts)[r], statistics(cf, parts)[col]) + slack[r, 0] >= floor[r]
-            alive[r[~keep], col[~keep]] = False
-    alive &= finest + slack >= floor[:, None]
-    r, col = np.nonzero(alive)
-    scores = exact(r, col)
-    order = np.lexsort((c_ids[col], ~scores, r))  # ~ turns the order without overflow
-    r, col, scores = r[order], col[order], scores[order]
-    rank = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[rank < k], col[rank < k], scores[rank < k]
+    """All inner products, exact: in floating point where every partial sum is below 2**53, else in whole numbers of any size, held within 64 bits at the end."""
+    if in_53_bits(q, c):
+        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    exact = q.astype(object) @ c.astype(object).T
+    return np.vectorize(lambda x: max(-(2**63), min(2**63 - 1, x)), otypes=[np.int64])(exact)
+
+
+class Chunk:
+    """Candidates of one length in the order of their ids, with their statistics at every level."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        floats = self.vectors.astype(np.float64)
+        self.levels = [statistics(floats, parts) for parts in LEVELS]
+        self.norm = float(np.linalg.norm(floats, axis=1).max(initial=1))
+
+    def best(self, q_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, row here, score) of each query's k best candidates of other ids, ties to the smaller id, as far as they reach `floor`: the query's k-th best score so far, which is raised."""
+        own = list(zip(np.searchsorted(self.ids, q_ids), np.searchsorted(self.ids, q_ids, side="right"), strict=True))
+
+        def without_own(grid: np.ndarray, worst: float) -> None:
+            for row, (low, high) in enumerate(own):
+                grid[row, low:high] = worst
+
+        if np.isneginf(floor).any() and len(self.ids) > k:
+            seeds = products(q, self.vectors[: min(1024, len(self.ids))]).astype(np.float64)
+            without_own(seeds, -np.inf)
+            if seeds.shape[1] >= k:
+                np.maximum(floor, np.partition(seeds, -k, axis=1)[:, -k], out=floor)
+        floats = q.astype(np.float64)
+        least = (floor - 1e-9 * np.linalg.norm(floats, axis=1) * self.norm - 1e-6)[:, None]
+        alive = np.ones((len(q), len(self.ids)), bool)
+        without_own(alive, False)
+        for parts, own_stats in zip(LEVELS, self.levels, strict=True):
+            columns = np.flatnonzero(alive.any(axis=0))
+            if not len(columns):
+                break
+            if len(columns) == len(self.ids):
+                alive &= statistics(floats, parts) @ own_stats.T >= least
+            else:
+                alive[:, columns] &= statistics(floats, parts) @ own_stats[columns].T >= least
+        columns = np.flatnonzero(alive.any(axis=0))  # survivors of any query of the block
+        scores = products(q, self.vectors[columns])
+        r, x = np.nonzero(alive[:, columns] & (scores >= floor[:, None]))
+        col, scores = columns[x], scores[r, x]
+        order = np.lexsort((self.ids[col], ~scores, r))  # ~ turns the order without overflow
+        r, col, scores = r[order], col[order], scores[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        last = rank == k - 1
+        floor[r[last]] = np.maximum(floor[r[last]], scores[last])
+        return r[rank < k], col[rank < k], scores[rank < k]
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", factor: float = 256.0) -> DataFrame:
@@ -128,17 +139,17 @@ def _against(candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         blocks += [(d, ids[s : s + BLOCK], x[s : s + BLOCK]) for s in range(0, len(ids), BLOCK)]
     sent = spark.sparkContext.broadcast(blocks)
 
-    def chunk_best(chunk: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        chunk = chunk.sort_values("id", kind="stable")
-        for d, part in chunk.groupby(chunk["v"].map(len)):
-            c_ids, c = part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64).reshape(-1, d)
-            for bd, q_ids, q in sent.value:
-                if bd == d:
-                    for s in range(0, len(q_ids), 128):
-                        r, col, score = best_of_chunk(q_ids[s : s + 128], q[s : s + 128], c_ids, c, k)
-                        yield pd.DataFrame({"query_id": q_ids[s : s + 128][r], "vec_id": c_ids[col], "score": score})
-
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floors = [np.full(len(q_ids), -np.inf) for _, q_ids, _ in sent.value]
+
+        def chunk_best(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for d, part in rows.groupby(rows["v"].map(len)):
+                chunk = Chunk(part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64).reshape(-1, d))
+                for (bd, q_ids, q), floor in zip(sent.value, floors, strict=True):
+                    if bd == d:
+                        r, col, score = chunk.best(q_ids, q, k, floor)
+                        yield pd.DataFrame({"query_id": q_ids[r], "vec_id": chunk.ids[col], "score": score})
+
         held, n = [], 0
         for batch in batches:
             for s in range(0, len(batch), CHUNK):

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.llm.topk import ORACLE, best_of_chunk, op4_top_k, statistics, top_k
+from attestor.llm.topk import ORACLE, Chunk, op4_top_k, statistics, top_k
 
 
 def brute(rows, k, every):
@@ -25,7 +25,9 @@ def test_bounds_hold_and_results_are_exact(d):
     for parts in (1, 4, 16):
         s = statistics(x.astype(float), parts)
         assert (s @ s.T - x @ x.T > -1e-6).all()
-    r, c, score = best_of_chunk(ids[::50], x[::50], ids, x, 5)
+    floor = np.full(6, -np.inf)
+    r, c, score = Chunk(ids, x).best(ids[::50], x[::50], 5, floor)
+    assert not np.isneginf(floor).any()
     rows = [(int(i), [v / 256 for v in x[i]]) for i in ids]
     assert sorted(zip(ids[::50][r].tolist(), c.tolist(), score.tolist())) == sorted((q, i, s) for q, _, i, s in brute(rows, 5, 50))
 
