@@ -29,7 +29,7 @@ def difference(spark, con, name, query, sql, sf):
     rel = con.sql(sql)
     if sorted(rel.columns) != names:
         return f"columns {names} and {sorted(rel.columns)}"
-    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]", "void": "INTEGER"}
+    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]", "array<bigint>": "BIGINT[]", "void": "INTEGER"}
     types = dict(zip(rel.columns, map(str, rel.types)))
     odd = [(n, t, types[n]) for n, t in df.dtypes if kinds.get(t, t) != types[n]]
     if odd:
