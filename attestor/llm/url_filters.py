@@ -97,7 +97,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     return (
         split.join(reputation, "host", "left")
         .withColumn("_rule", rule)
-        .select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), F.col("rate").alias("bad_rate"), F.col("lower").alias("bad_rate_lower"))
+        .select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), F.round("rate", 6).alias("bad_rate"), F.round("lower", 6).alias("bad_rate_lower"))
     )
 
 
@@ -106,3 +106,24 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return judge(pages, labels)
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda out: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if out == 'rule' else v}'" for v, h, p in rules) + " END"
+    strength = lambda t: f"(SELECT coalesce(least(greatest(m * (1 - m) / greatest(q / w - m * m - m * (1 - m) * k / w, 1e-9) - 1, 2.0::DOUBLE), 200.0::DOUBLE), 200.0::DOUBLE) FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, b / w)) AS m FROM (SELECT sum(n)::DOUBLE AS w, sum(bad)::DOUBLE AS b, sum(bad * bad / n)::DOUBLE AS q, count(*)::DOUBLE AS k FROM {t} WHERE n > 0)))"
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT host, count(*) AS pages, count(quality) AS n, coalesce(sum(1 - quality), 0)::DOUBLE AS bad FROM p LEFT JOIN labels ON doc_id = page_id GROUP BY 1),
+l AS (SELECT *, string_split(host, '.') AS parts FROM o),
+k AS (SELECT *, len(parts) > 2 AND length(parts[-1]) = 2 AND parts[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AS two FROM l),
+h AS (SELECT host, pages, n, bad, CASE WHEN two THEN parts[-2] || '.' || parts[-1] ELSE parts[-1] END AS suffix, array_to_string(parts[greatest(len(parts) - CASE WHEN two THEN 2 ELSE 1 END, 1):], '.') AS domain FROM k),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
+s1 AS (SELECT suffix, (bad + {strength("s")} * (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM s)) / (n + {strength("s")}) AS m1 FROM s),
+d1 AS (SELECT domain, (bad + {strength("d")} * m1) / (n + {strength("d")}) AS m2 FROM d JOIN s1 USING (suffix)),
+h1 AS (SELECT host, (bad + {strength("h")} * m2) / (n + {strength("h")}) AS mean, n + {strength("h")} AS total FROM h JOIN d1 USING (domain)),
+v AS (SELECT host, mean, greatest(0, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (total + 1))) AS lower FROM h1)
+SELECT page_id, host, path, {case("rule")} AS rule, coalesce({case("verdict")}, CASE WHEN lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_rate, round(lower, 6) AS bad_rate_lower FROM p JOIN v USING (host)
+"""
