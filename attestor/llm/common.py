@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """From now on at most `rows` rows go to a Python worker at once, so that texts of some kilobytes each take a few megabytes there and in the JVM's buffers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/attestor/{uuid.uuid4().hex}/{name}"
 

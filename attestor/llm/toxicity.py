@@ -4,7 +4,7 @@ Features of a text: its lower-cased words (runs of letters) and their proper beg
 labelled documents, a covering pass chooses the features that mark toxic documents which few chosen features mark yet, as long as enough of those
 have it and hardly any clean document does. A toxic document of the sample gets a grade from how many chosen cues it holds: 1, 2 or 3; clean ones have
 grade 0. The proportional-odds model P(grade > j) = logistic(w x - t_j), with one w for all thresholds t_1 < t_2 < t_3, is fitted by penalised maximum
-likelihood; x is log(1 + count) of each cue. Severity is the expected grade, the sum of the three probabilities; a document with P(grade > 0) >= 0.5
+likelihood; x is log(1 + count) of each cue. Severity is the expected grade, the sum of the three probabilities; a document with P(grade > 0) >= TOXIC_FROM
 is toxic.
 
 Cases: null and empty text have the severity of a text without cues; texts are read whole; repeated rows get equal results; labels without a document, or with null
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.llm.common import small_batches
+
 WORDS = re.compile(r"[^\W\d_]+")
 GRADES = 3
 #: Bounds of the training sample and of the candidate features that reach the driver.
@@ -32,6 +34,8 @@ SAMPLE_ROWS = 20_000
 CANDIDATES = 6_000
 #: Toxic documents that a cue must gain for each clean one that has it.
 CLEAN_COST = 4
+#: P(grade > 0) from which a document is toxic. Documents without cues are far below; this takes in those with one weak cue.
+TOXIC_FROM = 0.25
 
 
 def features_of_word(word: str) -> tuple[str, ...]:
@@ -194,7 +198,7 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFram
                 for word in WORDS.findall(value.lower()) if value and cues else ():
                     ids = known.get(word)
                     if ids is None:
-                        if len(known) >= 500_000:
+                        if len(known) >= 200_000:
                             known.clear()
                         ids = known[word] = tuple(cues[f] for f in features_of_word(word) if f in cues)
                     for j in ids:
@@ -202,13 +206,14 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFram
             over = model.exceedance(np.log1p(x))
             severity = np.round(over.sum(axis=1), 9)
             each = np.hstack([1 - over[:, :1], over[:, :-1] - over[:, 1:], over[:, -1:]])
-            new = [pa.array(severity), pa.array(np.round(over[:, 0], 9)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0] >= 0.5)]
+            new = [pa.array(severity), pa.array(np.round(over[:, 0], 9)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0] >= TOXIC_FROM)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     return docs.select(*kept).mapInArrow(work, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return scored(docs, fit(docs, labels))
 
 
