@@ -362,10 +362,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = MISS) -> D
         if more is comps:
             break
         comps = more
-    if not few.isEmpty():
-        left = written(rest(None).select("a", "b").join(few, ["a", "b"], "left_anti"), "rest")
-        if not left.isEmpty():
-            comps = _joined(comps, written(confirmed(left, texts, percent), "confirmed"))
+    # Always: an empty `few` says nothing about pairs that lie further apart in their block than NEIGHBOURS.
+    left = written(rest(None).select("a", "b").join(few, ["a", "b"], "left_anti"), "rest")
+    if not left.isEmpty():
+        comps = _joined(comps, written(confirmed(left, texts, percent), "confirmed"))
 
     named = classes.select("set_key", F.col("rep"))
     named = _labelled(named, "rep", comps, "component") if comps is not None else named.withColumn("component", F.col("rep"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from attestor.llm import near_dedup
 from attestor.llm.near_dedup import Shingler, components, least_matches, near_duplicates, op10_near_dedup, posterior_at_least, signature
 
 
@@ -106,6 +107,22 @@ def test_against_all_pairs(spark, percent):
     assert got == want
 
 
+def test_far_pair_in_one_bucket(spark, monkeypatch):
+    """One bucket of 1000 classes whose only true pair is neither with the hub nor among near rows of the bucket."""
+    near, far = 400, 900
+    rng = np.random.default_rng(7)
+    sigs = rng.integers(0, 2**16, (1000, near_dedup.HASHES), dtype=np.uint16)
+    sigs[far] = sigs[near]
+    text = lambda i: " ".join(f"w{near if i == far else i}x{k}" for k in range(40)) + (" end" if i == far else "")
+    rows = [(i, text(i)) for i in range(1000)]
+    sketches = [(i, len(shingles(t)), i.to_bytes(4, "big"), sigs[i].tobytes(), [1]) for i, t in rows]
+    sketches = spark.createDataFrame(sketches, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    monkeypatch.setattr(near_dedup, "sketched", lambda docs: sketches)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85).collect()}
+    assert got == {i: near if i == far else i for i in range(1000)}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (3, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(df).collect())
