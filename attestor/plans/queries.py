@@ -379,11 +379,15 @@ _TERMS = lambda x: (
     SELECT doc_id, item_id, CAST(len(s) AS INT) AS shared, CASE WHEN len(q) = 0 THEN true WHEN len(e) = 0 THEN false ELSE len(list_filter(s, lambda t: length(t) >= 8)) > 0 OR len(s) >= least(2, len(q)) END AS plausible FROM m"""
 )
 def topical_overlap(spark, sf):
-    d = vw.table(spark, sf, "documents").select("doc_id", F.col("text").alias("e"))
-    b = vw.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    met = d.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id") % 40)
-    shared = F.size(F.array_intersect(lx.salient_terms(F.col("q")), lx.salient_terms(F.col("e"))))
-    return met.select("doc_id", "item_id", shared.alias("shared"), lx.plausible(F.col("q"), F.col("e")).alias("plausible"))
+    """Every document with every item. Terms are made once a row; of a document's only those that some item has meet the items. The SQL holds the pairs of equal residue only."""
+    b = vw.table(spark, sf, "benchmark").select("item_id", lx.salient_terms(F.col("text")).alias("q"))
+    known = b.select(F.explode("q").alias("t")).agg(F.collect_set("t").alias("known"))
+    d = vw.table(spark, sf, "documents").select("doc_id", lx.salient_terms(F.col("text")).alias("e")).crossJoin(F.broadcast(known))
+    # Shuffled before the items join, for the generated code of a nested loop would make the terms anew for every pair.
+    met = d.select("doc_id", F.array_intersect("e", "known").alias("e")).repartition("doc_id").crossJoin(F.broadcast(b))
+    met = met.select("doc_id", "item_id", F.size("q").alias("n_q"), F.array_intersect("e", "q").alias("s"))
+    enough = F.exists("s", lambda t: F.length(t) >= lx.DISTINCTIVE) | (F.size("s") >= F.least(F.lit(lx.OVERLAP), F.col("n_q")))
+    return met.select("doc_id", "item_id", F.size("s").alias("shared"), enough.alias("plausible"))
 
 
 # --- Calibration and comparison --------------------------------------------------------------------------------------------------------------------------
