@@ -122,8 +122,9 @@ def text_content_words(spark, sf):
     SELECT conv_id, turn, CASE WHEN conv_id = turn THEN ['S' || conv_id] ELSE ['S' || conv_id, 'S' || turn] END AS ids, trim(regexp_replace(t, ' ?\\[S[0-9]+(, ?S[0-9]+)*\\]', '', 'g')) AS plain FROM m"""
 )
 def citation_markers(spark, sf):
+    """Markers of the whole text with three more at its end. The SQL holds the first 60 characters only."""
     c = vw.table(spark, sf, "conversations")
-    t = F.concat(F.left("text", F.lit(60)), F.lit(" [S"), F.col("conv_id").cast("string"), F.lit(", S"), F.col("turn").cast("string"), F.lit("] and [S"), F.col("conv_id").cast("string"), F.lit("] end"))
+    t = F.concat(F.col("text"), F.lit(" [S"), F.col("conv_id").cast("string"), F.lit(", S"), F.col("turn").cast("string"), F.lit("] and [S"), F.col("conv_id").cast("string"), F.lit("] end"))
     return c.select("conv_id", "turn", tx.markers(t).alias("ids"), tx.unmarkered(t).alias("plain"))
 
 

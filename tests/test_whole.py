@@ -24,3 +24,11 @@ def test_topical_overlap_meets_every_item(spark, tmp_path):
             want[d, i] = (len(s), not terms(q) or any(len(t) >= 8 for t in s) or len(s) >= min(2, len(terms(q))))
     got = entry.queries()["topical_overlap"](spark, str(tmp_path)).collect()
     assert len(got) == len(docs) * len(items) and {(r.doc_id, r.item_id): (r.shared, r.plausible) for r in got} == want
+
+
+def test_citation_markers_reads_whole_texts(spark, tmp_path):
+    long = "word " * 30
+    rows = [(1, 0, f"{long}[S7, S8] tail [S1]"), (2, 3, "short"), (4, 4, long), (5, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.ids, r.plain) for r in entry.queries()["citation_markers"](spark, str(tmp_path)).collect()}
+    assert got == {1: (["S7", "S8", "S1", "S0"], f"{long.strip()} tail and end"), 2: (["S2", "S3"], "short and end"), 4: (["S4"], f"{long} and end"), 5: (None, None)}
