@@ -50,7 +50,7 @@ def statistics(text: str | None) -> list[float]:
     counts = Counter(lower)
     lines = [x for x in data.split(b"\n") if x.strip()]
     same_next = sum(map(bytes.__eq__, lower[1:], lower[:-1]))
-    pairs = Counter(zip(lower[::2], lower[1::2]))
+    pairs = Counter(zip(lower, lower[1:]))
     drop = lambda chars: len(data) - len(data.translate(None, chars))
     ends = [w[-1] for w in words]
     return [

@@ -10,6 +10,12 @@ def test_statistics():
     assert not any(statistics(None)) and not any(statistics(" \n"))
 
 
+def test_word_pairs_of_both_parities():
+    """The pair a b stands once at an even place and once at an odd one."""
+    share = STATISTICS.index("repeated_pair_share")
+    assert abs(statistics("x a b y a b")[share] - 0.2) < 1e-12 and statistics("a b c d")[share] == 0
+
+
 def test_isotonic():
     good, total = np.array([0, 3, 0, 1, 9, 0]), np.array([4, 4, 0, 4, 9, 0])
     p = isotonic(good.astype(float), total.astype(float))
