@@ -213,8 +213,9 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFram
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return scored(docs, fit(docs, labels))
+    with small_batches(docs.sparkSession):
+        model = fit(docs, labels)
+    return scored(docs, model)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

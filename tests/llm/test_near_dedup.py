@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from attestor.llm import near_dedup
-from attestor.llm.near_dedup import Shingler, components, least_matches, near_duplicates, op10_near_dedup, posterior_at_least, signature
+from attestor.llm.common import written
+from attestor.llm.near_dedup import Shingler, band_rows, components, least_matches, near_duplicates, op10_near_dedup, posterior_at_least, signature
 
 
 def shingles(text):
@@ -67,9 +68,13 @@ def test_posterior():
         assert posterior_at_least(0.85, m, n) >= 1e-6 and (m == 0 or posterior_at_least(0.85, m - 1, n) < 1e-6)
 
 
+def test_band_rows():
+    assert [band_rows(t) for t in (0.8, 0.85)] == [6, 7] and band_rows(0.05) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), written).collect()}
     assert got == {i: 1 for i in range(2, 61)} | {200: 100, 300: 100}
 
 
@@ -117,12 +122,36 @@ def test_far_pair_in_one_bucket(spark, monkeypatch):
     rows = [(i, text(i)) for i in range(1000)]
     sketches = [(i, len(shingles(t)), i.to_bytes(4, "big"), sigs[i].tobytes(), [1]) for i, t in rows]
     sketches = spark.createDataFrame(sketches, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
-    monkeypatch.setattr(near_dedup, "sketched", lambda docs: sketches)
+    monkeypatch.setattr(near_dedup, "sketched", lambda docs, rows: sketches)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85).collect()}
     assert got == {i: near if i == far else i for i in range(1000)}
 
 
+def test_blocks_and_fans(spark, monkeypatch):
+    """The same result where buckets are cut into many blocks and hubs into many parts."""
+    rows = list(enumerate(varied(random.Random(5), 400)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("BLOCK", 7), ("SHINGLES", 900), ("FAN", 5), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, 80).collect()}
+    assert got == brute(rows, 80)
+
+
+def test_drifted_family(spark):
+    """A family in which many pairs lie just under the threshold, so that hubs settle little of it."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == brute(rows, 85)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (3, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(df).collect())
