@@ -2,7 +2,9 @@
 their target weights, and what the mix takes is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Columns besides doc_id, text, lang, source
-and n_chars pass through unread, whatever their names. Rows with null text are documents without words. Of repeated rows the near-duplicate stage keeps one.
+and n_chars pass through unread, whatever their names. Rows with null text are documents without words; an empty text is neither toxic nor a near-duplicate.
+Texts of any length are read whole. Of repeated rows, and of rows with one doc_id, the near-duplicate stage keeps one; between copies the smaller doc_id stays.
+Every stage turns an empty table into an empty one.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import bpe, mixing, near_dedup, quality, toxicity
-from attestor.llm.common import written
+from attestor.llm.common import scratch, written
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,20 +32,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only labelled texts are described for the fit; all are in the pass that scores them."""
     rows = _aside(docs)
-    model = quality.fit(written(quality.described(rows), "document_stats"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    with scratch(spark) as keep:
+        known = keep(labels.where("doc_id is not null and quality is not null").select("doc_id").distinct(), "labelled_ids")
+        model = quality.fit(keep(quality.described(rows.join(near_dedup.bounded(known), "doc_id", "left_semi")), "document_stats"), labels)
     return quality.with_score(rows, model).where("score >= 0.5").select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group."""
+    """Keeps the document with the smallest doc_id of each group; rows of one doc_id are one group, whatever their texts, and the one with the smallest hash of its text stays."""
     rows = _aside(docs)
-    found = written(near_dedup.near_duplicates(rows, percent=80), "near_duplicates")
+    found = near_dedup.near_duplicates(rows, percent=80)
     lost = written(found.where("not kept").select("doc_id").distinct(), "lost_ids")
-    few = lost.count() <= near_dedup.BROADCAST_IDS
-    kept = rows.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated_ids")
+    kept = rows.join(near_dedup.bounded(lost), "doc_id", "left_anti")
+    if not again.isEmpty():
+        whole, order = F.struct(*rows.columns), F.struct(F.xxhash64("text"), F.col("text"))
+        one = kept.join(near_dedup.bounded(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
+        kept = kept.join(near_dedup.bounded(again), "doc_id", "left_anti").unionByName(one)
     return kept.select(*rows.columns).toDF(*docs.columns)
 
 
