@@ -3,7 +3,7 @@
 A vector is cut into 1, 4, 16 and 32 segments. With a segment's mean m and deviation s over L components, the inner product of two vectors is at most
 the sum over segments of L (m m' + s s'), by Cauchy-Schwarz on the parts around the means; that is, twice the inner product plus the lower bound of the squared
 distance is at most the sum of the squared norms. Bounds are taken level by level for the pairs that the level before has left; the exact integer
-products of the survivors decide. A pair is dropped only if its bound is under the k-th best score found so far for its query, so results are exact. On vectors without structure the
+products of the survivors decide. A pair is dropped only if its bound, with the proven rounding error added, is under the k-th best score found so far for its query, so results are exact. On vectors without structure the
 bounds drop little, and nearly all pairs are multiplied.
 
 Queries lie in the shared folder in blocks of bounded size. Each task holds one bounded chunk of candidates and goes through the blocks; a chunk and a
@@ -11,7 +11,7 @@ block give k rows for each query at most, and the last ranking sees only those.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of different lengths are never compared; components whose
 rounded form is beyond 2**62 are held there; scores are held within 64 bits; a query with fewer than k candidates
-has fewer rows; repeated ids are rows of their own, except that a query meets no row of its own id; ties go to the smaller id; empty tables give an empty result.
+has fewer rows; columns besides the id and the vector are not read, whatever their names; repeated ids are rows of their own, except that a query meets no row of its own id; ties go to the smaller id; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -42,13 +42,18 @@ def scaled(vector: Column, factor: float) -> Column:
 
 
 def statistics(x: np.ndarray, parts: int) -> np.ndarray:
-    """Rows of sqrt(L) * (means, deviations) of x (float64) in `parts` segments: the product of two such rows bounds the inner product."""
+    """Rows of sqrt(L) * (means, deviations) of x (float64) in `parts` segments: the product of two such rows bounds the inner product, but for rounding (`slack`). Deviations are those of centred components, so that a large common offset cancels nothing."""
     edges = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
     sizes = np.diff(edges)
     sums = np.add.reduceat(x, edges[:-1], axis=1)
-    squares = np.add.reduceat(x * x, edges[:-1], axis=1)
-    spread = np.sqrt(np.maximum(squares - sums * sums / sizes, 0.0))
-    return np.hstack([sums / np.sqrt(sizes), spread])
+    centred = x - np.repeat(sums / sizes, sizes, axis=1)
+    return np.hstack([sums / np.sqrt(sizes), np.sqrt(np.add.reduceat(centred * centred, edges[:-1], axis=1))])
+
+
+def slack(d: int) -> float:
+    """What rounding can take from a bound, over the product of the two norms. With d components of unit roundoff u = 2**-53, a segment's scaled mean and deviation are each off by at most (d + 3) u times the
+    segment's norm (d additions, the centring, the conversion of whole numbers beyond 2**53), their products by twice that, and the dot product of the statistics and the score by (d + 2) u each: under 8 (d + 3) u."""
+    return 8 * (d + 3) * 2.0**-53
 
 
 def in_53_bits(q: np.ndarray, c: np.ndarray) -> bool:
@@ -71,7 +76,7 @@ class Chunk:
         self.ids, self.vectors = ids[order], vectors[order]
         floats = self.vectors.astype(np.float64)
         self.levels = [statistics(floats, parts) for parts in LEVELS]
-        self.norm = float(np.linalg.norm(floats, axis=1).max(initial=1))
+        self.norms = np.linalg.norm(floats, axis=1)
 
     def best(self, q_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of q, row here, score) of each query's k best candidates of other ids, ties to the smaller id, as far as they reach `floor`: the query's k-th best score so far, which is raised."""
@@ -87,17 +92,18 @@ class Chunk:
             if seeds.shape[1] >= k:
                 np.maximum(floor, np.partition(seeds, -k, axis=1)[:, -k], out=floor)
         floats = q.astype(np.float64)
-        least = (floor - 1e-9 * np.linalg.norm(floats, axis=1) * self.norm - 1e-6)[:, None]
+        least, own_slack = floor[:, None], slack(q.shape[1]) * np.linalg.norm(floats, axis=1)[:, None]
         alive = np.ones((len(q), len(self.ids)), bool)
         without_own(alive, False)
         for parts, own_stats in zip(LEVELS, self.levels, strict=True):
             columns = np.flatnonzero(alive.any(axis=0))
             if not len(columns):
                 break
+            asked = np.hstack([statistics(floats, parts), own_slack])
             if len(columns) == len(self.ids):
-                alive &= statistics(floats, parts) @ own_stats.T >= least
+                alive &= asked @ np.hstack([own_stats, self.norms[:, None]]).T >= least
             else:
-                alive[:, columns] &= statistics(floats, parts) @ own_stats[columns].T >= least
+                alive[:, columns] &= asked @ np.hstack([own_stats[columns], self.norms[columns, None]]).T >= least
         columns = np.flatnonzero(alive.any(axis=0))  # survivors of any query of the block
         scores = products(q, self.vectors[columns])
         r, x = np.nonzero(alive[:, columns] & (scores >= floor[:, None]))

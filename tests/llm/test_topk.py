@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.llm.topk import ORACLE, Chunk, op4_top_k, statistics, top_k
+from attestor.llm.topk import LEVELS, ORACLE, Chunk, op4_top_k, slack, statistics, top_k
 
 
 def brute(rows, k, every):
@@ -22,7 +22,7 @@ def test_bounds_hold_and_results_are_exact(d):
     x = rng.integers(-200, 200, (300, d))
     x[50:150] = x[50]
     ids = np.arange(300)
-    for parts in (1, 4, 16):
+    for parts in LEVELS:
         s = statistics(x.astype(float), parts)
         assert (s @ s.T - x @ x.T > -1e-6).all()
     floor = np.full(6, -np.inf)
@@ -32,14 +32,34 @@ def test_bounds_hold_and_results_are_exact(d):
     assert sorted(zip(ids[::50][r].tolist(), c.tolist(), score.tolist())) == sorted((q, i, s) for q, _, i, s in brute(rows, 5, 50))
 
 
+@pytest.mark.parametrize("offset", [0, 2**20, 2**26, 2**40])
+def test_large_offsets(offset):
+    """Vectors of a large common offset beside spread ones: a bound may not fall under the true product by more than the proven slack, and the best five are exact."""
+    rng = np.random.default_rng(offset % 1000)
+    for _ in range(10):
+        x = np.vstack([offset + rng.integers(-9, 9, (150, 64)), rng.integers(-(offset + 2), offset + 2, (150, 64))])
+        true = x.astype(object) @ x.astype(object).T
+        norms = np.linalg.norm(x.astype(float), axis=1)
+        for parts in LEVELS:
+            s = statistics(x.astype(float), parts)
+            assert ((s @ s.T + slack(64) * norms[:, None] * norms[None, :]) >= true.astype(float)).all()
+        ids, q = np.arange(300), np.arange(0, 300, 10)
+        r, c, score = Chunk(ids, x).best(q, x[q], 5, np.full(len(q), -np.inf))
+        got = {}
+        for a, b, n in zip(r, c, score):
+            got.setdefault(int(q[a]), []).append((-int(n), int(b)))
+        for i in q:
+            assert got[int(i)] == sorted((-min(max(int(true[i, j]), -(2**63)), 2**63 - 1), j) for j in range(300) if j != i)[:5]
+
+
 def test_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
-    rows += [(200, None), (250, []), (300, [1.0, float("nan"), 0.0, 0.0]), (301, [1.0, None, 2.0, 3.0]), (302, [float("inf")] * 4), (350, [1.0, 2.0]), (351, [1e30, -1e30]), (None, [1.0] * 4)]
-    rows += [(400 + i, [2.0, 2.0, 2.0, 2.0]) for i in range(200)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id is null or vec_id <> 351")
+    rows += [(200, None), (250, []), (300, [1.0, float("nan"), 0.0, 0.0]), (301, [1.0, None, 2.0, 3.0]), (302, [float("inf")] * 4), (350, [1.0, 2.0]), (351, [1e13, -1e13]), (360, [1.0, 3.0]), (401, [-2.0, 5e13]), (None, [1.0] * 4)]
+    rows += [(500 + i, [2.0, 2.0, 2.0, 2.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(1))
     got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
-    assert got == brute([r for r in rows if r[0] != 351], 5, 50)
+    assert got == brute(rows, 5, 50)
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
