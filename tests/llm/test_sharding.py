@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -39,3 +40,23 @@ def test_odd_rows(spark):
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert shard(df.limit(0), "doc_id", [1.0] * 4).count() == 0
+
+
+def test_winner_against_plain_code(spark):
+    """The shard with the largest -w / ln(u), from the hash of every (key, shard) pair."""
+    weights, seed = [1.0, 2.5, 0.0, 0.5], 7
+    hashes = [F.xxhash64(F.col("id"), F.lit(seed), F.lit(i)).alias(f"h{i}") for i in range(len(weights))]
+    for r in spark.range(500).select("id", rendezvous([F.col("id")], weights, seed).alias("shard"), *hashes).collect():
+        draws = [(((r[f"h{i}"] % 2**64) >> 11) + 0.5) / 2**53 for i in range(len(weights))]
+        assert r.shard == max(range(len(weights)), key=lambda i: -weights[i] / math.log(draws[i]))
+
+
+def test_clashing_names_and_ties(spark):
+    rows = [(1, f"text {i}") for i in range(40)] + [(2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_range", "_weight", "_range_start", "_order", "_sum", "slot"):
+        df = df.withColumn(name, F.lit(name))
+    first = shard(df.repartition(7), "doc_id", [1.0] * 3, ties=("text",)).collect()
+    assert all(r[n] == n for r in first for n in ("_range", "_weight", "_range_start", "_order", "_sum"))
+    again = shard(df.repartition(3), "doc_id", [1.0] * 3, ties=("text",)).collect()
+    assert {(r.text, r.shard, r.slot) for r in first} == {(r.text, r.shard, r.slot) for r in again} and len(first) == 41
