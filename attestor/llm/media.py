@@ -1,12 +1,14 @@
 """Operator 1: media columns. Payloads live in tar shards, addressed by the digest of their content; rows carry digest, shard, offset and length, and reads of a few header bytes fill the metadata columns.
 
+A payload has one member in each task that meets it: addressing by content across tasks would send every payload through a shuffle.
+
 The stored form is an 8-bit grayscale PNG of 64 samples a row: lossless, with a private chunk `seXt` behind the image header that holds the payload's
 length before padding. A payload is packed once into a shard, under the name of its SHA-256. Each task writes its own shards, and a shard's name is the
 digest of its bytes: a task that is run again writes the same file, so lost executors leave no half shards and no dangling rows. Rows of one task are in
 the order of shard and offset, and the reading pass keeps that order, so neither pass shuffles and copies are read once for each run of them.
 
 Cases: null text is an empty payload; an empty payload is 64 zero bytes; repeated rows point at the same member; payloads of any length are stored whole;
-an empty table writes no shard; columns named like the new ones are replaced.
+an empty table writes no shard; columns named like the new ones, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
@@ -126,6 +128,7 @@ class ShardWriter:
 
 def stored(rows: DataFrame, folder: str, payload: str = "text", keep: tuple[str, ...] = ("doc_id",), shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Packs the column `payload` (string or binary) into shards under folder, and returns the columns `keep` with digest, shard, offset and length. Runs once, when called; a row is known by its shard only after the shard is closed, and then written."""
+    keep = tuple(c for c in keep if c.lower() not in {f.name for f in LOCATED})
     schema = T.StructType([*(rows.schema[c] for c in keep), *LOCATED])
     n = len(keep)
 
@@ -185,8 +188,8 @@ def with_metadata(rows: DataFrame) -> DataFrame:
 
 
 def with_content(rows: DataFrame) -> DataFrame:
-    """with_metadata, and sizes, digests and the feature from the whole member, read back and checked."""
-    return _read(rows, METADATA + CONTENT, whole=True)
+    """rows with sizes, digests and the feature from the whole member, read back and checked."""
+    return _read(rows, CONTENT, whole=True)
 
 
 def payloads(rows: DataFrame) -> DataFrame:
@@ -196,7 +199,7 @@ def payloads(rows: DataFrame) -> DataFrame:
 
 def _read(rows: DataFrame, fields: list[T.StructField], whole: bool, only_payload: bool = False) -> DataFrame:
     new = {f.name for f in fields}
-    kept = [c for c in rows.columns if c not in new]
+    kept = [c for c in rows.columns if c.lower() not in new]
     schema = T.StructType([*(rows.schema[c] for c in kept), *fields])
 
     def describe(media: bytes) -> tuple:
@@ -206,7 +209,7 @@ def _read(rows: DataFrame, fields: list[T.StructField], whole: bool, only_payloa
         payload = from_png(media)
         if only_payload:
             return (payload[:n_bytes],)
-        return "png", width, height, depth, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload, n_bytes)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload, n_bytes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, last, found = RangeReader(), None, ()
@@ -228,7 +231,7 @@ def _read(rows: DataFrame, fields: list[T.StructField], whole: bool, only_payloa
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = with_content(stored(docs, fresh_path(spark, "media")))
+    rows = with_content(with_metadata(stored(docs, fresh_path(spark, "media"))))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "width", "height", "digest")
 
 

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from attestor.llm.common import fresh_path
 from attestor.llm.media import from_png, op1_media, padded, payloads, png_header, stored, to_png, with_content, with_metadata
@@ -32,7 +33,7 @@ def test_rows(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, width long")
     folder = fresh_path(spark, "media")
     rows = stored(df, folder, shard_bytes=1000)
-    got = with_content(rows).collect()
+    got = with_content(with_metadata(rows)).collect()
     assert len(got) == len(ROWS)
     text = {r[0]: (r[1] or "").encode() for r in ROWS}
     for r in got:
@@ -65,3 +66,23 @@ def test_query_against_plain_code(spark):
         whole = padded(text[r.doc_id])
         media = to_png(whole, len(text[r.doc_id]))
         assert (r.payload_sha256, r.media_bytes, r.media_sha256) == (hashlib.sha256(whole).hexdigest(), len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame(ROWS[1:4], "doc_id long, text string, width long").withColumn("digest", F.lit("old")).withColumn("Shard", F.lit("old"))
+    got = with_content(with_metadata(stored(df, fresh_path(spark, "media"), keep=("doc_id", "digest", "Shard", "width")))).collect()
+    assert len(got) == 3 and all(r.width == 64 and r.digest != "old" and r.shard.endswith(".tar") for r in got)
+
+
+def test_metadata_reads_headers_only(spark):
+    """The metadata is there even where the samples behind the header are damaged."""
+    folder = fresh_path(spark, "media")
+    rows = stored(spark.createDataFrame(ROWS[2:3], "doc_id long, text string, width long"), folder)
+    place = rows.first()
+    shard = Path(place.shard.removeprefix("file:"))
+    data = bytearray(shard.read_bytes())
+    data[place.offset + 70] ^= 1
+    shard.write_bytes(bytes(data))
+    assert with_metadata(rows).first().n_bytes == 6
+    with pytest.raises(Exception, match="damaged"):
+        with_content(rows).collect()
