@@ -46,7 +46,7 @@ def test_deltas(spark):
 def test_unfinished_batches_do_not_count(spark):
     store = Rollup(spark, fresh_path(spark, "counts"))
     rows = spark.createDataFrame([(1, "a", "en", "v", 3)], COUNTS)
-    inserts(rows).selectExpr("source", "lang", "tokenizer_version", "1L as documents", "99L as tokens").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{store.path}/deltas/x")
+    inserts(rows).selectExpr("source", "lang", "tokenizer_version", "1L as documents", "99L as tokens").write.parquet(f"{store.path}/unfinished/x")
     assert as_dict(store.totals()) == {} and store.commit("x", inserts(rows)) and as_dict(store.totals()) == {("a", "en", "v"): (1, 3)}
     with pytest.raises(Exception, match="unknown op"):
         store.commit("y", inserts(rows).selectExpr("'odd' as op", *[c for c in inserts(rows).columns if c != "op"]))
@@ -54,6 +54,31 @@ def test_unfinished_batches_do_not_count(spark):
         store.commit("../z", inserts(rows))
 
 
+def test_two_writers_and_a_commit_during_compaction(spark, monkeypatch):
+    store = Rollup(spark, fresh_path(spark, "counts"))
+    rows = spark.createDataFrame([(1, "a", "en", "v", 3)], COUNTS)
+    store.commit("a", inserts(rows))
+    # Both writers have seen that the id is free; the second finds it taken when it renames.
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, "batches", lambda self: set())
+        assert not store.commit("a", inserts(rows)) and as_dict(store.totals()) == {("a", "en", "v"): (1, 3)}
+    # A batch that comes while the deltas are summed is not in the compaction, and counts beside it.
+    real = Rollup._totals
+
+    def slow(self, folded, ids, deltas):
+        out = real(self, folded, ids, deltas)
+        if "b" not in self.batches():
+            self.commit("b", inserts(rows))
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, "_totals", slow)
+        store.compact()
+    assert store.batches() == {"a", "b"} and as_dict(store.totals()) == {("a", "en", "v"): (2, 6)}
+    store.compact()
+    assert as_dict(store.totals()) == {("a", "en", "v"): (2, 6)} and store._list(f"{store.path}/deltas") == ["b"]
+
+
 def test_query_against_plain_code(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
