@@ -5,7 +5,7 @@ suffix, that of a host to its domain, each through a beta-binomial prior whose s
 A host is blocked when the lower bound of its posterior bad rate is above a threshold. Rules, where one fits, decide instead.
 
 Cases: a null URL or one without `://` has host and path '' and takes the reputation of all pages; a page without an outcome counts for no rate;
-repeated outcomes for one page count once each; no outcomes at all: everything is allowed unless a rule blocks it; an empty table gives an empty result.
+repeated outcomes for one page count once each and give no more rows; repeated pages are rows of their own; URLs of any length are read whole; other columns of pages, whatever their names, are not read; no outcomes at all: everything is allowed unless a rule blocks it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of the table of hosts that is broadcast at most.
+BROADCAST_BYTES = 64 << 20
 #: (verdict, host, path) in force.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -63,7 +67,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, floor: float = 2.0, c
     """
     hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     domain, suffix = levels(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    hosts = written(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")  # read for each level and each prior
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     overall = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).select((F.col("bad") + 0.5) / (F.col("n") + 1.0))
@@ -92,6 +96,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.where("page_id is not null and bad is not null").select("page_id", F.col("bad").cast("int").alias("bad"))
     reputation = host_reputation(split.select("page_id", "host").join(known, "page_id", "left").select("host", "bad"), z)
+    reputation = written(reputation, "reputation")
+    size = reputation.agg(F.coalesce(F.sum(F.octet_length("host") + 48), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:  # else a hot host is split by the join of adaptive execution
+        reputation = F.broadcast(reputation)
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("lower") > threshold, "block").otherwise("allow")
     return (
