@@ -1,6 +1,8 @@
+from collections import Counter
+
 import numpy as np
 
-from attestor.llm.toxicity import counts_of, fit, fit_ordinal, op5_toxicity, scored
+from attestor.llm.toxicity import WORDS, TOXIC_FROM, counts_of, cover, features_of_word, fit, fit_ordinal, graded, op5_toxicity, scored, sparse
 
 SF = "/root/testdata/sf0.01"
 
@@ -14,10 +16,47 @@ def test_thresholds_share_weights_and_stay_in_order():
     rng = np.random.default_rng(0)
     x = rng.exponential(size=(4000, 2))
     z = 2 * x[:, 0] - x[:, 1] + rng.logistic(size=4000)
-    w, t = fit_ordinal(x, np.digitize(z, [0.0, 1.0, 3.0]), penalty=0.0, rounds=3000)
+    w, t = fit_ordinal(sparse(x), np.digitize(z, [0.0, 1.0, 3.0]), penalty=0.0, rounds=3000)
     assert np.allclose(w, [2, -1], atol=0.15) and np.allclose(t, [0, 1, 3], atol=0.2)
 
 
+def test_cover_against_counting_anew():
+    """The lazy cover chooses as one that counts all gains in every round."""
+    rng = np.random.default_rng(5)
+    toxic = [{f"={'abcdefgh'[i]}{'xyz'[j]}" for i, j in rng.integers(0, (8, 3), (4, 2))} for _ in range(80)]
+    clean = Counter({"=ax": 2, "=by": 1})
+    left, chosen, held = sorted(set.union(*toxic)), [], [0] * len(toxic)
+    while True:
+        gain = {f: sum(f in t and h < 3 for t, h in zip(toxic, held)) - 4 * clean[f] for f in left if not any(f[1:].startswith(c[1:]) or c[1:].startswith(f[1:]) for c in chosen)}
+        best = min(gain, key=lambda f: (-gain[f], len(f), f), default=None)
+        if best is None or gain[best] < 3:
+            break
+        chosen.append(best)
+        held = [h + (best in t) for t, h in zip(toxic, held)]
+    assert chosen and cover(toxic, clean, 3) == chosen
+
+
+def test_grades_out_of_fold():
+    rng = np.random.default_rng(1)
+    toxic = np.arange(600) % 2 < 1
+    toxic = np.repeat(toxic[:300], 2)
+    x = sparse(np.where(toxic[:, None], rng.integers(1, 4, (600, 3)), rng.integers(0, 2, (600, 3))).astype(float))
+    grade = graded(x, toxic)
+    assert not grade[~toxic].any() and {1, 2, 3} == set(grade[toxic]) and all(60 < (grade == g).sum() < 140 for g in (1, 2, 3))
+
+
+def test_scores_against_plain_code(spark):
+    """severity and probability by the formula, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in scored(docs, model).collect():
+        n = Counter(f for w in WORDS.findall((text[r.doc_id] or "").lower()) for f in features_of_word(w) if f in model.cues)
+        z = sum(model.weights[model.cues[f]] * np.log1p(c) for f, c in n.items())
+        over = 1 / (1 + np.exp(-(z - model.thresholds)))
+        assert abs(r.severity - over.sum()) < 1e-6 and abs(r.toxic_probability - over[0]) < 1e-6 and r.toxic == (r.toxic_probability >= TOXIC_FROM)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
