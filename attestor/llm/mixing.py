@@ -56,7 +56,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = REPEAT
 
 @dataclass
 class Mix:
-    """placed: the rows with _source (number), _start (words of its source before it), _whole (words of its source). sources: a row each. schedule: slot, _source, block, words. takes: row keys with epoch and words."""
+    """placed: the rows with _source (number), _start (words of its source before it), _whole (words of its source). sources: a row each. schedule: slot, _source, block, words. takes: row keys with epoch, words and the first slot."""
 
     placed: DataFrame
     sources: DataFrame
@@ -106,7 +106,7 @@ def mix(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int = BLO
     met = pieces.join(schedule, ["_source", "block"])
     start = F.col("block") * block
     overlap = F.least(F.col("_low") + F.col("size"), start + F.col("words")) - F.greatest("_low", start)
-    takes = met.withColumn("_overlap", overlap).where("_overlap > 0").groupBy("_source", "_start", "doc_id", "size", "tie", "epoch").agg(F.sum("_overlap").cast("long").alias("words"))
+    takes = met.withColumn("_overlap", overlap).where("_overlap > 0").groupBy("_source", "_start", "doc_id", "size", "tie", "epoch").agg(F.sum("_overlap").cast("long").alias("words"), F.min("slot").alias("slot"))
     return Mix(placed, sources, schedule, takes)
 
 
@@ -117,47 +117,52 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: a row for each row of docs."""
+    """doc_id, source, size, source_size, target, taken, first_slot (the schedule's slot in which the mix comes to the document first, null if never): a row for each row of docs."""
     m = mix(sized(docs))
-    sums = m.takes.groupBy("_source", "_start").agg(F.sum("words").alias("taken"))
+    sums = m.takes.groupBy("_source", "_start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     some, none = m.placed.where("size > 0"), m.placed.where("size = 0")
-    rows = some.join(sums, ["_source", "_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).unionByName(none.withColumn("taken", F.lit(0).cast("long")))
-    return rows.join(F.broadcast(m.sources.select("_source", "source_size", "target")), "_source").select("doc_id", "source", "size", "source_size", "target", "taken")
+    rows = some.join(sums, ["_source", "_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).unionByName(none.withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long")))
+    return rows.join(F.broadcast(m.sources.select("_source", "source_size", "target")), "_source").select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row for each run through a document, whole, or its first words where the source's target ends inside it; n_chars, if there, follows."""
-    sizes = sized(docs)
-    m = mix(sizes)
-    takes = written(m.takes.select("doc_id", "size", "tie", "epoch", "words"), "takes")
-    tied = docs.withColumn("_tie", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    repeats = not sizes.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    if repeats:  # the takes of all copies of a row hang on one of them
-        tied = tied.dropDuplicates(["doc_id", "_tie"])
-    met = tied.join(takes.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie2"), F.col("size").alias("_size"), F.col("words").alias("_words")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_tie2")))
-    met = met.drop("_id", "_tie", "_tie2")
-    whole = met.where("_words = _size").select(*docs.columns)
+    """docs as the mix takes them, in the order of the schedule: a row for each run through a document, whole, or its first words where the source's target ends inside it; n_chars, if there, follows.
+
+    Rows are dealt by ranges of their first slot and sorted inside each, so the files of a written mix hold the sources interleaved.
+    """
     names = docs.columns
+    # Columns get names of our own on the way, for docs may hold any.
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at = {c: f"c{names.index(c)}" for c in ("doc_id", "text", "source")}
+    sizes = sized(rows.select(*(F.col(c).alias(n) for n, c in at.items())))
+    m = mix(sizes)
+    takes = written(m.takes.select("doc_id", "size", "tie", "epoch", "words", "slot"), "takes")
+    tied = rows.withColumn("own_tie", F.crc32(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary")))
+    if not sizes.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # the takes of all copies of a row hang on one of them
+        tied = tied.dropDuplicates([at["doc_id"], "own_tie"])
+    met = tied.join(takes, F.col(at["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.col("own_tie") == F.col("tie"))).select(*rows.columns, "size", "words", "slot", "epoch")
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for t, n in zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+            for t, n in zip(b.column(text).to_pylist(), b.column("words").to_pylist(), strict=True):
                 for k, found in enumerate(WORD.finditer(t), 1):
                     if k == n:
                         t = t[: found.end()]
                         break
                 texts.append(t)
-            columns = list(b.columns[: len(names)])
-            columns[names.index("text")] = pa.array(texts, b.schema.field(names.index("text")).type)
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([len(t) for t in texts], b.schema.field(names.index("n_chars")).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = list(b.columns)
+            columns[text] = pa.array(texts, b.schema.field(text).type)
+            if chars is not None:
+                columns[chars] = pa.array([len(t) for t in texts], b.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    part = met.where("_words < _size").select(*names, "_words").mapInArrow(cut, docs.schema)
-    return whole.unionByName(part)
+    both = met.where("words = size").unionByName(met.where("words < size").mapInArrow(cut, met.schema))
+    ordered = both.repartitionByRange("slot", at["doc_id"], "epoch").sortWithinPartitions("slot", at["doc_id"], "epoch")
+    return ordered.select(*rows.columns).toDF(*names)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot")

@@ -56,3 +56,20 @@ def test_schedule_is_even_and_whole(spark):
     for n in (60, 600, 2000):
         for s in range(3):
             assert sum(r["_source"] == s for r in rows[:n]) == pytest.approx(n * (s + 1) / 6, abs=4)
+
+
+def test_mix_is_interleaved(spark, tmp_path):
+    """Files of the written mix hold the sources in their shares, whatever order documents came in."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 64, "abc"[i // 200]) for i in range(600)], "doc_id long, text string, source string").withColumn("_tie", F.lit("x")).withColumn("words", F.lit(0)).withColumn("slot", F.lit("y"))
+    out = mixed(docs)
+    assert out.columns == docs.columns
+    out.write.parquet(str(tmp_path / "mix"))
+    for part in sorted((tmp_path / "mix").glob("part-*")):
+        rows = spark.read.parquet(str(part)).collect()
+        assert all(r["_tie"] == "x" and r.words == 0 and r.slot == "y" for r in rows)
+        if len(rows) > 60:
+            n = sum(len(r.text.split()) for r in rows)
+            for s in range(3):
+                assert abs(sum(len(r.text.split()) for r in rows if r.source == "abc"[s]) / n - (s + 1) / 6) < 0.08
+    first = {r.doc_id: r for r in taken(docs).collect()}
+    assert all((r.first_slot is None) == (r.taken == 0) for r in first.values())
