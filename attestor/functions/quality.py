@@ -18,6 +18,7 @@ DOMAIN_TYPES = {
     "reference": ("wikipedia.org", "britannica.com", "encyclopedia.com"),
     "news": ("reuters.com", "apnews.com", "bbc.com", "nytimes.com", "wsj.com", "theguardian.com", "bloomberg.com", "ft.com", "techcrunch.com", "arstechnica.com", "theverge.com"),
 }
+# Signs of documentation and of blogs, types by suffix, base quality, authority, ranks, bonuses and penalties.
 DOCS_PREFIXES = ("docs.", "developer.", "developers.", "api.", "learn.", "platform.")
 DOCS_SUFFIXES = (".readthedocs.io", ".github.io", ".js.org", ".netlify.app")
 DOCS_LABELS = ("docs", "documentation", "reference")
@@ -25,7 +26,7 @@ SUFFIX_TYPES = ((".gov", "government"), (".mil", "government"), (".edu", "academ
 DOCS_PATHS = ("/docs/", "/documentation/", "/reference/", "/api/", "/guide/")
 BLOG_PATHS = ("/blog/", "/posts/", "/news/")
 BASE = {"standards_body": 0.90, "official_docs": 0.85, "academic": 0.85, "government": 0.80, "news": 0.60, "vendor": 0.55, "reference": 0.70, "blog": 0.45, "forum": 0.35, "other": 0.50, "social": 0.20}
-AUTHORITY = {"standards_body": "primary", "official_docs": "primary", "academic": "primary", "government": "primary", "reference": "secondary", "news": "secondary", "vendor": "aggregator", "blog": "aggregator", "forum": "aggregator", "social": "aggregator", "other": "unknown"}
+AUTHORITY = {"standards_body": "primary", "official_docs": "primary", "academic": "primary", "government": "primary", "reference": "secondary", "news": "secondary", "vendor": "secondary", "blog": "aggregator", "forum": "aggregator", "social": "aggregator", "other": "secondary"}
 RANK = {"primary": 3, "secondary": 2, "aggregator": 1, "unknown": 0}
 BONUS = {"primary": 0.15, "secondary": 0.08, "aggregator": 0.0, "unknown": 0.0}
 PENALTY = {"social": -0.20, "blog": -0.08, "forum": -0.08}
@@ -36,14 +37,13 @@ def _lookup(table: dict, key: Column, default: object) -> Column:
 
 
 def source_type(url: Column, domain: Column) -> Column:
-    """The first that fits: known domain or its parent, documentation host, suffix of the domain, hint in the path, `other`."""
+    """The first that fits: known domain or its parent, documentation host, suffix of the domain, hint in the URL, `other`."""
     known = F.create_map(*(F.lit(x) for kind, names in DOMAIN_TYPES.items() for name in names for x in (name, kind)))
     labels = F.split(domain, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     exact = F.try_element_at(F.filter(F.transform(parents, lambda p: known[p]), lambda t: t.isNotNull()), F.lit(1))
     docs = domain.rlike("^(" + "|".join(p.replace(".", r"\.") for p in DOCS_PREFIXES) + ")") | domain.rlike("(" + "|".join(s.replace(".", r"\.") for s in DOCS_SUFFIXES) + ")$") | F.arrays_overlap(labels, F.array(*(F.lit(x) for x in DOCS_LABELS)))
-    path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
-    has = lambda hints: path.rlike("(" + "|".join(hints) + ")")
+    has = lambda hints: F.lower(url).rlike("(" + "|".join(hints) + ")")
     out = F.when(exact.isNotNull(), exact).when(docs, "official_docs")
     for suffix, kind in SUFFIX_TYPES:
         out = out.when(domain.endswith(suffix), kind)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Parameters that name a campaign or a referrer, never a document.
 TRACKING_PREFIXES = ("utm_", "pk_", "mc_", "ga_", "hsa_", "_hs")
@@ -63,22 +67,49 @@ def looks_like_pdf(url: Column) -> Column:
     return F.coalesce(path.rlike(r"\.pdf$") | path.rlike("^/pdf/"), F.lit(False))
 
 
+def host_of(sanitized_url: Column) -> Column:
+    """The host of a sanitized URL without its port; '' for ''."""
+    return F.regexp_replace(F.regexp_extract(sanitized_url, r"^https?://([^/]*)", 1), r":\d*$", "")
+
+
+def same_document(a: Column, b: Column) -> Column:
+    return canonical(a) == canonical(b)
+
+
+# Ports that may be fetched from, and hosts that never are.
 ALLOWED_PORTS = ("", "80", "443", "8080", "8443")
 LOCAL_HOSTS = ("localhost", "metadata.google.internal", "metadata", "instance-data")
 
 
+@F.pandas_udf(T.BooleanType())
+def _blocked_v6(addresses: pd.Series) -> pd.Series:
+    """Whether an IPv6 address, or the IPv4 address mapped into it, is not a public one. What is no address is blocked."""
+
+    def blocked(text: str | None) -> bool:
+        try:
+            at = ipaddress.IPv6Address((text or "").split("%")[0])
+        except ValueError:
+            return True
+        return not (at.ipv4_mapped or at).is_global or at.is_multicast
+
+    return addresses.map(blocked)
+
+
 def unsafe_reason(url: Column) -> Column:
-    """Why a fetch of the URL is refused, null if it isn't: scheme, host, port or a private IPv4 address."""
+    """Why a fetch of the URL is refused, null if it isn't: scheme, host, port, a local host or an address that is not public."""
     raw = F.trim(url)
-    scheme, authority = F.lower(_part(raw, 1)), _part(raw, 2)
+    scheme, authority = F.lower(_part(raw, 1)), F.regexp_replace(_part(raw, 2), "^.*@", "")
+    v6 = F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)
     host, port = _host(authority), F.regexp_extract(authority, r":(\d*)$", 1)
+    port = F.when(authority.startswith("["), F.regexp_extract(authority, r"\]:(\d*)$", 1)).otherwise(port)
     octets = F.transform(F.split(F.regexp_extract(host, r"^\d+\.\d+\.\d+\.\d+$", 0), r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
-    a, b = F.try_element_at(octets, F.lit(1)), F.try_element_at(octets, F.lit(2))
-    private = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+    a, b, c = (F.try_element_at(octets, F.lit(i)) for i in (1, 2, 3))
+    private = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19))
     return (
         F.when(~F.coalesce(scheme.isin("http", "https"), F.lit(False)), "scheme")
-        .when(host == "", "no host")
+        .when((host == "") & (v6 == ""), "no host")
         .when(~port.isin(*ALLOWED_PORTS), "port")
+        .when(authority.startswith("["), F.when(_blocked_v6(F.when(authority.startswith("["), v6)), "blocked address"))
         .when(host.isin(*LOCAL_HOSTS) | host.endswith(".local") | host.endswith(".internal") | host.endswith(".localhost"), "local host")
         .when(F.coalesce(private, F.lit(False)), "private address")
     )

@@ -1,31 +1,10 @@
-"""What a question asks for, and whether claims answer it."""
+"""Whether claims answer what a question asks for."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Ordered: the first pattern that fits names the shape.
-SHAPES = (
-    ("comparison", r"\bdiffer(s|ence|ences)?\b.* (between|from) |\b(versus|vs\.?)\b|^ *compare\b"),
-    ("causal", r"^ *(does|do|did|can|could|is|are|was|were|will|would)\b.*\b(causes?|caused|causing|leads? to|led to|results? in|resulted in|responsible for|contributes? to|drives?)\b"),
-    ("causal_drivers", r"^ *why\b|^ *what (causes?|leads to|drives)\b|\b(causes?|reasons?|factors?|drivers?) (of|for|behind|that|why)\b"),
-    ("numeric", r"\bhow (many|much|long|big|fast|often)\b|\bwhat (percentage|proportion|fraction|share)\b|\b(size|length|number|count|cost|price|latency|throughput|accuracy|limit|capacity) of\b"),
-    ("procedural", r"\bhow (do|can|would|should) (i|we|you|one)\b|\bhow to\b|\bsteps? (to|for)\b"),
-    ("recommendation", r"^ *should (i|we|you|one)\b|\bwhich should\b|\bis it worth\b"),
-    ("temporal", r"\bwhen (was|were|did|does|will|is)\b|\btimeline\b|\bhistory of\b|\b(latest|current|most recent)\b"),
-    ("list", r"\b(risks?|examples?|types?|kinds?|categories|benefits?|drawbacks?|advantages?|components?|stages?|options?)\b"),
-    ("definition", r"^ *what (is|are)\b|\bdefine\b|\b(definition|meaning) of\b"),
-)
-RELATIONS = (
-    ("subtype", r"\b(is|are|as) (an? |one )?(kind|type|form|subset|subclass|category|instance|example|variety) of\b|\bfalls under\b"),
-    ("equivalence", r"\b(is|are) (the same as|equivalent to|identical to|another name for)\b"),
-    ("component", r"\b(is|are) (a )?(part|component|piece|layer|module) of\b|\bconsists? of\b"),
-    ("dependency", r"\b(depends? on|requires?|relies on|builds? on|is based on)\b"),
-)
-UNRESOLVED = r"\b(unclear|unknown|not (established|proven|shown)|inconclusive|no evidence|disputed)\b"
-ASSOCIATION = r"\b(associated|correlat(ed|es|ion)|linked|related) (with|to)\b"
-CAUSATION = r"\b(causes?|caused|leads? to|led to|results? in|resulted in|due to|responsible for|triggers?|drives?)\b"
 #: Slots by question type: (slot, is it core).
 SLOTS = {
     "comparison": (("contrast", True), ("relationship", False), ("trade_off", False)), "causal": (("causal_evidence", True), ("mechanism", False)), "causal_drivers": (("drivers", True), ("limits", False)),
@@ -33,26 +12,6 @@ SLOTS = {
 }
 
 
-def first_match(text: Column, patterns: tuple[tuple[str, str], ...], default: str | None) -> Column:
-    low, out = F.lower(F.coalesce(text, F.lit(""))), None
-    for name, pattern in patterns:
-        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
-    return out.otherwise(F.lit(default).cast("string"))
-
-
-def shape(question: Column) -> Column:
-    return first_match(question, SHAPES, None)
-
-
-def relation(text: Column) -> Column:
-    return first_match(text, RELATIONS, "general")
-
-
-def states_causation(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return low.rlike(CAUSATION) & ~low.rlike(UNRESOLVED) & ~low.rlike(ASSOCIATION)
-
-
 def slots(questions: DataFrame) -> DataFrame:
     """question_id, slot, core for questions (question_id, question_type); unknown types have no slot."""
     table = F.create_map(*(x for kind, own in SLOTS.items() for x in (F.lit(kind), F.array(*(F.struct(F.lit(s).alias("slot"), F.lit(c).alias("core")) for s, c in own)))))

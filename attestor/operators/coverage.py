@@ -22,17 +22,18 @@ def coverage(evidence: DataFrame, sub_questions: DataFrame, bears: Column | None
 
 
 def assessment(covered: DataFrame, concentration: DataFrame) -> DataFrame:
-    """One row: ratio of covered sub-questions, whether it suffices, and the warning for sources of few domains."""
+    """One row: ratio of covered sub-questions, whether it suffices, and the warning for sources of few domains, of more than two sources."""
     a = covered.agg(F.count(F.lit(1)).alias("sub_questions"), F.count_if(F.expr("verdict = 'covered'")).alias("covered"), F.count_if(F.expr("verdict = 'uncovered'")).alias("missing"), F.sum("items").alias("items"))
     ratio = F.round(F.try_divide("covered", "sub_questions"), 4)
     a = a.withColumn("ratio", ratio).withColumn("sufficient", (F.col("ratio") >= SUFFICIENT) & (F.col("missing") == 0) & (F.col("items") > 0))
-    return a.withColumn("concentration", concentration.select("concentration").scalar()).withColumn("diversity_warning", F.col("concentration") > CONCENTRATED)
+    a = a.withColumn("concentration", concentration.select("concentration").scalar())
+    return a.withColumn("diversity_warning", (F.col("concentration") > CONCENTRATED) & (concentration.select("rows").scalar() > 2))
 
 
 def domain_concentration(rows: DataFrame) -> DataFrame:
     """One row: the largest number of rows of one non-empty domain over all rows."""
     per = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.round(F.max(F.when(F.col("domain") != "", F.col("n"))) / F.sum("n"), 4).alias("concentration"), F.count_if(F.expr("domain <> ''")).alias("domains"))
+    return per.agg(F.round(F.max(F.when(F.col("domain") != "", F.col("n"))) / F.sum("n"), 4).alias("concentration"), F.count_if(F.expr("domain <> ''")).alias("domains"), F.sum("n").alias("rows"))
 
 
 def packages(evidence: DataFrame, source_rank: DataFrame, most: int = 8, least_confidence: float = 0.25) -> DataFrame:

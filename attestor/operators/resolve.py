@@ -41,6 +41,6 @@ def integrity(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def published(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The publication gate, closed by default: framing and extracted claims pass, others need the verdict `supported` for exactly their text and evidence."""
-    v = verdicts.select("text", "evidence_ids", "verdict")
+    v = verdicts.groupBy("text", "evidence_ids").agg(F.max_by("verdict", F.col("verdict") != "supported").alias("verdict"))  # of several the one that supports least
     joined = claims.join(v, ["text", "evidence_ids"], "left")
     return joined.select("claim_id", F.coalesce(F.col("kind").isin("framing", "extracted") | (F.col("verdict") == "supported"), F.lit(False)).alias("published"), F.coalesce("verdict", F.lit("unchecked")).alias("verdict"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import lexicon as lx
+from attestor.functions import matching
 from attestor.functions import quality as ql
 from attestor.functions import text as tx
 from attestor.functions import urls
@@ -42,56 +43,70 @@ def url_canonical(spark, sf):
     return vw.results(spark, sf).select("seq", "url", "canonical_url", "domain")
 
 
-@query(
-    """SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS clean,
-    regexp_matches(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '\\.pdf$|^/pdf/') AS is_pdf, CAST(NULL AS VARCHAR) AS unsafe FROM pages"""
-)
-def url_sanitized(spark, sf):
-    p = vw.table(spark, sf, "pages")
-    return p.select("page_id", urls.sanitized(F.col("url")).alias("clean"), urls.looks_like_pdf(F.col("url")).alias("is_pdf"), urls.unsafe_reason(F.col("url")).alias("unsafe"))
+#: Addresses that pages are put under in turn, and why a fetch of them must be refused (null: it need not).
+_PLACES = (
+    ("https://{h}/{i}", None), ("http://{h}:8080/{i}", None), ("ftp://{h}/{i}", "scheme"), ("https://{h}:22/{i}", "port"), ("http://localhost/{i}", "local host"), ("http://127.0.0.1/{i}", "blocked address"), ("http://10.1.2.3/{i}", "blocked address"),
+    ("http://192.168.0.9/{i}", "blocked address"), ("http://169.254.169.254/{i}", "blocked address"), ("http://8.8.8.8/{i}", None), ("http://[::1]/{i}", "blocked address"), ("http://[::ffff:10.0.0.1]/{i}", "blocked address"), ("http://[2001:4860:4860::8888]/{i}", None), ("http://metadata.google.internal/{i}", "metadata host"),
+)
 
 
-def _type_sql(url: str, domain: str) -> str:
-    known = " ".join(f"WHEN {domain} IN {_in(names)} OR " + " OR ".join(f"ends_with({domain}, '.{n}')" for n in names) + f" THEN '{kind}'" for kind, names in ql.DOMAIN_TYPES.items())
-    docs = " OR ".join([*(f"starts_with({domain}, '{p}')" for p in ql.DOCS_PREFIXES), *(f"ends_with({domain}, '{s}')" for s in ql.DOCS_SUFFIXES), *(f"list_contains(string_split({domain}, '.'), '{x}')" for x in ql.DOCS_LABELS)])
-    suffix = " ".join(f"WHEN ends_with({domain}, '{s}') THEN '{k}'" for s, k in ql.SUFFIX_TYPES)
-    path = f"lower(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1))"
-    return f"(CASE {known} WHEN {docs} THEN 'official_docs' {suffix} WHEN regexp_matches({path}, '{'|'.join(ql.DOCS_PATHS)}') THEN 'vendor' WHEN regexp_matches({path}, '{'|'.join(ql.BLOG_PATHS)}') THEN 'blog' ELSE 'other' END)"
+def _placed(spark, sf):
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1))
+    at = F.element_at(F.array(*(F.lit(t) for t, _ in _PLACES)), (F.col("page_id") % len(_PLACES) + 1).cast("int"))
+    return vw.table(spark, sf, "pages").select("page_id", "url", F.replace(F.replace(at, F.lit("{h}"), host), F.lit("{i}"), F.col("page_id").cast("string")).alias("placed"))
 
 
-def _map_sql(table: dict, x: str, default: str) -> str:
-    return "(CASE " + x + " " + " ".join(f"WHEN '{k}' THEN {repr(v)}" for k, v in table.items()) + f" ELSE {default} END)"
+@query(
+    f"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS clean,
+    lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_matches(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '\\.pdf$|^/pdf/') AS is_pdf,
+    ([{", ".join("NULL" if r is None else f"'{r}'" for _, r in _PLACES)}])[page_id % {len(_PLACES)} + 1] IS NOT NULL AS refused FROM pages"""
+)
+def url_sanitized(spark, sf):
+    """The clean form of each page's URL and its host, and whether the page would be refused under the address that stands in for it."""
+    p = _placed(spark, sf)
+    clean = urls.sanitized(F.col("url"))
+    return p.select("page_id", clean.alias("clean"), urls.host_of(clean).alias("host"), urls.looks_like_pdf(F.col("url")).alias("is_pdf"), urls.unsafe_reason(F.col("placed")).isNotNull().alias("refused"))
 
 
-#: Result rows under hosts of every kind, for the classifier.
-_HOSTS = ["arxiv.org", "old.reddit.com", "docs.acme.io", "acme.readthedocs.io", "cdc.gov", "cs.mit.edu", "acme.com/docs", "acme.com/blog", "en.wikipedia.org", "example.net"]
+#: Hosts of every kind, with the type, base quality and authority that their pages must get.
+_HOSTS = (
+    ("arxiv.org", "academic", 0.85, "primary"), ("old.reddit.com", "forum", 0.35, "aggregator"), ("docs.acme.io", "official_docs", 0.85, "primary"), ("acme.readthedocs.io", "official_docs", 0.85, "primary"), ("cdc.gov", "government", 0.8, "primary"),
+    ("cs.mit.edu", "academic", 0.85, "primary"), ("acme.com/docs", "vendor", 0.55, "secondary"), ("acme.com/blog", "blog", 0.45, "aggregator"), ("acme.com/x?next=/api/", "vendor", 0.55, "secondary"), ("en.wikipedia.org", "reference", 0.7, "secondary"),
+    ("example.net", "other", 0.5, "secondary"), ("www.w3.org", "standards_body", 0.9, "primary"), ("reuters.com", "news", 0.6, "secondary"), ("x.com", "social", 0.2, "aggregator"), ("pubmed.ncbi.nlm.nih.gov", "academic", 0.85, "primary"), ("notarxiv.org", "other", 0.5, "secondary"),
+)
 
 
 def _hosted(spark, sf):
-    host = F.element_at(F.array(*(F.lit(h) for h in _HOSTS)), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
-    p = vw.table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://"), host, F.lit("/"), F.col("page_id").cast("string")).alias("url"))
+    """Every page under its own URL (origin 0), and with its path under a host of a known kind (origin 1)."""
+    host = F.element_at(F.array(*(F.lit(h[0]) for h in _HOSTS)), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    path = F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    p = vw.table(spark, sf, "pages").select("page_id", F.posexplode(F.array(F.col("url"), F.concat(F.lit("https://"), host, path))).alias("origin", "url"))
     return p.withColumn("domain", urls.domain(F.col("url"))).withColumn("source_type", ql.source_type(F.col("url"), F.col("domain")))
 
 
-_HOSTED_SQL = f"""(SELECT page_id, url, domain, {_type_sql("url", "domain")} AS source_type FROM (SELECT page_id, url, {vw.domain_sql("url")} AS domain FROM
-    (SELECT page_id, 'https://' || ([{", ".join(f"'{h}'" for h in _HOSTS)}])[page_id % {len(_HOSTS)} + 1] || '/' || page_id AS url FROM pages)))"""
+_HOSTED_SQL = f"""h AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{h}', '{t}', {b}::DOUBLE, '{a}')" for i, (h, t, b, a) in enumerate(_HOSTS))}) v(i, host, source_type, base, authority)),
+    o AS (SELECT page_id, 0 AS origin, {vw.domain_sql("url")} AS domain, 'other' AS source_type, 0.5::DOUBLE AS base, 'secondary' AS authority FROM pages
+    UNION ALL SELECT page_id, 1, regexp_replace(regexp_extract(host, '^[^/]*'), '^www\\.', ''), source_type, base, authority FROM pages JOIN h ON page_id % {len(_HOSTS)} = i)"""
 
 
-@query(f"SELECT page_id, domain, source_type, {_map_sql(ql.BASE, 'source_type', '0.5')}::DOUBLE AS base, {_map_sql(ql.AUTHORITY, 'source_type', chr(39) + 'unknown' + chr(39))} AS authority FROM {_HOSTED_SQL}")
+@query(f"WITH {_HOSTED_SQL} SELECT page_id, origin, domain, source_type, base, authority, CASE authority WHEN 'primary' THEN 3 WHEN 'secondary' THEN 2 ELSE 1 END AS rank FROM o")
 def source_types(spark, sf):
-    return _hosted(spark, sf).select("page_id", "domain", "source_type", ql.base_quality(F.col("source_type")).alias("base"), ql.authority(F.col("source_type")).alias("authority"))
+    t = F.col("source_type")
+    return _hosted(spark, sf).select("page_id", "origin", "domain", "source_type", ql.base_quality(t).alias("base"), ql.authority(t).alias("authority"), ql.authority_rank(t).alias("rank"))
 
 
 @query(
-    f"""SELECT page_id, quality, recency FROM (SELECT page_id, recency, round(least(greatest({_map_sql(ql.BASE, "source_type", "0.5")}::DOUBLE + (s - 0.5::DOUBLE) * 0.20::DOUBLE + CASE WHEN w < 120 THEN -0.20::DOUBLE WHEN w > 600 THEN 0.05::DOUBLE ELSE 0::DOUBLE END + recency, 0::DOUBLE), 1::DOUBLE), 3) AS quality FROM
-    (SELECT *, (page_id % 100) / 100.0::DOUBLE AS s, page_id * 7 % 900 AS w, CASE WHEN page_id % 4 = 0 THEN 0::DOUBLE WHEN (page_id % 900) / 30.44::DOUBLE <= 6 THEN 0.08::DOUBLE WHEN (page_id % 900) / 30.44::DOUBLE <= 12 THEN -0.05::DOUBLE ELSE -0.15::DOUBLE END AS recency FROM {_HOSTED_SQL}))"""
+    f"""WITH {_HOSTED_SQL}, r AS (SELECT *, (page_id % 100) / 100.0::DOUBLE AS s, page_id * 7 % 900 AS w, CASE WHEN page_id % 4 = 0 THEN 0::DOUBLE WHEN (page_id % 900) / 30.44::DOUBLE <= 6 THEN 0.08::DOUBLE WHEN (page_id % 900) / 30.44::DOUBLE <= 12 THEN -0.05::DOUBLE ELSE -0.15::DOUBLE END AS recency FROM o)
+    SELECT page_id, origin, round(least(greatest(base + (s - 0.5::DOUBLE) * 0.20::DOUBLE + CASE WHEN w < 120 THEN -0.20::DOUBLE WHEN w > 600 THEN 0.05::DOUBLE ELSE 0::DOUBLE END + recency, 0::DOUBLE), 1::DOUBLE), 3) AS quality, recency,
+    'type:' || source_type || CASE WHEN w < 120 THEN ' short' WHEN w > 600 THEN ' long' ELSE '' END || CASE WHEN recency > 0 THEN ' recent' WHEN recency < 0 THEN ' dated' ELSE '' END AS reasons FROM r"""
 )
 def source_quality(spark, sf):
     now = F.lit("2026-06-01").cast("date")
     published = F.when(F.col("page_id") % 4 != 0, F.date_sub(now, (F.col("page_id") % 900).cast("int")))
+    words = F.col("page_id") * 7 % 900
     rows = _hosted(spark, sf).withColumn("recency", ql.recency_adjustment(published, now, F.lit(6)))
-    score = ql.quality_score(F.col("source_type"), (F.col("page_id") % 100) / 100.0, F.col("page_id") * 7 % 900, F.col("recency"))
-    return rows.select("page_id", score.alias("quality"), "recency")
+    score = ql.quality_score(F.col("source_type"), (F.col("page_id") % 100) / 100.0, words, F.col("recency"))
+    return rows.select("page_id", "origin", score.alias("quality"), "recency", F.array_join(ql.quality_reasons(F.col("source_type"), words, F.col("recency")), " ").alias("reasons"))
 
 
 # --- Text ------------------------------------------------------------------------------------------------------------------------------------------------
@@ -118,11 +133,11 @@ def text_content_words(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT conv_id, turn, substr(text, 1, 60) || ' [S' || conv_id || ', S' || turn || '] and [S' || conv_id || '] end' AS t FROM conversations)
-    SELECT conv_id, turn, CASE WHEN conv_id = turn THEN ['S' || conv_id] ELSE ['S' || conv_id, 'S' || turn] END AS ids, trim(regexp_replace(t, ' ?\\[S[0-9]+(, ?S[0-9]+)*\\]', '', 'g')) AS plain FROM m"""
+    """WITH m AS (SELECT conv_id, turn, text || ' [S' || conv_id || ', S' || turn || '] and [S' || conv_id || '] end' AS t FROM conversations)
+    SELECT conv_id, turn, list_reverse(list_distinct(list_reverse(flatten(list_transform(regexp_extract_all(t, '\\[(S[0-9]+(?:, ?S[0-9]+)*)\\]', 1), lambda g: string_split(replace(g, ' ', ''), ',')))))) AS ids, trim(regexp_replace(t, ' ?\\[S[0-9]+(, ?S[0-9]+)*\\]', '', 'g')) AS plain FROM m"""
 )
 def citation_markers(spark, sf):
-    """Markers of the whole text with three more at its end. The SQL holds the first 60 characters only."""
+    """Markers of the whole text with three more at its end."""
     c = vw.table(spark, sf, "conversations")
     t = F.concat(F.col("text"), F.lit(" [S"), F.col("conv_id").cast("string"), F.lit(", S"), F.col("turn").cast("string"), F.lit("] and [S"), F.col("conv_id").cast("string"), F.lit("] end"))
     return c.select("conv_id", "turn", tx.markers(t).alias("ids"), tx.unmarkered(t).alias("plain"))
@@ -168,12 +183,13 @@ def query_counts(spark, sf):
 
 @query(
     """SELECT query_id, seq, round(1 - (row_number() OVER (PARTITION BY query_id ORDER BY seq) - 1) / count(*) OVER (PARTITION BY query_id), 3) AS rank_score,
-    CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY seq) > 10 THEN 'advanced' ELSE 'basic' END AS depth FROM v_results"""
+    CASE WHEN CAST(substr(query_id, 2) AS INT) >= 4 THEN 'advanced' ELSE 'basic' END AS depth FROM v_results"""
 )
 def rank_scores(spark, sf):
     w = Window.partitionBy("query_id")
     place = F.row_number().over(w.orderBy("seq"))
-    return vw.results(spark, sf).select("query_id", "seq", F.round(1 - (place - 1) / F.count(F.lit(1)).over(w), 3).alias("rank_score"), F.when(place > 10, "advanced").otherwise("basic").alias("depth"))
+    round_number = F.floor(F.substring("query_id", 2, 9).cast("int") / 4) + 1  # queries 4 and up belong to the second round
+    return vw.results(spark, sf).select("query_id", "seq", F.round(1 - (place - 1) / F.count(F.lit(1)).over(w), 3).alias("rank_score"), F.when(round_number > 1, "advanced").otherwise("basic").alias("depth"))
 
 
 def _leaders(spark, sf):
@@ -185,10 +201,8 @@ def _leaders(spark, sf):
 
 
 @query(
-    f"""WITH r AS (SELECT * FROM v_results WHERE canonical_url NOT IN (SELECT canonical_url FROM v_known)),
-    c AS (SELECT canonical_url, arg_min(url, seq) AS url, arg_min(domain, seq) AS domain, max(score) AS best FROM r GROUP BY 1), t AS (SELECT *, {_type_sql("url", "domain")} AS source_type FROM c),
-    s AS (SELECT *, round(best + {_map_sql({k: ql.BONUS[v] for k, v in ql.AUTHORITY.items()}, "source_type", "0")}::DOUBLE + {_map_sql(ql.PENALTY, "source_type", "0")}::DOUBLE, 6) AS ranking FROM t),
-    x AS (SELECT DISTINCT s.canonical_url, s.domain, s.source_type, s.ranking, r.sub_question_id FROM s JOIN r USING (canonical_url) WHERE r.sub_question_id <> ''),
+    """WITH r AS (SELECT * FROM v_results WHERE canonical_url NOT IN (SELECT canonical_url FROM v_known)), c AS (SELECT canonical_url, arg_min(domain, seq) AS domain, max(score) AS best FROM r GROUP BY 1),
+    s AS (SELECT *, 'other' AS source_type, round(best + 0.08::DOUBLE, 6) AS ranking FROM c), x AS (SELECT DISTINCT s.canonical_url, s.domain, s.source_type, s.ranking, r.sub_question_id FROM s JOIN r USING (canonical_url) WHERE r.sub_question_id <> ''),
     y AS (SELECT *, CAST(row_number() OVER (PARTITION BY sub_question_id ORDER BY ranking DESC, canonical_url DESC) AS INT) AS place FROM x) SELECT * FROM y WHERE place <= 3"""
 )
 def source_leaderboard(spark, sf):
@@ -196,7 +210,7 @@ def source_leaderboard(spark, sf):
     return _leaders(spark, sf)
 
 
-@query("SELECT round(max(n) FILTER (domain <> '') / sum(n), 4) AS concentration, count(*) FILTER (domain <> '') AS domains FROM (SELECT domain, count(*) AS n FROM v_results GROUP BY 1)")
+@query("SELECT round(max(n) FILTER (domain <> '') / sum(n), 4) AS concentration, count(*) FILTER (domain <> '') AS domains, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT domain, count(*) AS n FROM v_results GROUP BY 1)")
 def domain_concentration(spark, sf):
     return cv.domain_concentration(vw.results(spark, sf))
 
@@ -282,7 +296,7 @@ def sub_question_coverage(spark, sf):
 @query(
     f"""WITH {_COVERAGE}, a AS (SELECT count(*) AS sub_questions, count(*) FILTER (verdict = 'covered') AS covered, count(*) FILTER (verdict = 'uncovered') AS missing, CAST(sum(items) AS BIGINT) AS items FROM v),
     d AS (SELECT round(max(n) FILTER (domain <> '') / sum(n), 4) AS concentration FROM (SELECT domain, count(*) AS n FROM v_sources GROUP BY 1))
-    SELECT *, round(covered / sub_questions, 4) AS ratio, round(covered / sub_questions, 4) >= 0.7 AND missing = 0 AND items > 0 AS sufficient, concentration > 0.6 AS diversity_warning FROM a, d"""
+    SELECT *, round(covered / sub_questions, 4) AS ratio, round(covered / sub_questions, 4) >= 0.7 AND missing = 0 AND items > 0 AS sufficient, concentration > 0.6 AND (SELECT count(*) FROM v_sources) > 2 AS diversity_warning FROM a, d"""
 )
 def coverage_assessment(spark, sf):
     return cv.assessment(_covered(spark, sf), cv.domain_concentration(vw.sources(spark, sf)))
@@ -302,72 +316,21 @@ def evidence_packages(spark, sf):
     """SELECT 'S' || d.doc_id AS source_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(trim(regexp_replace(d.text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))))"""
 )
 def exact_quotes(spark, sf):
-    """Passages that a document holds word for word. Each passage's first eight words are looked up among the document's; only hits are compared in full, so no pair is formed without a shared start."""
+    """Passages that a document holds word for word. The inner words of a passage are whole words of the document: passages meet documents by four of them in a row, shorter ones by their longest. Only passages without an inner word are looked for in every document."""
     d = vw.table(spark, sf, "documents").select("doc_id", F.lower(tx.one_spaced(F.col("text"))).alias("t"))
-    b = vw.table(spark, sf, "benchmark").select("item_id", F.lower(tx.one_spaced(F.col("text"))).alias("q"))
-    starts = b.select("item_id", "q", F.xxhash64(F.array_join(F.slice(F.split("q", " "), 2, 4), " ")).alias("h"))
-    words = F.split("t", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 4), " ")))
-    met = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(starts.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    full = met.join(d, "doc_id").join(b, "item_id").where(F.col("t").contains(F.col("q")))
+    b = vw.table(spark, sf, "benchmark").select("item_id", F.lower(tx.one_spaced(F.col("text"))).alias("q")).withColumn("w", F.split("q", " "))
+    inner = F.slice("w", 2, F.size("w") - 2)
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    keyed = b.where("size(w) >= 3").select("item_id", F.when(F.size("w") >= 6, F.xxhash64(F.array_join(F.slice("w", 2, 4), " "))).otherwise(F.xxhash64(longest)).alias("h"))
+    known = keyed.select("h").distinct()
+    words = d.select("doc_id", F.explode(F.array_distinct(F.concat(vw.grams(F.col("t"), 4), F.transform(F.split("t", " "), lambda x: F.xxhash64(x))))).alias("h")).join(known, "h", "left_semi")
+    met = words.join(keyed, "h").select("doc_id", "item_id").distinct().join(d, "doc_id").join(b.select("item_id", "q"), "item_id")
+    everywhere = b.where("size(w) < 3").select("item_id", "q").join(d, F.col("t").contains(F.col("q"))).select("item_id", "doc_id", "t", "q")
+    full = met.select("item_id", "doc_id", "t", "q").unionByName(everywhere).where(F.col("t").contains(F.col("q")))
     return full.select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "item_id")
 
 
-# --- Guards ----------------------------------------------------------------------------------------------------------------------------------------------
-
-#: Claims and their evidence: every pair of these twelve sentences, keyed by position.
-SENTENCES = (
-    "The cache may reduce latency in some cases.",
-    "The cache reduces latency by 40%.",
-    "Teams must encrypt backups, and 99.9% of them do.",
-    "Teams often encrypt backups.",
-    "We observed that smaller batches train faster.",
-    "According to the study, smaller batches train faster.",
-    "Redis has the lowest latency at 5 ms.",
-    "Redis answers in 5ms.",
-    "Overfitting is associated with small datasets of 1,000 rows.",
-    "Small datasets of 1000 rows lead to overfitting because of noise; results vary.",
-    "Only administrators can rotate keys.",
-    "Administrators rotate keys. Users do not.",
-)
-
-
-def _pairs(spark):
-    rows = spark.createDataFrame(list(enumerate(SENTENCES)), "id int, text string")
-    return rows.toDF("claim", "claim_text").join(rows.toDF("evidence", "evidence_text"), F.col("claim") != F.col("evidence"))
-
-
-_PAIRS = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SENTENCES)) + ") v(id, text)), p AS (SELECT a.id AS claim, lower(a.text) AS ct, b.id AS evidence, lower(b.text) AS et FROM t a JOIN t b ON a.id <> b.id)"
-
-
-def _any_sql(x: str, terms: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({x}, '{t}')" if " " in t else f"list_contains(regexp_extract_all({x}, '[a-z]+'), '{t}')" for t in terms) + ")"
-
-
-def _literals_sql(x: str) -> str:
-    return f"list_transform(regexp_extract_all({x}, '(?:^|[^a-z0-9_.])([0-9][0-9,]*(?:\\.[0-9]+)?(?: ?- ?bit| ?%| ?(?:ms|gb|mb|tb|kb)\\+?|\\+)?)', 1), lambda l: replace(replace(l, ' ', ''), ',', ''))"
-
-
-def _band_sql(x: str) -> str:
-    low = f"regexp_replace({x}, '\\b({'|'.join(lx.WEAK)})\\b((?: [a-z]+){{0,2}}?) (?:be )?\\b({'|'.join(lx.STRONG)})\\b', '\\1\\2', 'g')"
-    return f"CASE WHEN {_any_sql(low, lx.STRONG)} THEN 4 WHEN {_any_sql(low, lx.TENDENCY)} THEN 2 WHEN {_any_sql(low, lx.WEAK)} THEN 1 ELSE 3 END"
-
-
-_HITS_EXCLUSIVE = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {_any_sql(x, [t])} THEN '{t}' END" for t in lx.EXCLUSIVE) + "], lambda h: h IS NOT NULL)"
-
-
-@query(
-    f"""WITH {_PAIRS}, b AS (SELECT *, {_band_sql("ct")} AS cb, {_band_sql("et")} AS eb FROM p)
-    SELECT claim, evidence, len(list_filter({_literals_sql("ct")}, lambda l: NOT list_contains({_literals_sql("et")}, l))) = 0 AS numeric, cb = 3 OR cb <= eb AS modality, cb AS band,
-    NOT {_any_sql("ct", lx.RANKING)} OR {_any_sql("et", lx.RANKING)} AS ranking, NOT {_any_sql("ct", lx.CAUSAL)} OR {_any_sql("et", lx.CAUSAL)} AS causal,
-    len(list_filter({_HITS_EXCLUSIVE("ct")}, lambda h: NOT list_contains({_HITS_EXCLUSIVE("et")}, h))) = 0 AS exclusivity FROM b"""
-)
-def claim_guards(spark, sf):
-    c, e = F.col("claim_text"), F.col("evidence_text")
-    return _pairs(spark).select(
-        "claim", "evidence", lx.numeric_guard(c, e).alias("numeric"), lx.modality_guard(c, e).alias("modality"), lx.modality_band(c).alias("band"), lx.ranking_guard(c, e).alias("ranking"), lx.causal_guard(c, e).alias("causal"), lx.exclusivity_guard(c, e).alias("exclusivity"),
-    )
-
+# --- Topics -----------------------------------------------------------------------------------------------------------------------------------------------
 
 _TERMS = lambda x: (
     f"list_filter(list_distinct(list_concat(regexp_extract_all(lower({x}), '[a-z][a-z0-9-]{{2,}}'), flatten(list_transform(regexp_extract_all(lower({x}), '[a-z][a-z0-9-]{{2,}}'), lambda w: CASE WHEN contains(w, '-') THEN list_filter(string_split(w, '-'), lambda y: length(y) >= 3) ELSE [] END)))), lambda w: w NOT IN {_in(lx.TOPIC_STOPWORDS)})"
@@ -375,20 +338,22 @@ _TERMS = lambda x: (
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_TERMS("text")} AS e FROM documents WHERE doc_id % 40 < 40), b AS (SELECT item_id, {_TERMS("text")} AS q FROM benchmark),
-    m AS (SELECT doc_id, item_id, e, q, list_intersect(q, e) AS s FROM d JOIN b ON doc_id % 40 = item_id % 40)
-    SELECT doc_id, item_id, CAST(len(s) AS INT) AS shared, CASE WHEN len(q) = 0 THEN true WHEN len(e) = 0 THEN false ELSE len(list_filter(s, lambda t: length(t) >= 8)) > 0 OR len(s) >= least(2, len(q)) END AS plausible FROM m"""
+    f"""WITH d AS (SELECT doc_id, unnest({_TERMS("text")}) AS t FROM documents), b AS (SELECT item_id, {_TERMS("text")} AS q FROM benchmark), c AS (SELECT item_id, len(q) AS n, unnest(q) AS t FROM b)
+    SELECT doc_id, item_id, count(*) AS shared, bool_or(length(t) >= 8) OR count(*) >= least(2, any_value(n)) AS plausible FROM d JOIN c USING (t) GROUP BY ALL"""
 )
 def topical_overlap(spark, sf):
-    """Every document with every item. Terms are made once a row; of a document's only those that some item has meet the items. The SQL holds the pairs of equal residue only."""
-    b = vw.table(spark, sf, "benchmark").select("item_id", lx.salient_terms(F.col("text")).alias("q"))
-    known = b.select(F.explode("q").alias("t")).agg(F.collect_set("t").alias("known"))
-    d = vw.table(spark, sf, "documents").select("doc_id", lx.salient_terms(F.col("text")).alias("e")).crossJoin(F.broadcast(known))
-    # Shuffled before the items join, for the generated code of a nested loop would make the terms anew for every pair.
-    met = d.select("doc_id", F.array_intersect("e", "known").alias("e")).repartition("doc_id").crossJoin(F.broadcast(b))
-    met = met.select("doc_id", "item_id", F.size("q").alias("n_q"), F.array_intersect("e", "q").alias("s"))
-    enough = F.exists("s", lambda t: F.length(t) >= lx.DISTINCTIVE) | (F.size("s") >= F.least(F.lit(lx.OVERLAP), F.col("n_q")))
-    return met.select("doc_id", "item_id", F.size("s").alias("shared"), enough.alias("plausible"))
+    """Documents and items that share a salient term: how many, and whether the document could bear on the item. Terms are made once a row and joined, never pairs of rows."""
+    d = vw.table(spark, sf, "documents").select("doc_id", F.explode(lx.salient_terms(F.col("text"))).alias("t"))
+    b = vw.table(spark, sf, "benchmark").select("item_id", lx.salient_terms(F.col("text")).alias("q")).select("item_id", F.size("q").alias("n"), F.explode("q").alias("t"))
+    met = d.join(b, "t").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"), F.max(F.length("t")).alias("longest"))
+    return met.select("doc_id", "item_id", "shared", ((F.col("longest") >= lx.DISTINCTIVE) | (F.col("shared") >= F.least(F.lit(lx.OVERLAP), F.col("n")))).alias("plausible"))
+
+
+@query()
+def quote_classes(spark, sf):
+    """exact, fuzzy or none for documents and passages that share three words in a row. The ratio of the fuzzy form has no SQL form; tests compare it with plain code."""
+    pairs = vw.shared_passages(spark, sf).join(vw.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(vw.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
+    return pairs.select("doc_id", "item_id", matching.quote_match(F.col("quote"), F.col("text")).alias("quote_match"))
 
 
 # --- Calibration and comparison --------------------------------------------------------------------------------------------------------------------------
@@ -493,7 +458,7 @@ def user_sessions(spark, sf):
     return measure.sessions(vw.table(spark, sf, "events"), 6 * 3600)
 
 
-@query("SELECT event_type, round(sum(value), 3) AS seconds, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("SELECT event_type, round(sum(round(value, 3)), 3) AS seconds, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def stage_seconds(spark, sf):
-    per = vw.table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n"))
+    per = vw.table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.sum(F.round("value", 3)).alias("v"), F.count(F.lit(1)).alias("n"))
     return per.groupBy("event_type").agg(F.round(F.sum("v"), 3).alias("seconds"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"))

@@ -116,24 +116,6 @@ def corpus_hash(spark, sf):
 
 # --- Questions and answers -------------------------------------------------------------------------------------------------------------------------------
 
-_QUESTIONS = ("What is a cache?", "Why do models overfit?", "Does noise cause errors?", "How many rows fit?", "How do I rotate keys?", "Should we adopt it?", "When was it released?", "Name the risks of reuse", "Redis versus Postgres", "Tell me more", "What causes drift?", "latest state of the art")
-_RELATIONS = ("RAG is a kind of retrieval", "A is the same as B", "The index is part of the engine", "It depends on Java", "They differ", "Noise is associated with errors, which causes loss", "Smoking causes cancer", "It is unclear whether heat causes failure")
-
-
-def _first_sql(x: str, patterns: tuple, default: str) -> str:
-    return "CASE " + " ".join("WHEN regexp_matches(lower({}), '{}') THEN '{}'".format(x, p.replace("'", "''"), n) for n, p in patterns) + f" ELSE {default} END"
-
-
-@query(f"WITH {_literal('q', _QUESTIONS)} SELECT id, {_first_sql('x', answers.SHAPES, 'NULL')} AS shape FROM q")
-def question_shapes(spark, sf):
-    return _frame(spark, _QUESTIONS).select("id", answers.shape(F.col("x")).alias("shape"))
-
-
-@query(f"WITH {_literal('r', _RELATIONS)} SELECT id, {_first_sql('x', answers.RELATIONS, chr(39) + 'general' + chr(39))} AS relation, regexp_matches(lower(x), '{answers.CAUSATION}') AND NOT regexp_matches(lower(x), '{answers.UNRESOLVED}') AND NOT regexp_matches(lower(x), '{answers.ASSOCIATION}') AS causes FROM r")
-def claim_relations(spark, sf):
-    return _frame(spark, _RELATIONS).select("id", answers.relation(F.col("x")).alias("relation"), answers.states_causation(F.col("x")).alias("causes"))
-
-
 _SLOTS = "s AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {str(c).lower()})" for k, own in answers.SLOTS.items() for s, c in own) + ") v(kind, slot, core))"
 _KINDS = list(answers.SLOTS)
 

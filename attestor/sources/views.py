@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
@@ -45,24 +45,40 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grams(text: Column, n: int = 3) -> Column:
+    """Hashes of the runs of n words of a one-spaced text. Shifted arrays of its words are zipped, so the text is split n times and not once for every word."""
+    words = F.split(text, " ")
+    runs = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(n)))
+    return F.filter(F.transform(runs, lambda r: F.when(r[f"w{n - 1}"].isNotNull(), F.xxhash64(F.concat_ws(" ", *(r[f"w{k}"] for k in range(n)))))), lambda h: h.isNotNull())
+
+
+def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id of documents and passages that share three words in a row."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(grams(F.lower(tx.one_spaced(F.col("text")))))).alias("h"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(grams(F.lower(tx.one_spaced(F.col("text")))))).alias("h"))
+    return d.join(b, "h").select("doc_id", "item_id").distinct()
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes (benchmark passages) against sources: item i is looked for in the documents of its own residue modulo 40, and in those that hold it word for word in the same case."""
-    b = table(spark, sf_dir, "benchmark")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = d.join(F.broadcast(b.select("item_id", F.col("text").alias("quote"))), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    """Passages as quotes against the documents that share three words in a row with them; a quote is exact where the document holds it word for word. Close ones are told apart by `quote_classes`."""
+    pairs = shared_passages(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
+    held = F.lower(tx.one_spaced(F.col("text"))).contains(F.lower(tx.one_spaced(F.col("quote"))))
     return pairs.select(
         F.concat(F.lit("S"), F.col("doc_id").cast("string"), F.lit("-e"), F.col("item_id").cast("string")).alias("evidence_id"), F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "doc_id", "item_id",
         F.concat(F.lit("SQ"), (F.col("item_id") % 5).cast("string")).alias("sub_question_id"), "quote", F.when((F.col("doc_id") + F.col("item_id")) % 7 == 0, "contradicts").otherwise("supports").alias("stance"),
-        ((F.col("doc_id") * 31 + F.col("item_id") * 17) % 100 / 100.0).alias("relevance"),
-        F.when((F.col("doc_id") * 7 + F.col("item_id")) % 10 < 6, "exact").when((F.col("doc_id") * 7 + F.col("item_id")) % 10 < 8, "fuzzy").otherwise("none").alias("quote_match"),
+        ((F.col("doc_id") * 31 + F.col("item_id") * 17) % 100 / 100.0).alias("relevance"), F.when(held, "exact").otherwise("none").alias("quote_match"),
     )
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as claims; each cites three evidence ids, one of which may not exist."""
+    """Assistant turns as claims. Each cites the first three items of evidence, by document, of the passage whose number is that of its conversation modulo the passages, and one item that doesn't exist."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    ids = F.array(*(F.concat(F.lit("S"), ((F.col("conv_id") * 3 + k) % 1000).cast("string"), F.lit("-e"), ((F.col("conv_id") * 3 + k) % 40).cast("string")) for k in (0, 1, 7)))
-    return c.select(
+    n = table(spark, sf_dir, "benchmark").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    first = Window.partitionBy("item_id").orderBy("doc_id")
+    e = evidence(spark, sf_dir).select("item_id", "doc_id", "evidence_id").withColumn("place", F.row_number().over(first)).where("place <= 3")
+    of_item = e.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]).alias("ids"))
+    ids = F.concat(F.coalesce("ids", F.array().cast("array<string>")), F.array(F.lit("S-1-e0")))
+    return c.withColumn("item_id", F.col("conv_id") % n).join(of_item, "item_id", "left").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("claim_id"), "conv_id", "turn", "text", ids.alias("evidence_ids"), F.when(F.col("turn") <= 1, "summary").when(F.col("turn") <= 3, "finding").otherwise("section").alias("placement"),
         F.when(F.col("conv_id") % 9 == 0, "framing").when(F.col("conv_id") % 9 == 1, "extracted").otherwise("substantive").alias("kind"), F.concat(F.lit("slot"), (F.col("conv_id") % 4).cast("string")).alias("slot"),
     )
@@ -128,13 +144,16 @@ VIEWS = {
     "v_known": f"SELECT DISTINCT {canonical_sql('url')} AS canonical_url FROM pages WHERE page_id % 17 = 0",
     "v_sources": f"""SELECT 'S' || doc_id AS source_id, doc_id, source AS domain, text, lang, n_chars, substr(sha256(lower({spaced_sql("text")})), 1, 16) AS content_hash,
         CAST(len(regexp_extract_all(text, '[^ \\t\\r\\n\\f\\x0B]+')) AS BIGINT) AS word_count, n_chars > 0 AS usable, (doc_id * 13 % 100) / 100.0::DOUBLE AS quality FROM documents""",
-    "v_evidence": """SELECT 'S' || doc_id || '-e' || item_id AS evidence_id, 'S' || doc_id AS source_id, doc_id, item_id, 'SQ' || (item_id % 5) AS sub_question_id, b.text AS quote,
+    "v_grams": f"""SELECT kind, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM
+        (SELECT 'd' AS kind, doc_id AS id, string_split(lower({spaced_sql("text")}), ' ') AS w FROM documents UNION ALL SELECT 'b', item_id, string_split(lower({spaced_sql("text")}), ' ') FROM benchmark)""",
+    "v_evidence": f"""SELECT 'S' || doc_id || '-e' || item_id AS evidence_id, 'S' || doc_id AS source_id, doc_id, item_id, 'SQ' || (item_id % 5) AS sub_question_id, b.text AS quote,
         CASE WHEN (doc_id + item_id) % 7 = 0 THEN 'contradicts' ELSE 'supports' END AS stance, (doc_id * 31 + item_id * 17) % 100 / 100.0::DOUBLE AS relevance,
-        CASE WHEN (doc_id * 7 + item_id) % 10 < 6 THEN 'exact' WHEN (doc_id * 7 + item_id) % 10 < 8 THEN 'fuzzy' ELSE 'none' END AS quote_match
-        FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40""",
-    "v_claims": """SELECT conv_id * 100 + turn AS claim_id, conv_id, turn, text, ['S' || ((conv_id * 3) % 1000) || '-e' || ((conv_id * 3) % 40), 'S' || ((conv_id * 3 + 1) % 1000) || '-e' || ((conv_id * 3 + 1) % 40), 'S' || ((conv_id * 3 + 7) % 1000) || '-e' || ((conv_id * 3 + 7) % 40)] AS evidence_ids,
+        CASE WHEN contains(lower({spaced_sql("d.text")}), lower({spaced_sql("b.text")})) THEN 'exact' ELSE 'none' END AS quote_match
+        FROM (SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM v_grams x JOIN v_grams y USING (g) WHERE x.kind = 'd' AND y.kind = 'b') p JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)""",
+    "v_claims": """SELECT conv_id * 100 + turn AS claim_id, conv_id, turn, text, list_append(coalesce(ids, []), 'S-1-e0') AS evidence_ids,
         CASE WHEN turn <= 1 THEN 'summary' WHEN turn <= 3 THEN 'finding' ELSE 'section' END AS placement, CASE WHEN conv_id % 9 = 0 THEN 'framing' WHEN conv_id % 9 = 1 THEN 'extracted' ELSE 'substantive' END AS kind, 'slot' || (conv_id % 4) AS slot
-        FROM conversations WHERE role = 'assistant'""",
+        FROM conversations LEFT JOIN (SELECT item_id, list(evidence_id ORDER BY place) AS ids FROM (SELECT item_id, evidence_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS place FROM v_evidence) WHERE place <= 3 GROUP BY 1) i
+        ON conv_id % (SELECT count(*) FROM benchmark) = item_id WHERE role = 'assistant'""",
     "v_verdicts": "SELECT doc_id, quality = 1 AS supported, (doc_id * 7919 % 1000) / 1000.0::DOUBLE * 0.5::DOUBLE + quality * 0.5::DOUBLE AS score, doc_id % 11 <> 0 AS guards_passed FROM labels",
     "v_attempts": """SELECT o_orderkey AS seq, o_orderpriority AS role, 'model-' || (o_custkey % 4) || CASE WHEN o_custkey % 3 = 0 THEN '-mini' ELSE '' END AS model, CASE WHEN o_custkey % 2 = 0 THEN 'cloud' ELSE 'local' END AS provider,
         o_orderkey % 5000 + 100 AS input_tokens, o_orderkey % 700 AS output_tokens, CASE WHEN o_orderkey % 23 = 0 THEN 'rate_limited' WHEN o_orderkey % 29 = 0 THEN 'error' ELSE 'ok' END AS status, o_orderdate AS ts FROM orders""",
@@ -144,8 +163,13 @@ VIEWS = {
 
 
 def with_views(sql: str) -> str:
-    """sql with the views that it names in front, as common table expressions."""
-    used = [v for v in VIEWS if v in sql]
+    """sql with the views that it names, and those that these name, in front, as common table expressions."""
+    used: list[str] = []
+    text = sql
+    for v in reversed(VIEWS):  # a view names earlier ones only
+        if v in text:
+            used.insert(0, v)
+            text += VIEWS[v]
     head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     rest = sql.strip()
     if not used:

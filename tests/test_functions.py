@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestor.functions import lexicon as lx
+from attestor.functions import wording
 from attestor.functions import quality as ql
 from attestor.functions import text as tx
 from attestor.functions import urls
@@ -59,11 +60,11 @@ GUARDED = [
 
 def test_guards(spark):
     rows = spark.createDataFrame(GUARDED, "g string, c string, e string, want boolean")
-    out = rows.select("*", lx.run_guards(F.col("c"), F.col("e")).alias("all")).collect()
+    out = rows.select("*", wording.run_guards(F.col("c"), F.col("e"), F.lit("")).alias("all")).collect()
     for r in out:
         assert next(x["passed"] for x in r["all"] if x["name"] == r.g) == r.want, r
-    nulls = spark.range(1).select(lx.run_guards(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("g")).first().g
-    assert len(nulls) == 8
+    nulls = spark.range(1).select(wording.run_guards(*[F.lit(None).cast("string")] * 3).alias("g")).first().g
+    assert len(nulls) == 9
 
 
 def test_plausible(spark):
@@ -85,7 +86,7 @@ def test_fuzzy(spark):
 def test_html_and_propositions(spark):
     html = '<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><h1>Head</h1><p>One &amp; <b>two</b><script>x()</script><p>Three</body></html>'
     assert column(spark, [html, None], main_text) == ["Head\nOne & two\nThree", ""]
-    assert column(spark, ["The output increased, and the error rate decreased", "Fast, cheap and small parts are sold; they break", None], propositions) == [["The output increased", "the error rate decreased"], ["Fast, cheap and small parts are sold, they break"], []]
+    assert column(spark, ["The output increased, and the error rate decreased", "Fast, cheap and small parts are sold; they break", None], propositions) == [["The output increased", "the error rate decreased"], ["Fast, cheap and small parts are sold; they break"], []]
 
 
 def test_allocation(spark):
