@@ -115,3 +115,41 @@ def token_bound(texts: Sequence[Column]) -> Column:
     for t in texts:
         total = total + F.coalesce(F.octet_length(t), F.lit(0)) + 8
     return total
+
+
+def id_order(identifier: Column) -> Column:
+    """A sort key of ids: their first number, then their text."""
+    return F.struct(F.coalesce(F.regexp_extract(identifier, r"(\d+)", 1).try_cast("long"), F.lit(0)).alias("number"), identifier.alias("id"))
+
+
+def ordinal(prefix: str, start: int, place: Column) -> Column:
+    return F.concat(F.lit(prefix), (place + start - 1).cast("string"))
+
+
+def names_no(text: Column, names: Sequence[str]) -> Column:
+    """Whether a text holds none of the names, in any case."""
+    return ~F.coalesce(text, F.lit("")).rlike("(?i)(" + "|".join(sorted(names, key=len, reverse=True)) + ")")
+
+
+def without_quotes(markdown: Column) -> Column:
+    """Quoted lines (`> ...`) replaced by a note of their length."""
+    lines = F.split(markdown, "\n")
+    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"^\s*> ?\S"), F.concat(F.lit("> [REDACTED: "), F.length(x).cast("string"), F.lit(" characters]"))).otherwise(x)), "\n")
+
+
+def redacted(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit("[REDACTED: "), F.length(text).cast("string"), F.lit(" characters]"))).otherwise("")
+
+
+def neutralised(text: Column) -> Column:
+    """Text that can't close a block of untrusted text: runs of three and more signs that part blocks are cut to two."""
+    return F.regexp_replace(F.regexp_replace(text, r"<{3,}", "<<"), r">{3,}", ">>")
+
+
+def offset_in_original(text: Column, at: Column) -> Column:
+    """The offset in a text of the character at `at` in its one-spaced form: the length of what its first `at` characters, none but single spaces, take up there. Null beyond the end."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([ \t\r\n\f\x0B]+|[^ \t\r\n\f\x0B])"), 1)
+    leading = F.try_element_at(pieces, F.lit(1)).rlike(r"^[ \t\r\n\f\x0B]")
+    before = F.slice(pieces, F.lit(1), F.greatest(at + leading.cast("int"), F.lit(0)).cast("int"))
+    taken = F.aggregate(before, F.lit(0), lambda n, p: n + F.length(p))
+    return F.when((at >= 0) & (at < F.length(one_spaced(text))), taken)

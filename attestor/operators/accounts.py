@@ -2,23 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def ordered_fold(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], start: Callable[[], Any], step: Callable[..., Any], into: str, kind: str) -> DataFrame:
+    """key, the columns `order` and `into`: what step(state, *columns) gives for each row of a key in order. state is a mutable object made by start() for each key. Rows stream through the task that has their key; nothing of it is held but the state."""
+    kinds = dict(rows.dtypes)
+    kept = [key, *order]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for b in batches:
+            out = []
+            for k, *values in zip(b[key], *(b[c] for c in columns), strict=True):
+                if state is None or k != last:
+                    last, state = k, start()
+                out.append(step(state, *values))
+            yield b[kept].assign(**{into: out})
+
+    dealt = rows.select(*kept, *(c for c in columns if c not in kept)).repartition(key).sortWithinPartitions(*kept)
+    return dealt.mapInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in kept) + f", {into} {kind}")
+
+
 def reservations(requests: DataFrame, key: str, order: str, cost: str, ceiling: float) -> DataFrame:
-    """key, order, granted: a request is granted if it fits under the ceiling beside those granted before; a refused one takes nothing. Folds the ordered requests of each key, which stands for one run or day."""
-    item = F.struct(F.col(order).alias("o"), F.col(cost).cast("double").alias("c"))
-    per = requests.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<boolean>").alias("granted"))
-
-    def step(state: Column, row: Column) -> Column:
-        fits = state["used"] + row["c"] <= F.lit(ceiling) + 1e-9
-        return F.struct((state["used"] + F.when(fits, row["c"]).otherwise(0.0)).alias("used"), F.concat(state["granted"], F.array(fits)).alias("granted"))
-
-    folded = per.withColumn("granted", F.aggregate("rows", start, step)["granted"])
-    zipped = F.arrays_zip(F.col("rows.o").alias("o"), F.col("granted").alias("g"))
-    return folded.select(key, F.explode(zipped).alias("z")).select(key, F.col("z.o").alias(order), F.col("z.g").alias("granted"))
+    """key, order, granted: a request is granted if it fits under the ceiling beside those granted before; a refused one takes nothing. A key stands for one run or day."""
+
+    def step(used: list[float], c: float) -> bool:
+        fits = used[0] + c <= ceiling + 1e-9
+        used[0] += c if fits else 0.0
+        return fits
+
+    return ordered_fold(requests, key, [order], [cost], lambda: [0.0], step, "granted", "boolean")
+
+
+def first_refused(requests: DataFrame, key: str, order: str, ceilings: Mapping[str, float]) -> DataFrame:
+    """key, order, refused: the first dimension whose ceiling a request would break beside those admitted before, in the order of `ceilings`; null if it is admitted. A refused request takes nothing of any dimension."""
+    names = list(ceilings)
+
+    def step(used: list[float], *wanted: float) -> str | None:
+        for i, name in enumerate(names):
+            if used[i] + wanted[i] > ceilings[name] + 1e-9:
+                return name
+        for i, w in enumerate(wanted):
+            used[i] += w
+        return None
+
+    return ordered_fold(requests, key, [order], names, lambda: [0.0] * len(names), step, "refused", "string")
+
+
+def settled(calls: DataFrame, key: str, order: str, reserved: str, actual: str) -> DataFrame:
+    """By key: what was reserved and used, the balance that settling gives back (or takes), and how many calls broke their reservation."""
+    over = F.col(actual) > F.col(reserved) + 1e-9
+    return calls.groupBy(key).agg(
+        F.count(order).alias("calls"), F.round(F.sum(reserved), 6).alias("reserved"), F.round(F.sum(actual), 6).alias("used"), F.round(F.sum(F.col(reserved) - F.col(actual)), 6).alias("given_back"),
+        F.count_if(over).alias("breaches"), (F.sum(F.col(actual)) <= F.sum(F.col(reserved)) + 1e-9).alias("sufficient"),
+    )
+
+
+def at_most(configured: Column, ceiling: Column) -> Column:
+    """The smaller of the two; 0 and null mean unset."""
+    return F.when(F.coalesce(configured, F.lit(0)) <= 0, ceiling).otherwise(F.least(configured, ceiling))
+
+
+def cost_display(cost: Column, unpriced: Column) -> Column:
+    """The cost in dollars; why it is incomplete where calls have no price."""
+    return F.when(cost.isNull(), "n/a").when(unpriced > 0, F.concat(F.lit(">= $"), F.format_string("%.4f", cost), F.lit(" ("), unpriced.cast("string"), F.lit(" unpriced)"))).otherwise(F.concat(F.lit("$"), F.format_string("%.4f", cost)))
+
+
+def status_class(status: Column) -> Column:
+    """The class of a provider's answer: ok, auth, rate_limited, bad_request, unavailable, failed."""
+    return (
+        F.when(status.between(200, 299), "ok").when(status.isin(401, 403), "auth").when(status.isin(429, 432, 433), "rate_limited").when(status.between(400, 499), "bad_request").when(status >= 500, "unavailable").otherwise("failed")
+    )
+
+
+def public_reason(error: Column) -> Column:
+    """What a reader may be told of a failure."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    return F.when(low == "", "").when(is_rate_limit(error), "the provider refused more calls").when(low.rlike("time.?out|deadline"), "a call took too long").when(low.rlike("quota|budget|ceiling"), "a limit was reached").otherwise("an internal error")
 
 
 def call_cost(input_tokens: Column, output_tokens: Column, cached: Column, cache_write: Column, price_in: float, price_out: float, price_cached: float | None, price_write: float | None) -> tuple[Column, Column]:

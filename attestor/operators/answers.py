@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slots by question type: (slot, is it core).
@@ -28,6 +28,26 @@ def answer_coverage(required: DataFrame, published: DataFrame) -> DataFrame:
     return out.withColumn("answered", answered).withColumn("partly", ~F.col("answered") & (F.col("filled") > 0))
 
 
+def discharged(coverage: DataFrame, causal: DataFrame, pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """coverage (question_id, slot, core, claims: how many were published for it, 0 if none) with `filled`.
+
+    The slot causal_evidence needs a claim that states causation (causal: question_id). The slot `contrast` is also filled by a complete pair of sides (pairs: question_id) or by a relationship that makes a contrast needless
+    (relations: question_id).
+    """
+    flag = lambda t, name: t.select("question_id").distinct().withColumn(name, F.lit(True))
+    rows = coverage.join(flag(causal, "_causal"), "question_id", "left").join(flag(pairs, "_pair"), "question_id", "left").join(flag(relations, "_related"), "question_id", "left")
+    own = (F.col("claims") > 0) & ((F.col("slot") != "causal_evidence") | F.col("_causal").isNotNull())
+    other = (F.col("slot") == "contrast") & (F.col("_pair").isNotNull() | F.col("_related").isNotNull())
+    return rows.select("question_id", "slot", "core", "claims", (own | other).alias("filled"))
+
+
+def complete_pairs(claims: DataFrame, subjects: Column) -> DataFrame:
+    """question_id, slot, n of the slots in which every subject is spoken of by some claim. claims: question_id, slot, about (array of the subjects that a claim speaks of); subjects: array of those to be spanned, at least two."""
+    per = claims.select("question_id", "slot", subjects.alias("_all"), F.explode("about").alias("subject")).groupBy("question_id", "slot", "_all", "subject").agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy("question_id", "slot", "_all").agg(F.count(F.lit(1)).alias("spoken"), F.sum("n").alias("n"))
+    return out.where((F.size("_all") >= 2) & (F.col("spoken") == F.size("_all"))).select("question_id", "slot", "n")
+
+
 def covering(claims: DataFrame, by: str, subject: str, subjects: list[str]) -> DataFrame:
     """Values of `by` whose claims speak of all subjects."""
     per = claims.where(F.col(subject).isin(*subjects)).groupBy(by, subject).agg(F.count(F.lit(1)).alias("n"))

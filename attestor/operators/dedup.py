@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.functions import lexicon as lx
+from attestor.functions import matching
 from attestor.functions import text as tx
 
 
@@ -48,12 +54,56 @@ PLACEMENTS = ("summary", "finding", "section")
 
 
 def claims(rows: DataFrame) -> DataFrame:
-    """Which claims stay: of those with one normal text and one list of evidence the first by placement and id; framing always stays."""
+    """Which claims stay: of those with one normal text and one list of evidence the first by placement and id, and of those left the first that asserts with one set of content words in one slot. Framing always stays; a claim without slot or content words restates none."""
     place = F.array_position(F.array(*(F.lit(p) for p in PLACEMENTS)), F.col("placement"))
-    keyed = rows.withColumn("_norm", tx.claim_normal(F.col("text"))).withColumn("_at", F.struct(place.alias("p"), F.col("claim_id").alias("c")))
-    first = keyed.where("kind <> 'framing'").groupBy("_norm", "evidence_ids").agg(F.min("_at").alias("_first"))
-    joined = keyed.join(first, ["_norm", "evidence_ids"], "left")
-    return joined.select("claim_id", "placement", ((F.col("kind") == "framing") | (F.col("_at") == F.col("_first"))).alias("stays"))
+    words = tx.content_words(F.col("text"), lx.FUNCTION_WORDS)
+    keyed = rows.select("claim_id", "placement", "kind", "evidence_ids", F.trim(F.coalesce("slot", F.lit(""))).alias("_slot"), tx.claim_normal(F.col("text")).alias("_norm"), words.alias("_words"), F.struct(place.alias("p"), F.col("claim_id").alias("c")).alias("_at"))
+    owed = keyed.where("kind <> 'framing'")
+    first = owed.groupBy("_norm", "evidence_ids").agg(F.min(F.struct("_at", "_slot", "_words")).alias("f")).select("f.*")
+    restated = first.where((F.col("_slot") != "") & (F.size("_words") > 0)).groupBy("_slot", "_words").agg(F.min("_at").alias("_at")).select("_at")
+    kept = restated.unionByName(first.where((F.col("_slot") == "") | (F.size("_words") == 0)).select("_at"))
+    return keyed.select("claim_id", "placement", "kind", "_at").join(kept.withColumn("_kept", F.lit(True)), "_at", "left").select("claim_id", "placement", ((F.col("kind") == "framing") | F.col("_kept").isNotNull()).alias("stays"))
+
+
+def near_titles(candidates: DataFrame) -> DataFrame:
+    """Candidates (canonical_url, seq, domain, title) whose title is nearly that of an earlier one of their domain that is kept itself: canonical_url, kept_as (the earliest such).
+
+    Titles meet inside one domain, with equal digits and lengths that the ratio allows. Who is kept depends on who was kept before: the near pairs of a domain, not its titles, go through one task in order, which holds the
+    numbers of those given up.
+    """
+    low = F.lower(tx.one_spaced(F.coalesce("title", F.lit(""))))
+    t = candidates.select("canonical_url", "seq", "domain", low.alias("t")).where(F.length("t") >= matching.SHORTEST_TITLE)
+    t = t.withColumn("digits", F.array_join(F.regexp_extract_all("t", F.lit("([0-9]+)"), 1), ","))
+    # The ratio is twice the matched characters over both lengths, so these differ by a factor of 2 / ratio - 1 at most: two titles that can match lie in one band of lengths or in neighbouring ones.
+    band = F.floor(F.log(F.length("t").cast("double")) / math.log(2 / matching.TITLE_RATIO - 1)).cast("int")
+    later = t.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    earlier = t.select("domain", "digits", band.alias("band"), F.col("canonical_url").alias("earlier"), F.col("seq").alias("s"), F.col("t").alias("u"))
+    met = later.join(earlier, ["domain", "digits", "band"]).where(F.col("s") < F.col("seq"))
+    near = met.where(matching.titles_match(F.col("t"), F.col("u"))).select("domain", "seq", "canonical_url", "s", "earlier")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        domain, given_up = None, set()
+        for b in batches:
+            out = []
+            for d, seq, url, s, first in b.itertuples(index=False):
+                if d != domain:
+                    domain, given_up = d, set()
+                if s not in given_up and seq not in given_up:
+                    given_up.add(seq)
+                    out.append((url, first))
+            yield pd.DataFrame(out, columns=["canonical_url", "kept_as"])
+
+    return near.repartition("domain").sortWithinPartitions("domain", "seq", "s").mapInPandas(decide, "canonical_url string, kept_as string")
+
+
+def collapsed(candidates: DataFrame) -> DataFrame:
+    """Candidates without those given up for a near title; what found these is added to the one kept, whose own score and content stay."""
+    gone = near_titles(candidates)
+    lost = candidates.join(gone, "canonical_url").select("kept_as", "seq", "sub_questions")
+    more = lost.select("kept_as", "seq", F.posexplode("sub_questions").alias("i", "q")).groupBy("kept_as").agg(ordered_distinct(F.collect_set(F.struct(F.struct("seq", "i").alias("o"), F.col("q").alias("v")))).alias("more"), F.count_distinct("seq").alias("merged"))
+    kept = candidates.join(gone.select("canonical_url"), "canonical_url", "left_anti").join(more.withColumnRenamed("kept_as", "canonical_url"), "canonical_url", "left")
+    added = F.coalesce("more", F.array().cast("array<string>"))
+    return kept.withColumn("sub_questions", F.array_union("sub_questions", added)).withColumn("merged", F.coalesce("merged", F.lit(0))).drop("more")
 
 
 def first_occurrences(rows: DataFrame, key: Column, order: str, into: str = "is_first") -> DataFrame:

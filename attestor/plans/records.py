@@ -41,14 +41,31 @@ def payload_rows(spark, sf):
     return ingest.payload_rows(bodies)
 
 
-_DATES = ("2024-03-05T10:00:00Z", "2024-03-05", "Tue, 05 Mar 2024 10:00:00 GMT", "5 Mar 2024", "yesterday", "2024-13-40", "")
-
-
 @query(
-    f"""WITH {_literal("d", _DATES)} SELECT id, coalesce(try_strptime(nullif(regexp_extract(x, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), ''), '%Y-%m-%d'), try_strptime(nullif(regexp_extract(x, '^(?:[A-Z][a-z]{{2}}, )?([0-9]{{1,2}} [A-Z][a-z]{{2}} [0-9]{{4}})', 1), ''), '%-d %b %Y'))::DATE AS day FROM d"""
+    """WITH e AS (SELECT event_id, date_trunc('second', ts) AS t FROM events) SELECT event_id, strftime(CASE event_id % 8 WHEN 0 THEN t WHEN 1 THEN date_trunc('day', t) WHEN 2 THEN t WHEN 3 THEN t - INTERVAL 2 HOUR WHEN 4 THEN date_trunc('day', t) WHEN 5 THEN t END, '%Y-%m-%d %H:%M:%S') AS moment FROM e"""
 )
 def lenient_dates(spark, sf):
-    return _frame(spark, _DATES).select("id", ingest.lenient_date(F.col("x")).alias("day"))
+    """The times of events written in eight ways, two of which are no date, read back."""
+    t = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    f = lambda pattern: F.date_format(t, pattern)
+    month = F.substring(F.lit(ingest.MONTHS), F.month(t) * 3 - 2, F.lit(3))
+    mail = F.concat(F.lit("Tue, "), f("d"), F.lit(" "), month, F.lit(" "), f("yyyy"))
+    written = F.element_at(
+        F.array(
+            f("yyyy-MM-dd'T'HH:mm:ss'Z'"), f("yyyy-MM-dd"), F.concat(mail, F.lit(" "), f("HH:mm:ss"), F.lit(" GMT")), F.concat(mail, F.lit(" "), f("HH:mm:ss"), F.lit(" +0200")), F.concat(f("d"), F.lit(" "), month, F.lit(" "), f("yyyy")), f("yyyy-MM-dd HH:mm:ss"),
+            F.lit("yesterday"), F.concat(f("yyyy"), F.lit("-13-40")),
+        ),
+        (F.col("event_id") % 8 + 1).cast("int"),
+    )
+    return vw.table(spark, sf, "events").select("event_id", F.date_format(ingest.lenient_time(written), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
+@query("SELECT page_id, page_id % 5 IN (0, 1, 3) AS is_pdf FROM pages")
+def pdf_sniffing(spark, sf):
+    """Pages as responses: PDF marks at the start, after some bytes, after HTML; a PDF content type; none."""
+    html = F.concat(F.lit("<html>"), F.col("html"))
+    body = F.element_at(F.array(F.concat(F.lit("%PDF-1.7 "), F.col("html")), F.lit("junk %PDF-1.4"), F.concat(F.lit("<html>%PDF-"), F.col("html")), html, html), (F.col("page_id") % 5 + 1).cast("int"))
+    return vw.table(spark, sf, "pages").select("page_id", ingest.looks_like_pdf(body, F.when(F.col("page_id") % 5 == 3, "application/pdf").otherwise("text/html")).alias("is_pdf"))
 
 
 @query(

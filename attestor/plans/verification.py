@@ -59,12 +59,15 @@ def support_breakdown(spark, sf):
 
 
 @query(
-    f"""WITH {_VERDICTS_SQL}, d AS (SELECT conv_id AS contradiction_id, turn % 2 AS side, max(CASE WHEN v.verdict = 'supported' THEN 1 ELSE 0 END) AS ok FROM v_claims c LEFT JOIN v USING (claim_id) GROUP BY ALL)
-    SELECT contradiction_id FROM d GROUP BY 1 HAVING count(*) >= 2 AND sum(ok) = count(*)"""
+    f"""WITH {_VERDICTS_SQL}, d AS (SELECT conv_id % 11 AS contradiction_id, conv_id // 50 % 2 AS side, max(CASE WHEN v.verdict = 'supported' THEN 1 ELSE 0 END) AS ok FROM v_claims c LEFT JOIN v USING (claim_id) GROUP BY ALL),
+    b AS (SELECT contradiction_id, count(*) >= 2 AND sum(ok) = count(*) AS sound FROM d GROUP BY 1) SELECT * FROM b"""
 )
 def sound_contradictions(spark, sf):
+    """Whether both sides of a disagreement, each with the claims of several conversations, have a supported one."""
     claims = vw.claims(spark, sf)
-    return gate.both_sides(claims.select(F.col("conv_id").alias("contradiction_id"), (F.col("turn") % 2).alias("side"), "claim_id"), _verdicts(spark, sf))
+    sides = claims.select((F.col("conv_id") % 11).alias("contradiction_id"), (F.floor(F.col("conv_id") / 50) % 2).alias("side"), "claim_id")
+    sound = gate.both_sides(sides, _verdicts(spark, sf)).withColumn("s", F.lit(True))
+    return sides.select("contradiction_id").distinct().join(sound, "contradiction_id", "left").select("contradiction_id", F.coalesce("s", F.lit(False)).alias("sound"))
 
 
 @query(
@@ -98,12 +101,12 @@ def gap_causes(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT question_id, repetition FROM v_runs WHERE arm = 'cloud'), b AS (SELECT DISTINCT question_id, repetition FROM v_runs WHERE arm = 'local')
+    """WITH a AS (SELECT DISTINCT question_id, repetition FROM v_runs WHERE arm = 'cloud' AND repetition % 7 <> 0), b AS (SELECT DISTINCT question_id, repetition FROM v_runs WHERE arm = 'local' AND repetition % 11 <> 0)
     SELECT coalesce(a.question_id, b.question_id) AS question_id, coalesce(a.repetition, b.repetition) AS repetition, a.question_id IS NOT NULL AS in_cloud, b.question_id IS NOT NULL AS in_local FROM a FULL JOIN b ON a.question_id = b.question_id AND a.repetition = b.repetition WHERE a.question_id IS NULL OR b.question_id IS NULL"""
 )
 def unmatched_keys(spark, sf):
-    """Keys that only one arm has."""
-    r = vw.runs(spark, sf)
+    """Keys that only one arm has; the cloud arm was not run for every 7th repetition, the local one not for every 11th."""
+    r = vw.runs(spark, sf).where(F.col("repetition") % F.when(F.col("arm") == "cloud", 7).otherwise(11) != 0)
     side = lambda arm, name: r.where(F.col("arm") == arm).select("question_id", "repetition").distinct().withColumn(name, F.lit(True))
     out = side("cloud", "in_cloud").join(side("local", "in_local"), ["question_id", "repetition"], "full").fillna(False, ["in_cloud", "in_local"])
     return out.where("not (in_cloud and in_local)")

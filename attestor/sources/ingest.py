@@ -20,11 +20,33 @@ def lenient_double(text: Column) -> Column:
     return text.try_cast("double")
 
 
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def lenient_time(text: Column) -> Column:
+    """The moment, in UTC, of an ISO time or day or a mail date; without a zone it is in UTC; null for anything else."""
+    t = F.trim(text)
+    iso = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$")
+    part = lambda i: F.regexp_extract(t, r"^(?:[A-Z][a-z]{2}, )?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4})(?: (\d{2}:\d{2}(?::\d{2})?))?(?: (GMT|UTC|UT|Z|[+-]\d{4}))?$", i)
+    month = (F.position(part(2), F.lit(MONTHS)) + 2) / 3
+    mail = F.when(
+        (part(3) != "") & (F.position(part(2), F.lit(MONTHS)) > 0),
+        F.concat(part(3), F.lit("-"), F.lpad(month.cast("int").cast("string"), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), F.coalesce(F.nullif(part(4), F.lit("")), F.lit("00:00")), F.when(part(5).rlike("^[+-]"), part(5)).otherwise("Z")),
+    )
+    whole = F.coalesce(F.when(iso, F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00"))).otherwise(t)), mail)
+    whole = F.regexp_replace(whole, r"([T ]\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00")
+    zoned = F.when(whole.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & ~whole.rlike(r"^\d{4}-\d{2}-\d{2}$"), whole).otherwise(F.concat(whole, F.lit("Z")))
+    return F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+
+
 def lenient_date(text: Column) -> Column:
-    """The day of an ISO time, an ISO day or a mail date; null for anything else."""
-    iso = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1)
-    mail = F.regexp_extract(text, r"^(?:[A-Z][a-z]{2}, )?(\d{1,2} [A-Z][a-z]{2} \d{4})", 1)
-    return F.coalesce(F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.nullif(mail, F.lit("")), F.lit("d MMM yyyy"))).cast("date")
+    return F.substring(F.from_utc_timestamp(lenient_time(text), "UTC").cast("string"), 1, 10).try_cast("date")
+
+
+def looks_like_pdf(body: Column, content_type: Column) -> Column:
+    """A PDF by its first bytes, by the same mark within the first 1024 if no HTML begins before, or by the content type. body: the beginning of the response as text."""
+    head = F.left(F.coalesce(body, F.lit("")), F.lit(1024))
+    return head.startswith("%PDF-") | (head.contains("%PDF-") & ~F.lower(head).contains("<html")) | F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False))
 
 
 def fetch_status(status: Column, content_type: Column, length: Column, most: int = 5_000_000) -> Column:
