@@ -1,9 +1,11 @@
+import difflib
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.operators import answers, coverage, dedup, gate, measure, merge, resolve
+from attestor.operators import accounts, answers, captures, coverage, dedup, gate, measure, merge, resolve
 from attestor.sources import ingest
 
 RESULTS = "seq long, url string, title string, domain string, score double, query_id string, sub_question_id string, canonical_url string, content string"
@@ -27,9 +29,13 @@ def test_candidates_merge_provenance(spark):
 
 
 def test_claims_and_content(spark):
-    rows = [(1, "section", "A b.", ["e1"], "substantive"), (2, "summary", "a  B", ["e1"], "substantive"), (3, "finding", "a b", ["e2"], "substantive"), (4, "section", "a b", ["e1"], "framing")]
-    df = spark.createDataFrame(rows, "claim_id long, placement string, text string, evidence_ids array<string>, kind string")
-    assert {r.claim_id for r in dedup.claims(df).where("stays").collect()} == {2, 3, 4}
+    rows = [
+        (1, "section", "A b.", ["e1"], "substantive", ""), (2, "summary", "a  B", ["e1"], "substantive", ""), (3, "finding", "a b", ["e2"], "substantive", ""), (4, "section", "a b", ["e1"], "framing", ""),
+        (5, "summary", "caches speed reads", ["e3"], "substantive", "s"), (6, "section", "Reads: the caches speed.", ["e4"], "substantive", "s"), (7, "section", "reads caches speed", ["e4"], "substantive", "t"), (8, "section", "of the", ["e5"], "substantive", "s"), (9, "section", "the of", ["e5"], "substantive", "s"),
+        (10, "section", "reads caches speed", ["e6"], "substantive", None),
+    ]
+    df = spark.createDataFrame(rows, "claim_id long, placement string, text string, evidence_ids array<string>, kind string, slot string")
+    assert {r.claim_id for r in dedup.claims(df).where("stays").collect()} == {2, 3, 4, 5, 7, 8, 9, 10}
     src = spark.createDataFrame([("S1", 1, "h", True), ("S2", 2, "h", True), ("S0", 0, "h", False), ("S3", 3, None, True)], "source_id string, doc_id long, content_hash string, usable boolean")
     assert {r.source_id: r.duplicate_of for r in dedup.by_content(src).collect()} == {"S1": None, "S2": "S1", "S0": None, "S3": None}
 
@@ -43,7 +49,7 @@ def test_gate_is_closed_by_default(spark):
     scores = spark.createDataFrame(scores, "claim_id long, evidence_id string, entailment double, neutral double, contradiction double, guards_passed boolean, truncated boolean")
     got = {r.claim_id: (r.verdict, r.best_evidence, r.reason) for r in gate.verdicts(claims, gate.scoring_pairs(claims, evidence), scores, ranks).collect()}
     assert got == {0: ("supported", "e2", ""), 1: ("partial", None, "guard failed"), 2: ("partial", None, "guard failed"), 3: ("unchecked", None, "no valid score"), 4: ("unchecked", None, "no valid score"), 5: ("partial", None, "below threshold")}
-    verdicts = spark.createDataFrame([("t", ["e1", "e2", "gone"], "supported"), ("other", ["e1"], "supported")], "text string, evidence_ids array<string>, verdict string")
+    verdicts = spark.createDataFrame([("t", ["e1", "e2", "gone"], "supported"), ("t", ["e1", "e2", "gone"], "supported"), ("other", ["e1"], "supported")], "text string, evidence_ids array<string>, verdict string")
     assert {r.claim_id for r in resolve.published(claims.withColumn("text", F.when(F.col("claim_id") == 3, "x").otherwise(F.col("text"))), verdicts).where("published").collect()} == {0, 1, 2, 4, 5, 9}
 
 
@@ -92,3 +98,37 @@ def test_answers(spark):
     pub = spark.createDataFrame([(1, "mechanism"), (2, "members"), (2, "members")], "question_id int, slot string")
     got = {r.question_id: (r.answered, r.partly, r.repeats) for r in answers.answer_coverage(answers.slots(q), pub).collect()}
     assert got == {1: (False, True, 0), 2: (True, False, 1)}
+
+
+def test_near_titles(spark):
+    base = "A practical guide to caching and queues"
+    titles = [(1, "d", base), (2, "d", base + "!"), (3, "e", base + "!"), (4, "d", base + " 2"), (5, "d", "Short"), (6, "d", "short"), (7, "d", None), (8, "d", base + "!!"), (9, "d", base + "!!!!!!!"), (10, "d", base.upper())]
+    rows = [(f"u{i}", i, d, t, [f"SQ{i}"]) for i, d, t in titles]
+    df = spark.createDataFrame(rows, "canonical_url string, seq long, domain string, title string, sub_questions array<string>")
+    alike = lambda a, b: len(a) >= 20 and len(b) >= 20 and re.findall(r"\d+", a) == re.findall(r"\d+", b) and difflib.SequenceMatcher(None, a, b).ratio() >= 0.92
+    want, kept = {}, []
+    for i, d, t in titles:
+        low = " ".join((t or "").lower().split())
+        first = next((u for u, e, x in kept if e == d and alike(low, x)), None)
+        if first is None:
+            kept.append((f"u{i}", d, low))
+        else:
+            want[f"u{i}"] = first
+    assert {r.canonical_url: r.kept_as for r in dedup.near_titles(df).collect()} == want and want
+    got = {r.canonical_url: r for r in dedup.collapsed(df).collect()}
+    assert set(got) == {u for u, _, _ in kept} and got["u1"].merged == sum(v == "u1" for v in want.values())
+    assert got["u1"].sub_questions == ["SQ1", *(f"SQ{u[1:]}" for u, v in want.items() if v == "u1")]
+
+
+def test_folds(spark):
+    rows = spark.createDataFrame([("a", i, c, 1.0) for i, c in enumerate([40.0, 70.0, 50.0, 10.0, 1.0])] + [("b", 9, 101.0, 1.0)], "k string, i int, c double, n double").repartition(5)
+    assert {(r.k, r.i): r.granted for r in accounts.reservations(rows, "k", "i", "c", 100.0).collect()} == {("a", 0): True, ("a", 1): False, ("a", 2): True, ("a", 3): True, ("a", 4): False, ("b", 9): False}
+    assert {(r.k, r.i): r.refused for r in accounts.first_refused(rows, "k", "i", {"n": 2, "c": 100.0}).collect()} == {("a", 0): None, ("a", 1): "c", ("a", 2): None, ("a", 3): "n", ("a", 4): "n", ("b", 9): "c"}
+    assert accounts.reservations(rows.limit(0), "k", "i", "c", 1.0).count() == 0
+
+
+def test_payloads(spark):
+    rows = spark.createDataFrame([(1, '{"a": {"Token": 1, "b": ["x", "sk-' + "a" * 32 + '"]}}'), (2, None), (3, "[]")], "id long, body string")
+    got = sorted((r.id, r.path, r.fault) for r in captures.payload_faults(captures.json_nodes(rows, "id", "body"), "id").collect() if r.path)
+    assert got == [(1, "$.a.Token", "forbidden key"), (1, "$.a.b[1]", "credential")]
+    assert [r.id for r in captures.payload_faults(captures.json_nodes(rows, "id", "body"), "id").where("fault = 'unreadable'").collect()] == [2]

@@ -1,9 +1,13 @@
-"""Queries whose SQL holds less than the whole job, against plain code."""
+"""Queries over whole tables and texts, against plain code."""
 
+import difflib
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from attestor.functions import lexicon as lx
+from attestor.functions import urls
 
 
 def terms(text):
@@ -12,7 +16,7 @@ def terms(text):
     return {*tokens, *parts} - set(lx.TOPIC_STOPWORDS)
 
 
-def test_topical_overlap_meets_every_item(spark, tmp_path):
+def test_topical_overlap_meets_every_item_that_shares_a_term(spark, tmp_path):
     docs = [(1, "Quantum-resistant signatures and lattice ciphers"), (42, "lattice red"), (83, None), (7, "the of and")]
     items = [(0, "signatures of lattice"), (1, "red blue"), (2, "of the"), (45, "ciphers"), (46, "green")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -21,9 +25,10 @@ def test_topical_overlap_meets_every_item(spark, tmp_path):
     for d, e in docs:
         for i, q in items:
             s = terms(q) & terms(e)
-            want[d, i] = (len(s), not terms(q) or any(len(t) >= 8 for t in s) or len(s) >= min(2, len(terms(q))))
+            if s:
+                want[d, i] = (len(s), any(len(t) >= 8 for t in s) or len(s) >= min(2, len(terms(q))))
     got = entry.queries()["topical_overlap"](spark, str(tmp_path)).collect()
-    assert len(got) == len(docs) * len(items) and {(r.doc_id, r.item_id): (r.shared, r.plausible) for r in got} == want
+    assert len(got) == len(want) > 3 and {(r.doc_id, r.item_id): (r.shared, r.plausible) for r in got} == want
 
 
 def test_citation_markers_reads_whole_texts(spark, tmp_path):
@@ -32,3 +37,43 @@ def test_citation_markers_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: (r.ids, r.plain) for r in entry.queries()["citation_markers"](spark, str(tmp_path)).collect()}
     assert got == {1: (["S7", "S8", "S1", "S0"], f"{long.strip()} tail and end"), 2: (["S2", "S3"], "short and end"), 4: (["S4"], f"{long} and end"), 5: (None, None)}
+
+
+def test_exact_quotes_of_any_length(spark, tmp_path):
+    docs = [(1, "Alpha  beta gamma delta epsilon zeta eta"), (2, "xalpha beta gammax"), (3, "word " * 30_000 + "one two three four five six"), (4, None), (5, "")]
+    items = [(0, "alpha beta"), (1, "beta gamma delta"), (2, "one two three four five six"), (3, "alph"), (4, "beta gamma delta epsilon"), (5, "lpha beta gamma delta epsilon zet"), (6, "beta"), (7, "nowhere to be found at all here")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda t: " ".join(t.lower().split())
+    want = {(f"S{d}", i) for d, t in docs if t is not None for i, q in items if plain(q) in plain(t)}
+    got = entry.queries()["exact_quotes"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > 8 and {(r.source_id, r.item_id) for r in got} == want
+
+
+def test_quote_classes(spark):
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    quote = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    plain = lambda t: re.sub("[ \t\r\n\f\x0b]+", " ", t.translate(str.maketrans("‘’“”–— ", "''\"\"-- "))).strip().lower()
+    rows = entry.queries()["quote_classes"](spark, sf).collect()
+    for r in rows:
+        q, t = plain(quote[r.item_id]), plain(text[r.doc_id])
+        best = 0.0 if q in t else max(difflib.SequenceMatcher(None, t[s : s + len(q)], q, autojunk=False).ratio() for s in range(0, max(1, len(t) - len(q) + 1), max(1, len(q) // 4)))
+        assert r.quote_match == ("exact" if q in t else "fuzzy" if best >= 0.88 else "none")
+    assert len(rows) > 50 and {r.quote_match for r in rows} >= {"exact", "none"}
+
+
+def test_page_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in entry.queries()["page_texts"](spark, sf).collect():
+        assert "track(" not in r.text and "<p>" not in r.text and "margin:0" not in r.text
+        seen = re.search("<p>([^<&]{20,40})", html[r.page_id])
+        assert r.text and (seen is None or " ".join(seen[1].split()) in " ".join(r.text.split()))
+
+
+def test_unsafe_addresses(spark):
+    cases = [("http://a.org/", None), ("http://a.org:81/", "port"), ("file:///x", "scheme"), ("http://u@localhost/", "local host"), ("http://[::1]:8080/", "blocked address"), ("http://[::ffff:192.168.1.1]/", "blocked address"), ("http://[fe80::1%25eth0]/", "blocked address"),
+             ("http://[2606:4700::1111]/", None), ("http://[nonsense]/", "blocked address"), ("http://172.31.0.1/", "private address"), ("http://172.32.0.1/", None), ("http://198.18.0.1/", "private address"), (None, "scheme"), ("http:///x", "no host")]
+    rows = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "i int, u string").orderBy("i")
+    assert [r.w for r in rows.select(urls.unsafe_reason(F.col("u")).alias("w")).collect()] == [w for _, w in cases]
