@@ -19,21 +19,36 @@ FUZZY_QUOTE, SHORTEST_QUOTE = 0.88, 12
 TITLE_RATIO, SHORTEST_TITLE = 0.92, 20
 
 
-def _best_window(needle: str, text: str) -> float:
-    """The best ratio of the needle against windows of its length, a quarter of it apart. Word overlap is looked at first, which rules out most windows cheaply."""
+def common_subsequence(places: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of a string of n characters and a text, bit-parallel: places has the positions of each character of the string as bits."""
+    every = (1 << n) - 1
+    free = every
+    for c in text:
+        met = free & places.get(c, 0)
+        free = ((free + met) | (free - met)) & every
+    return n - free.bit_count()
+
+
+def is_close(needle: str, text: str) -> bool:
+    """Whether a window of the needle's length, a quarter of it apart, has the ratio of a fuzzy quote. The characters that the ratio counts stand in the same order in both, so the longest common subsequence bounds it; windows beyond the bound, nearly all, need no more than that."""
     n = len(needle)
-    best, matcher = 0.0, difflib.SequenceMatcher(autojunk=False)
+    places: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        places[c] = places.get(c, 0) | 1 << i
+    matcher = difflib.SequenceMatcher(autojunk=False)
     matcher.set_seq2(needle)
     for start in range(0, max(1, len(text) - n + 1), max(1, n // 4)):
-        matcher.set_seq1(text[start : start + n])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > max(best, FUZZY_QUOTE - 1e-9):
-            best = max(best, matcher.ratio())
-    return best
+        window = text[start : start + n]
+        if 2 * common_subsequence(places, n, window) >= FUZZY_QUOTE * (n + len(window)) - 1e-9:
+            matcher.set_seq1(window)
+            if matcher.ratio() >= FUZZY_QUOTE:
+                return True
+    return False
 
 
 @F.pandas_udf(T.BooleanType())
 def _fuzzy(needles: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([bool(n) and bool(t) and _best_window(n, t) >= FUZZY_QUOTE for n, t in zip(needles, texts, strict=True)], dtype=bool)
+    return pd.Series([bool(n) and bool(t) and is_close(n, t) for n, t in zip(needles, texts, strict=True)], dtype=bool)
 
 
 def quote_match(quote: Column, text: Column) -> Column:
