@@ -124,8 +124,8 @@ def manifest_drift(spark, sf):
 
 
 @query(
-    """WITH h AS (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, lang, n_chars::VARCHAR)) AS h FROM documents), g AS (SELECT substr(h, 1, 3) AS g, sha256(string_agg(h, '' ORDER BY h)) AS gh, count(*) AS n FROM h GROUP BY 1)
-    SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(gh, '' ORDER BY g)) AS hash FROM g"""
+    """WITH h AS (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, lang, n_chars::VARCHAR)) AS h FROM documents), a AS (SELECT substr(h, 1, 6) AS g, sha256(string_agg(h, '' ORDER BY h)) AS gh, count(*) AS n FROM h GROUP BY 1),
+    b AS (SELECT substr(g, 1, 3) AS g, sha256(string_agg(gh, '' ORDER BY g)) AS gh, sum(n) AS n FROM a GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(gh, '' ORDER BY g)) AS hash FROM b"""
 )
 def corpus_hash(spark, sf):
     return merge.table_hash(vw.table(spark, sf, "documents"), ["doc_id", "lang", "n_chars"])
