@@ -1,6 +1,6 @@
 import numpy as np
 
-from attestor.llm.quality import STATISTICS, described, fit, isotonic, op7_quality, scored, statistics
+from attestor.llm.quality import BINS, FOURIER, RIDGE, STATISTICS, described, fit, isotonic, op7_quality, projections, scored, statistics
 
 SF = "/root/testdata/sf0.1"
 
@@ -45,3 +45,29 @@ def test_rows(spark):
     assert {r.score for r in scored(stats, fit(stats, labels.where("quality = 1"))).collect()} == {1.0}
     assert {r.score for r in scored(stats, fit(stats, labels.limit(0))).collect()} == {0.5}
     assert scored(stats.limit(0), fit(stats, labels)).count() == 0
+
+
+def test_fit_and_scores_against_plain_code(spark):
+    """The model from sums over partitions equals one from all rows at once, and every score is that of plain code."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stats = described(docs)
+    model = fit(stats, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: float(r.quality > 0) for r in labels.collect()}
+    known = sorted(label)
+    x, y = np.array([statistics(text[i]) for i in known]), np.array([label[i] for i in known])
+    center, spread = x.mean(axis=0), x.std(axis=0)
+    assert np.allclose(model.center, center, atol=1e-6) and np.allclose(model.spread, np.maximum(spread, 1e-6), atol=1e-6)
+    z = np.clip((x - model.center) / model.spread, -6, 6) @ projections(x.shape[1])
+    f = np.hstack([np.cos(z) * np.sqrt(2 / FOURIER), np.sin(z) * np.sqrt(2 / FOURIER), np.ones((len(x), 1))])
+    w = np.where(y > 0, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()))
+    weights = np.linalg.solve((f * w[:, None]).T @ f + RIDGE * np.eye(f.shape[1]), (f * w[:, None]).T @ y)
+    assert np.allclose(model.weights, weights, atol=1e-5)
+    bins = np.clip(((f @ model.weights + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
+    steps = isotonic(np.bincount(bins, y, BINS), np.bincount(bins, minlength=BINS))
+    assert np.abs(steps - model.steps).max() < 0.05 and (np.diff(model.steps) >= 0).all()
+    for r in scored(stats, model).collect():
+        raw = float(model.fourier(np.array([statistics(text[r.doc_id])]))[0] @ model.weights)
+        near = [model.steps[min(max(int((raw + e + 0.5) / 2 * BINS), 0), BINS - 1)] for e in (-1e-9, 0, 1e-9)]
+        assert min(abs(r.score - n) for n in near) < 1e-8
