@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.functions import matching, wording
 from attestor.operators.resolve import cited
 
 #: Entailment from which a quote supports a claim, and the two marks of the diagnosis.
@@ -78,3 +79,28 @@ def gap_causes(questions: DataFrame, queried: DataFrame, results: DataFrame, fet
         out = out.join(table.select("question_id").distinct().withColumn(name, F.lit(True)), "question_id", "left")
     cause = F.when(F.col("q").isNull(), "never queried").when(F.col("r").isNull(), "no results").when(F.col("f").isNull(), "no page fetched").otherwise("nothing extracted")
     return out.select("question_id", cause.alias("cause"))
+
+
+def verify(claims: DataFrame, quotes: DataFrame, scores: DataFrame, threshold: float = SUPPORT) -> DataFrame:
+    """The whole gate for claims (claim_id, text): claim_id, parts, supported_parts, supported, best_quote, failed (names of guards that refused a quote scored high enough), reason.
+
+    A claim is parted into its propositions; each must be supported by a quote of its own: one that entails it at the threshold and whose guards all pass on that part. quotes: claim_id, quote_id, quote, domain, rank, quality;
+    scores: claim_id, part (from 0), quote_id, entailment, neutral, contradiction. Closed by default: no part, no quote, no score or no distribution means no support.
+    """
+    parts = claims.select("claim_id", F.posexplode(matching.propositions("text")).alias("part", "said"))
+    rows = parts.join(quotes, "claim_id", "left").join(scores, ["claim_id", "part", "quote_id"], "left")
+    valid = is_distribution(F.col("entailment"), F.col("neutral"), F.col("contradiction"))
+    rows = rows.withColumn("_high", valid & F.coalesce(F.col("entailment") >= threshold, F.lit(False)))
+    guards = F.when(F.col("_high"), wording.run_guards(F.col("said"), F.col("quote"), F.col("domain")))  # only for what scored high enough
+    rows = rows.withColumn("_failed", F.transform(F.filter(guards, lambda g: ~g["passed"]), lambda g: g["name"])).withColumn("_ok", F.col("_high") & (F.size("_failed") == 0))
+    order = F.struct("rank", "quality", "entailment", "quote_id")
+    per = rows.groupBy("claim_id", "part").agg(F.max(F.col("_ok").cast("int")).alias("ok"), F.max(F.when(F.col("_ok"), order)).alias("best"), F.max(valid.cast("int")).alias("scored"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_failed")))).alias("failed"))
+    each = per.groupBy("claim_id").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("ok").alias("supported_parts"), F.max("best").alias("best"), F.min(F.coalesce("scored", F.lit(0))).alias("scored"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("ok") == 0, F.col("failed")))))).alias("failed"),
+    )
+    out = claims.select("claim_id").join(each, "claim_id", "left").fillna(0, ["parts", "supported_parts", "scored"])
+    supported = (F.col("parts") > 0) & (F.col("supported_parts") == F.col("parts"))
+    failed = F.coalesce("failed", F.array().cast("array<string>"))
+    reason = F.when(supported, "").when(F.col("parts") == 0, "states nothing").when(F.col("scored") == 0, "a part has no valid score").when(F.size(failed) > 0, F.concat(F.lit("withheld by deterministic guards: "), F.array_join(failed, ", "))).otherwise("below threshold")
+    return out.select("claim_id", "parts", "supported_parts", supported.alias("supported"), F.when(supported, F.col("best.quote_id")).alias("best_quote"), failed.alias("failed"), reason.alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import lexicon as lx
 from attestor.functions import matching, wording
+from attestor.operators import gate
 from attestor.plans.queries import query
 from attestor.sources import views as vw
 
@@ -233,3 +234,29 @@ def claim_rewrites(spark, sf):
     rows = with_cases(spark, sf, [c[:4] for c in REWRITE_CASES], "original string, rewritten string, reason string, supported boolean")
     why, text = F.col("reason"), F.col("rewritten")
     return rows.select("conv_id", "turn", wording.rewrite_fault(F.col("original"), text).alias("fault"), wording.failed_guard_names(why).alias("guards"), wording.is_repairable(why, F.col("supported")).alias("repairable"), wording.modality_level(text).alias("level"))
+
+
+# claim, quotes, domains, ranks, entailment by part and quote (row-major); parts, supported parts, best quote, failed guards, reason
+GATE_CASES = [
+    ("{z} cuts cost.", ["{z} cuts cost.", "{z} cuts cost by far."], ["a.org", "b.org"], [1, 3], [0.99, 0.985], 1, 1, 1, [], ""),
+    ("{z} cuts cost.", ["{z} may cut cost."], ["a.org"], [1], [0.99], 1, 0, None, ["hedge"], "withheld by deterministic guards: hedge"),
+    ("{z} cuts cost.", ["{z} cuts cost."], ["a.org"], [1], [0.5], 1, 0, None, [], "below threshold"),
+    ("{z} cuts cost, and the cache grows.", ["{z} cuts cost.", "The cache grows."], ["a.org", "b.org"], [2, 1], [0.99, 0.1, 0.1, 0.99], 2, 2, 0, [], ""),
+    ("{z} cuts cost, and the cache grows.", ["{z} cuts cost.", "The cache grows."], ["a.org", "b.org"], [2, 1], [0.99, 0.1, 0.1, 0.2], 2, 1, None, [], "below threshold"),
+    ("{z} cuts cost by 40%.", ["{z} cuts cost by 40%.", "{z} cuts cost."], ["a.org", "b.org"], [1, 3], [0.99, 0.99], 1, 1, 0, [], ""),
+    ("NIST requires {z}.", ["{z} is required."], ["blog.com"], [1], [0.99], 1, 0, None, ["attribution"], "withheld by deterministic guards: attribution"),
+    ("{z} cuts cost.", ["{z} cuts cost."], ["a.org"], [1], [1.5], 1, 0, None, [], "a part has no valid score"),
+    ("{z} cuts cost.", [], [], [], [], 1, 0, None, [], "a part has no valid score"),
+    ("", ["{z} cuts cost."], ["a.org"], [1], [0.99], 0, 0, None, [], "states nothing"),
+]
+
+
+@query(expected([c[5:] for c in GATE_CASES], "parts, supported_parts, best_quote, failed, reason"))
+def verified_claims(spark, sf):
+    """The whole gate: propositions, scores by quote, nine guards, the best quote and the reason of a refusal."""
+    rows = with_cases(spark, sf, [c[:5] for c in GATE_CASES], "text string, quotes array<string>, domains array<string>, ranks array<int>, scores array<double>").withColumn("claim_id", F.concat_ws("-", "conv_id", "turn"))
+    q = rows.select("claim_id", F.posexplode(F.arrays_zip("quotes", "domains", "ranks")).alias("quote_id", "q")).select("claim_id", "quote_id", F.col("q.quotes").alias("quote"), F.col("q.domains").alias("domain"), F.col("q.ranks").alias("rank"), F.lit(0.5).alias("quality"))
+    s = rows.select("claim_id", F.size("quotes").alias("n"), F.posexplode("scores").alias("i", "entailment"))
+    s = s.select("claim_id", F.floor(F.col("i") / F.col("n")).cast("int").alias("part"), (F.col("i") % F.col("n")).alias("quote_id"), "entailment", F.greatest(1 - F.col("entailment"), F.lit(0.0)).alias("neutral"), F.lit(0.0).alias("contradiction"))
+    found = gate.verify(rows.select("claim_id", "text"), q, s)
+    return rows.select("claim_id", "conv_id", "turn").join(found, "claim_id").select("conv_id", "turn", F.col("parts").cast("int").alias("parts"), F.col("supported_parts").cast("int").alias("supported_parts"), "best_quote", "failed", "reason")
