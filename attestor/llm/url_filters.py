@@ -19,6 +19,8 @@ from attestor.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Customary second levels under suffixes of two letters.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 #: Bytes of the table of hosts that is broadcast at most.
 BROADCAST_BYTES = 64 << 20
 #: (verdict, host, path) in force.
@@ -49,7 +51,7 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return chain if chain is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def levels(host: Column, second_level: Sequence[str] = ("ac", "co", "com", "edu", "gov", "net", "org")) -> tuple[Column, Column]:
+def levels(host: Column, second_level: Sequence[str] = SECOND_LEVEL) -> tuple[Column, Column]:
     """(registered domain, suffix): the suffix is the last label, or the last two where the last has two letters and the one before is a customary second level."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
@@ -126,7 +128,7 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 o AS (SELECT host, count(*) AS pages, count(quality) AS n, coalesce(sum(1 - quality), 0)::DOUBLE AS bad FROM p LEFT JOIN labels ON doc_id = page_id GROUP BY 1),
 l AS (SELECT *, string_split(host, '.') AS parts FROM o),
-k AS (SELECT *, len(parts) > 2 AND length(parts[-1]) = 2 AND parts[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AS two FROM l),
+k AS (SELECT *, len(parts) > 2 AND length(parts[-1]) = 2 AND parts[-2] IN {SECOND_LEVEL} AS two FROM l),
 h AS (SELECT host, pages, n, bad, CASE WHEN two THEN parts[-2] || '.' || parts[-1] ELSE parts[-1] END AS suffix, array_to_string(parts[greatest(len(parts) - CASE WHEN two THEN 2 ELSE 1 END, 1):], '.') AS domain FROM k),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
 s1 AS (SELECT suffix, (bad + {strength("s")} * (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM s)) / (n + {strength("s")}) AS m1 FROM s),
