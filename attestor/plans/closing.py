@@ -11,6 +11,7 @@ from attestor.operators import coverage as cv
 from attestor.plans.language import expected, with_cases
 from attestor.plans.queries import query
 from attestor.plans.verification import _VERDICTS_SQL, _verdicts
+from attestor.sources import ingest
 from attestor.sources import views as vw
 
 # --- Reconciliation ----------------------------------------------------------------------------------------------------------------------------------------
@@ -205,3 +206,45 @@ def deadline_reports(spark, sf):
     """Runs whose time ran out (six turns and more) show a report only if it was verified."""
     c = vw.table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or((F.col("role") == "assistant") & (F.col("turn") % 4 == 1)).alias("verified"), (F.max("turn") >= 5).alias("timed_out"))
     return c.withColumn("shown", ~(F.col("timed_out") & ~F.col("verified")))
+
+
+# --- Records, pages, links ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM conversations),
+    a AS (SELECT conv_id, count(*) AS pages, count(*) FILTER (i <= 3 AND o + n <= 900) AS kept, CAST(coalesce(sum(n) FILTER (i <= 3 AND o + n <= 900), 0) AS BIGINT) AS chars FROM p GROUP BY 1) SELECT *, kept < pages AS cut, chars < 40 * least(pages, 3) AS scanned FROM a"""
+)
+def page_summaries(spark, sf):
+    """Conversations as documents whose turns are pages: three pages and 900 characters are kept at most."""
+    return ingest.page_summaries(vw.table(spark, sf, "conversations"), "conv_id", "turn", "text", 3, 900)
+
+
+@query(
+    f"""WITH {_VERDICTS_SQL} SELECT v.claim_id, c.kind, len(c.evidence_ids) AS cited, v.verdict, v.best_evidence, v.reason, CASE WHEN v.entailment IS NULL THEN 'not scored' WHEN v.entailment < 0.98 THEN 'below 0.98 (' || printf('%.4f', floor(v.entailment * 10000 + 0.0000001::DOUBLE) / 10000) || ')' ELSE 'at or over 0.98' END AS shown,
+    substr(sha256(c.text || '|' || array_to_string(c.evidence_ids, ',')), 1, 12) AS claim_key FROM v JOIN v_claims c USING (claim_id)"""
+)
+def claim_judgments(spark, sf):
+    """The record of each judged claim: its key, what it cites, verdict, reason, and its score shown so that one under the threshold never reads as at it."""
+    c = vw.claims(spark, sf).select("claim_id", "kind", F.size("evidence_ids").cast("long").alias("cited"), F.left(F.sha2(F.concat("text", F.lit("|"), F.array_join("evidence_ids", ",")), 256), F.lit(12)).alias("claim_key"))
+    floor = F.format_string("%.4f", F.floor(F.col("entailment") * 10000 + 1e-7) / 10000)
+    shown = F.when(F.col("entailment").isNull(), "not scored").when(F.col("entailment") < 0.98, F.concat(F.lit("below 0.98 ("), floor, F.lit(")"))).otherwise("at or over 0.98")
+    return _verdicts(spark, sf).join(c, "claim_id").select("claim_id", "kind", "cited", "verdict", "best_evidence", "reason", shown.alias("shown"), "claim_key")
+
+
+@query(
+    """WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"#?]*)', 1))) AS target FROM pages), k AS (SELECT DISTINCT regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS target FROM pages) SELECT page_id, target FROM l WHERE target NOT IN (SELECT target FROM k)"""
+)
+def broken_links(spark, sf):
+    """Links inside pages to paths that no page has."""
+    p = vw.table(spark, sf, "pages")
+    links = p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"#?]*)'), 1))).alias("target"))
+    known = p.select(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("target")).distinct()
+    return links.join(known, "target", "left_anti").select("page_id", "target")
+
+
+@query(f"WITH {_PICKED}, m AS (SELECT run_id, count(*) AS have FROM a GROUP BY 1), x AS (SELECT p.*, row_number() OVER (PARTITION BY run_id ORDER BY ranking DESC, canonical_url DESC) AS n2 FROM p WHERE (run_id, canonical_url) NOT IN (SELECT run_id, canonical_url FROM a)) SELECT x.run_id, x.canonical_url, CASE WHEN x.ranking < 0.3 THEN 'low score' ELSE 'limit reached' END AS reason FROM x JOIN m USING (run_id) WHERE n2 > 3 - have")
+def dropped_candidates(spark, sf):
+    """Candidates that were not among the three picks of their run, and why."""
+    c = _candidates(spark, sf)
+    return c.join(selection.allocate(c, 3).select("run_id", "canonical_url"), ["run_id", "canonical_url"], "left_anti").select("run_id", "canonical_url", F.when(F.col("ranking") < 0.3, "low score").otherwise("limit reached").alias("reason"))

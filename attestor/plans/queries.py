@@ -321,10 +321,10 @@ def exact_quotes(spark, sf):
     b = vw.table(spark, sf, "benchmark").select("item_id", F.lower(tx.one_spaced(F.col("text"))).alias("q")).withColumn("w", F.split("q", " "))
     inner = F.slice("w", 2, F.size("w") - 2)
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = b.where("size(w) >= 3").select("item_id", F.when(F.size("w") >= 6, F.xxhash64(F.array_join(F.slice("w", 2, 4), " "))).otherwise(F.xxhash64(longest)).alias("h"))
+    keyed = b.where("size(w) >= 3").select("item_id", F.when(F.size("w") >= 6, F.xxhash64(*(F.try_element_at("w", F.lit(k)) for k in (2, 3, 4, 5)))).otherwise(F.xxhash64(longest)).alias("h"))
     known = keyed.select("h").distinct()
-    words = d.select("doc_id", F.explode(F.array_distinct(F.concat(vw.grams(F.col("t"), 4), F.transform(F.split("t", " "), lambda x: F.xxhash64(x))))).alias("h")).join(known, "h", "left_semi")
-    met = words.join(keyed, "h").select("doc_id", "item_id").distinct().join(d, "doc_id").join(b.select("item_id", "q"), "item_id")
+    words = d.select("doc_id", F.explode(F.concat(vw.grams(F.col("t"), 4, whole=False), F.transform(F.split("t", " "), lambda x: F.xxhash64(x)))).alias("h")).join(vw.bounded(known), "h", "left_semi")
+    met = words.join(vw.bounded(keyed), "h").select("doc_id", "item_id").distinct().join(d, "doc_id").join(b.select("item_id", "q"), "item_id")
     everywhere = b.where("size(w) < 3").select("item_id", "q").join(d, F.col("t").contains(F.col("q"))).select("item_id", "doc_id", "t", "q")
     full = met.select("item_id", "doc_id", "t", "q").unionByName(everywhere).where(F.col("t").contains(F.col("q")))
     return full.select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "item_id")

@@ -63,6 +63,14 @@ def page_offsets(pages: DataFrame, doc: str = "doc_id", number: str = "page_no",
     return pages.withColumn("offset", F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0)))
 
 
+def page_summaries(pages: DataFrame, doc: str, number: str, text: str, most_pages: int, most_chars: int) -> DataFrame:
+    """By document: pages in all, pages and characters kept (the first most_pages, whole pages up to most_chars), whether any was left out, and whether it seems scanned: under 40 characters for each of its first three pages."""
+    placed = page_offsets(pages, doc, number, text).withColumn("_n", F.row_number().over(Window.partitionBy(doc).orderBy(number)))
+    kept = (F.col("_n") <= most_pages) & (F.col("offset") + F.length(text) <= most_chars)
+    out = placed.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"), F.count_if(kept).alias("kept"), F.coalesce(F.sum(F.when(kept, F.length(text))), F.lit(0)).alias("chars"))
+    return out.withColumn("cut", F.col("kept") < F.col("pages")).withColumn("scanned", F.col("chars") < 40 * F.least("pages", F.lit(3)))
+
+
 def page_of(offsets: Column, at: Column) -> Column:
     """Number, from 1, of the last page that starts at or before `at`; null without pages or for a negative position."""
     return F.when((F.size(offsets) > 0) & (at >= 0), F.size(F.filter(offsets, lambda o: o <= at)))
