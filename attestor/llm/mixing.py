@@ -28,6 +28,8 @@ from attestor.llm.common import prefix_sums, written
 BLOCK_WORDS = 256
 REPEATS = 3
 MAX_SOURCES = 1_000_000
+#: Bytes of the table of sources that is broadcast at most with its names.
+BROADCAST_BYTES = 64 << 20
 #: 2**64 divided by the golden ratio.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,7 +98,10 @@ def mix(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int = BLO
     schedule = ranked.select("slot", "_source", F.col("block").cast("long").alias("block")).unionByName(missing).join(quotas, "_source").where("block < _quota")
     schedule = written(schedule.select("slot", "_source", "block", F.least(F.lit(block).cast("long"), F.col("_words") - F.col("block") * block).alias("words")), "schedule")
 
-    keyed = sized.join(F.broadcast(sources.select("_source", F.col("source").alias("_name"), F.col("source_size").alias("_whole"), "_words")), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    named = sources.select("_source", F.col("source").alias("_name"), F.col("source_size").alias("_whole"), "_words")
+    if sum(len((r["source"] or "").encode()) + 32 for r in table) <= BROADCAST_BYTES:
+        named = F.broadcast(named)
+    keyed = sized.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     keyed = keyed.withColumn("_order", F.xxhash64(F.lit(9), "doc_id", "tie"))
     placed = written(prefix_sums(keyed, ["_source"], "_order", [F.col("doc_id").asc_nulls_first(), F.col("tie").asc(), F.col("size").asc()], F.col("size"), "_start").drop("_order"), "placed")
 

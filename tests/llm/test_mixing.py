@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from attestor.llm import mixing
 from attestor.llm.mixing import mix, mixed, op9_mixing, sized, taken, targets
 
 SF = "/root/testdata/sf0.01"
@@ -48,6 +49,13 @@ def test_rows(spark):
     assert len(nothing) == len(ROWS) and not any(r.taken or r.target for r in nothing)
 
 
+def test_names_too_long_for_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    want = sorted(map(str, taken(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, taken(docs).collect())) == want
+
+
 def test_schedule_is_even_and_whole(spark):
     docs = spark.createDataFrame([(i, "w " * 64, "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
     m = mix(sized(docs), block=16)
