@@ -6,7 +6,7 @@ distance is at most the sum of the squared norms. Bounds are taken level by leve
 products of the survivors decide. A pair is dropped only if its bound, with the proven rounding error added, is under the k-th best score found so far for its query, so results are exact. On vectors without structure the
 bounds drop little, and nearly all pairs are multiplied.
 
-Queries lie in the shared folder in blocks of bounded size. Each task holds one bounded chunk of candidates and goes through the blocks; a chunk and a
+Queries lie in the shared folder in files of bounded size, which tasks read; the driver sees none. Each task holds one bounded chunk of candidates and goes through the files block by block; a chunk and a
 block give k rows for each query at most, and the last ranking sees only those.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of different lengths are never compared; components whose
@@ -20,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import written
+from attestor.llm.common import fresh_path
 
 LEVELS = (1, 4, 16, 32)
-CHUNK = 8_192  # candidates at once
+CHUNK = 16_384  # candidates at once, at most twice as many
 BLOCK = 128  # queries at once
-BLOCKS_PER_GROUP = 256  # blocks handed to the tasks of one pass
+FILE_ROWS = 32_768  # queries in a file
+FLOORS = 4_000_000  # queries whose best score so far a task remembers from chunk to chunk; for others it begins anew
 
 
 def usable(vector: Column) -> Column:
@@ -116,58 +119,73 @@ class Chunk:
         return r[rank < k], col[rank < k], scores[rank < k]
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", factor: float = 256.0) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row where `queries` holds, against all rows."""
-    spark = vectors.sparkSession
-    good = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector))).select(F.col(id_column).alias("id"), scaled(F.col(vector), factor).alias("v"), queries.alias("is_query"))
-    # Queries in blocks: (length, number) has BLOCK rows at most, by ranges of a hash that are counted first.
-    asked = good.where("is_query").select("id", "v", F.size("v").alias("d"))
-    total = asked.count()
-    if not total:
-        return good.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").cast("long").alias("score")).limit(0)
-    groups = -(-total // (BLOCK * BLOCKS_PER_GROUP))
-    asked = written(asked.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).repartitionByRange(groups, "g").select("id", "v", "d", "g"), "queries")
-    out = None
-    for g in range(groups):
-        found = _against(good, asked.where(F.col("g") == g), k)
-        out = found if out is None else out.unionByName(found)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+class QueryBlocks:
+    """Queries in files of a shared folder, read block by block: (file, block, ids, vectors) of one length each. The last file stays in memory, so a single one is read once."""
+
+    def __init__(self, folder: str, size: int) -> None:
+        self.size = size
+        self.files, root = fs.FileSystem.from_uri(folder)
+        found = self.files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        self.paths = sorted(f.path for f in found if f.is_file and f.base_name.endswith(".parquet"))
+        self.held: tuple[int, list[tuple[np.ndarray, np.ndarray]]] = (-1, [])
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for i in range(len(self.paths)):
+            if self.held[0] != i:
+                self.held = (i, list(self.blocks_of(self.paths[i])))
+            for j, (ids, x) in enumerate(self.held[1]):
+                yield i, j, ids, x
 
+    def blocks_of(self, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        with self.files.open_input_file(path) as f:
+            rows = pq.read_table(f, columns=["id", "v"]).to_pandas()
+        for d, part in rows.groupby(rows["v"].map(len)):
+            ids, x = part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.int64).reshape(-1, d)
+            for s in range(0, len(ids), self.size):
+                yield ids[s : s + self.size], x[s : s + self.size]
 
-def _against(candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """One group of query blocks, of some 32,000 queries on average, sent to the tasks that hold the candidates."""
-    spark = candidates.sparkSession
-    rows = asked.select("id", "v").toPandas()
-    blocks = []
-    for d, part in rows.groupby(rows["v"].map(len)):
-        ids, x = part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64).reshape(-1, d)
-        blocks += [(d, ids[s : s + BLOCK], x[s : s + BLOCK]) for s in range(0, len(ids), BLOCK)]
-    sent = spark.sparkContext.broadcast(blocks)
+
+def top_k(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", factor: float = 256.0) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row where `queries` holds, against all rows. One pass over the candidates; queries never reach the driver."""
+    spark = vectors.sparkSession
+    good = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector))).select(F.col(id_column).cast("long").alias("id"), scaled(F.col(vector), factor).alias("v"), queries.alias("is_query"))
+    folder = fresh_path(spark, "queries")
+    block, chunk_rows, remembered = BLOCK, CHUNK, FLOORS
+    good.where("is_query").select("id", "v").write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floors = [np.full(len(q_ids), -np.inf) for _, q_ids, _ in sent.value]
+        asked = QueryBlocks(folder, block)
+        floors: dict[tuple[int, int], np.ndarray] = {}
+        kept = 0
 
         def chunk_best(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for d, part in rows.groupby(rows["v"].map(len)):
-                chunk = Chunk(part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64).reshape(-1, d))
-                for (bd, q_ids, q), floor in zip(sent.value, floors, strict=True):
-                    if bd == d:
-                        r, col, score = chunk.best(q_ids, q, k, floor)
-                        yield pd.DataFrame({"query_id": q_ids[r], "vec_id": chunk.ids[col], "score": score})
+            nonlocal kept
+            chunks = {d: Chunk(part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64).reshape(-1, d)) for d, part in rows.groupby(rows["v"].map(len))}
+            for i, j, q_ids, q in asked:
+                if (chunk := chunks.get(q.shape[1])) is None:
+                    continue
+                floor = floors.get((i, j))
+                if floor is None:
+                    floor = np.full(len(q_ids), -np.inf)
+                    if kept < remembered:
+                        floors[i, j], kept = floor, kept + len(floor)
+                r, col, score = chunk.best(q_ids, q, k, floor)
+                yield pd.DataFrame({"query_id": q_ids[r], "vec_id": chunk.ids[col], "score": score})
 
         held, n = [], 0
         for batch in batches:
-            for s in range(0, len(batch), CHUNK):
-                held.append(batch.iloc[s : s + CHUNK])
+            for s in range(0, len(batch), chunk_rows):
+                held.append(batch.iloc[s : s + chunk_rows])
                 n += len(held[-1])
-                if n >= CHUNK:
+                if n >= chunk_rows:
                     yield from chunk_best(pd.concat(held))
                     held, n = [], 0
         if n:
             yield from chunk_best(pd.concat(held))
 
-    return candidates.select(F.col("id").cast("long"), "v").mapInPandas(work, "query_id long, vec_id long, score long")
+    found = good.select("id", "v").mapInPandas(work, "query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attestor.llm import topk
 from attestor.llm.topk import LEVELS, ORACLE, Chunk, op4_top_k, slack, statistics, top_k
 
 
@@ -63,6 +64,16 @@ def test_odd_vectors(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_many_files_and_chunks(spark, monkeypatch):
+    """The same result with files of a few queries, chunks of a few candidates and floors that are mostly forgotten."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 3 else 2)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for name, value in (("FILE_ROWS", 7), ("CHUNK", 50), ("BLOCK", 3), ("FLOORS", 10)):
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 5 == 0, 4).collect()) == brute(rows, 4, 5)
+
+
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     got = sorted(tuple(r) for r in op4_top_k(spark, sf).select("query_id", "rank", "vec_id", "score").collect())
