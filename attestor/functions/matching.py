@@ -149,7 +149,7 @@ def has_own_subject(clause: str) -> bool:
     return first in ("the", "a", "an") or re.match("[A-Z][a-z]", words[0]) is not None
 
 
-def _parts(claim: str | None) -> list[str]:
+def parts_of(claim: str | None) -> list[str]:
     parts = [(claim or "").strip()]
     for joiner in JOINERS:
         grouped: list[str] = []
@@ -168,4 +168,4 @@ def _parts(claim: str | None) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def propositions(claims: pd.Series) -> pd.Series:
     """The parts of a claim that state something of their own: pieces between coordinators that have a subject and a verb; others stay with the piece before."""
-    return claims.map(_parts)
+    return claims.map(parts_of)

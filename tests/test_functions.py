@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import lexicon as lx
 from attestor.functions import wording
+from attestor.functions.register import register
 from attestor.functions import quality as ql
 from attestor.functions import text as tx
 from attestor.functions import urls
@@ -104,3 +105,12 @@ def test_allocation(spark):
 def test_claim_normal(spark, values, want):
     a, b = column(spark, values, tx.claim_normal)
     assert (a == b) == want
+
+
+def test_registered_functions(spark):
+    register(spark)
+    spark.createDataFrame([(1, "A fell, and the cost grows."), (2, ""), (3, None)], "id int, claim string").createOrReplaceTempView("said")
+    rows = spark.sql("SELECT id, part, said FROM said, LATERAL propositions(claim) ORDER BY id, part").collect()
+    assert [(r.id, r.part, r.said) for r in rows] == [(1, 0, "A fell"), (1, 1, "the cost grows")]
+    r = spark.sql("SELECT comparison_sides('Kafka vs Redis') AS s, main_text('<p>a</p>') AS m, title_ratio('ab', 'ab') AS t").first()
+    assert (r.s, r.m, r.t) == (["Kafka", "Redis"], "a", 1.0)
