@@ -10,17 +10,14 @@ from attestor.operators import accounts, dedup, gate, metrics
 from attestor.operators import coverage as cv
 from attestor.operators import measure
 from attestor.operators import resolve as rs
-from attestor.plans.queries import _COVERAGE, _RESOLVED, PRICES, _covered, _PRICED, query
+from attestor.plans.queries import _COVERAGE, _PRICED, _RESOLVED, PRICES, query
 from attestor.plans.verification import _VERDICTS_SQL, _verdicts
+from attestor.sources import store
 from attestor.sources import views as vw
 
 # --- Runs ------------------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _contradictions(spark, sf) -> DataFrame:
-    return vw.claims(spark, sf).select((F.col("conv_id") % 11).alias("contradiction_id"), (F.floor(F.col("conv_id") / 50) % 2).alias("side"), "claim_id")
-
-
 _METRICS = (
     ("evidence_integrity", "sound", "cited", True), ("citation_integrity", "known", "links", True), ("citation_coverage", "covered", "substantive", True), ("*support", "supported", "checked", True), ("partial_support", "partly", "checked", False),
     ("quote_fidelity", "exact", "quotes", True), ("quote_drift", "fuzzy", "quotes", False), ("evidence_coverage", "covered_questions", "questions", True), ("source_diversity", "outside_largest", "usable", True),
@@ -42,20 +39,24 @@ _METRICS = (
     SELECT name, round(a / nullif(b, 0), 4) AS value, CAST(a AS BIGINT) || '/' || CAST(b AS BIGINT) AS detail, higher_is_better FROM m"""
 )
 def evaluation_metrics(spark, sf):
-    """The twelve metrics of a run. Claims, evidence, sources and verdicts are read once each and reduced to one row."""
-    claims, evidence, sources = vw.claims(spark, sf), vw.evidence(spark, sf), vw.sources(spark, sf)
+    """The twelve metrics of a run. Evidence, claims, citations and verdicts are computed once, as tables, and each count reduces them to a row."""
+    sources = vw.sources(spark, sf)
+    evidence = store.written(vw.evidence(spark, sf), "evidence")
+    claims = store.written(vw.claims(spark, sf, evidence).drop("text"), "claims")
+    resolved = store.written(rs.resolved(claims, evidence), "citations")
+    verdicts = store.written(_verdicts(spark, sf, claims, evidence), "verdicts")
     cites = rs.integrity(claims, evidence).select(F.col("citations").alias("cited"), "sound", "substantive", "covered")
-    links = rs.resolved(claims, evidence).where("issue is null").select("claim_id", "source_id").distinct().join(sources.select("source_id", F.lit(1).alias("k")), "source_id", "left").agg(F.count(F.lit(1)).alias("links"), F.count("k").alias("known"))
-    verdict = _verdicts(spark, sf).agg(F.count(F.lit(1)).alias("owed"), F.count_if(F.expr("verdict = 'supported'")).alias("supported"), F.count_if(F.expr("verdict <> 'unchecked'")).alias("checked"), F.count_if(F.expr("verdict = 'partial'")).alias("partly"))
+    links = resolved.where("issue is null").select("claim_id", "source_id").distinct().join(sources.select("source_id", F.lit(1).alias("k")), "source_id", "left").agg(F.count(F.lit(1)).alias("links"), F.count("k").alias("known"))
+    verdict = verdicts.agg(F.count(F.lit(1)).alias("owed"), F.count_if(F.expr("verdict = 'supported'")).alias("supported"), F.count_if(F.expr("verdict <> 'unchecked'")).alias("checked"), F.count_if(F.expr("verdict = 'partial'")).alias("partly"))
     quotes = evidence.agg(F.count(F.lit(1)).alias("quotes"), F.count_if(F.expr("quote_match = 'exact'")).alias("exact"), F.count_if(F.expr("quote_match = 'fuzzy'")).alias("fuzzy"))
-    asked = _covered(spark, sf).agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.expr("verdict = 'covered'")).alias("covered_questions"))
+    asked = cv.coverage(evidence, spark.range(7).select(F.concat(F.lit("SQ"), F.col("id").cast("string")).alias("sub_question_id")), F.col("relevance") >= 0.3).agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.expr("verdict = 'covered'")).alias("covered_questions"))
     own = sources.where("usable").join(dedup.by_content(sources).where("duplicate_of is null").select("source_id"), "source_id")
     diverse = own.groupBy("domain").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("usable"), (F.sum("k") - F.max("k")).alias("outside_largest"))
-    used = rs.resolved(claims, evidence).where("issue is null").select("source_id").distinct()
+    used = resolved.where("issue is null").select("source_id").distinct()
     unused = own.select("source_id").join(used, "source_id", "left_anti").agg(F.count(F.lit(1)).alias("unused"))
-    sides = _contradictions(spark, sf)
+    sides = claims.select((F.col("conv_id") % 11).alias("contradiction_id"), (F.floor(F.col("conv_id") / 50) % 2).alias("side"), "claim_id")
     both = sides.select("contradiction_id", "side").distinct().groupBy("contradiction_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").agg(F.count(F.lit(1)).alias("contradictions"))
-    sound = gate.both_sides(sides, _verdicts(spark, sf)).agg(F.count(F.lit(1)).alias("auditable"))
+    sound = gate.both_sides(sides, verdicts).agg(F.count(F.lit(1)).alias("auditable"))
     avoided = dedup.url_statistics(vw.results(spark, sf), vw.known_urls(spark, sf)).select(F.col("fetches_avoided").alias("avoided"), F.col("results_in").alias("results"))
     one = metrics.joined_rows(cites, links, verdict, quotes, asked, diverse, unused, both, sound, avoided)
     support = F.when(F.col("checked") == F.col("owed"), "claim_support").otherwise("sampled_claim_support")

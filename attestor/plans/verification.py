@@ -34,9 +34,9 @@ _VERDICTS_SQL = f"""{_PAIRS_SQL},
       CASE WHEN contradiction >= 0.5 THEN 'contradicted' WHEN entailment < 0.05 THEN 'unrelated' ELSE '' END AS diagnosis FROM v_claims c LEFT JOIN a USING (claim_id) WHERE kind = 'substantive')"""
 
 
-def _verdicts(spark, sf):
-    claims = vw.claims(spark, sf)
-    pairs = gate.scoring_pairs(claims, vw.evidence(spark, sf))
+def _verdicts(spark, sf, claims=None, evidence=None):
+    claims = vw.claims(spark, sf) if claims is None else claims
+    pairs = gate.scoring_pairs(claims, vw.evidence(spark, sf) if evidence is None else evidence)
     ranks = vw.sources(spark, sf).select("source_id", F.lit(0).alias("rank"), "quality")
     return gate.verdicts(claims, pairs, _scores(pairs), ranks)
 

@@ -80,12 +80,12 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as claims. Each cites the first three items of evidence, by document, of the passage whose number is that of its conversation modulo the passages, and one item that doesn't exist."""
+def claims(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """Assistant turns as claims. Each cites the first three items of evidence, by document, of the passage whose number is that of its conversation modulo the passages, and one item that doesn't exist. held: the evidence, if it is at hand."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     n = table(spark, sf_dir, "benchmark").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     first = Window.partitionBy("item_id").orderBy("doc_id")
-    e = evidence(spark, sf_dir).select("item_id", "doc_id", "evidence_id").withColumn("place", F.row_number().over(first)).where("place <= 3")
+    e = (evidence(spark, sf_dir) if held is None else held).select("item_id", "doc_id", "evidence_id").withColumn("place", F.row_number().over(first)).where("place <= 3")
     of_item = e.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]).alias("ids"))
     ids = F.concat(F.coalesce("ids", F.array().cast("array<string>")), F.array(F.lit("S-1-e0")))
     return c.withColumn("item_id", F.col("conv_id") % n).join(of_item, "item_id", "left").select(
