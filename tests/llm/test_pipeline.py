@@ -63,3 +63,13 @@ def test_odd_tables(spark):
             if k == 2:
                 assert n == max(0, table.count() - 1)
             assert all(r[c] == c for r in out.collect() for c in docs.columns[5:]) if k < 4 else True
+
+
+def test_one_row_of_an_id_stays(spark):
+    """Rows of one doc_id with different texts are one group; the same one stays whatever the order of rows."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{near} end"), (1, "quite another text without anything in common"), (2, f"{near} END."), (3, "a third text that stands alone here"), (3, "a third text that stands alone here"), (None, "no id at all"), (None, "no id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    first, again = (sorted(map(str, cp.drop_near_duplicates(spark, docs.repartition(n), SF).collect())) for n in (1, 5))
+    kept = cp.drop_near_duplicates(spark, docs, SF).collect()
+    assert first == again and sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 3]

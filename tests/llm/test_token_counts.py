@@ -2,6 +2,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attestor.llm.common import fresh_path
@@ -86,3 +87,10 @@ def test_query_against_plain_code(spark):
     rows += [(r.doc_id, r.source, r.lang, "byte_bpe_50k", len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()]
     assert as_dict(op6_token_counts(spark, SF)) == summed(rows)
     assert token_counts(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_odd_documents(spark):
+    """Repeated ids, null texts and a column that bears the name of our own."""
+    docs = spark.createDataFrame([(1, "a b", "s", "en"), (1, "a b", "s", "en"), (1, "other words here", "s", "en"), (None, None, None, None), (2, "word " * 50_000, "s", "de")], "doc_id long, text string, source string, lang string").withColumn("_words", F.lit("x")).withColumn("tokens", F.lit("y"))
+    rows = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).where("tokenizer_version = 'words-1'").collect()
+    assert sorted((r.doc_id or 0, r.tokens) for r in rows) == [(0, 0), (1, 2), (1, 2), (1, 3), (2, 50_000)]

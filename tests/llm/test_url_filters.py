@@ -65,3 +65,11 @@ def test_query(spark):
         host, path = split(urls[r.page_id])
         rule, verdict = rule_of(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
+
+
+def test_long_urls_repeats_and_names(spark):
+    long = "https://bad.b.net/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "https://" + "h." * 50_000 + "net/de/")], "page_id long, url string").withColumn("bad", F.lit("x")).withColumn("rate", F.lit("y"))
+    outcomes = spark.createDataFrame([(1, 1)] * 40, "page_id long, bad int").withColumn("url", F.lit("z"))
+    got = judge(pages, outcomes).collect()
+    assert len(got) == 3 and {len(r.path) for r in got if r.page_id == 1} == {200_001} and [len(r.host) for r in got if r.page_id == 2] == [100_003]
