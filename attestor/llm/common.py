@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,3 +98,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while out.lower() in taken:
         out = "_" + out
     return out
+
+
+def passing(columns: Iterable[str], new: Iterable[str]) -> list[str]:
+    """The columns that stay beside the new ones: those that no new one is named like, whatever the case of letters."""
+    taken = {c.lower() for c in new}
+    return [c for c in columns if c.lower() not in taken]
