@@ -144,12 +144,3 @@ def redacted(text: Column) -> Column:
 def neutralised(text: Column) -> Column:
     """Text that can't close a block of untrusted text: runs of three and more signs that part blocks are cut to two."""
     return F.regexp_replace(F.regexp_replace(text, r"<{3,}", "<<"), r">{3,}", ">>")
-
-
-def offset_in_original(text: Column, at: Column) -> Column:
-    """The offset in a text of the character at `at` in its one-spaced form: the length of what its first `at` characters, none but single spaces, take up there. Null beyond the end."""
-    pieces = F.regexp_extract_all(text, F.lit(r"([ \t\r\n\f\x0B]+|[^ \t\r\n\f\x0B])"), 1)
-    leading = F.try_element_at(pieces, F.lit(1)).rlike(r"^[ \t\r\n\f\x0B]")
-    before = F.slice(pieces, F.lit(1), F.greatest(at + leading.cast("int"), F.lit(0)).cast("int"))
-    taken = F.aggregate(before, F.lit(0), lambda n, p: n + F.length(p))
-    return F.when((at >= 0) & (at < F.length(one_spaced(text))), taken)

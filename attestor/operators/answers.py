@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots by question type: (slot, is it core).
+# The slots of each type of question, (name, whether it is core).
 SLOTS = {
-    "comparison": (("contrast", True), ("relationship", False), ("trade_off", False)), "causal": (("causal_evidence", True), ("mechanism", False)), "causal_drivers": (("drivers", True), ("limits", False)),
-    "numeric": (("value", True), ("conditions", False)), "procedural": (("steps", True),), "recommendation": (("recommendation", True), ("trade_off", True)), "temporal": (("date", True), ("current_state", False)), "list": (("members", True),), "definition": (("definition", True), ("scope", False)),
-}
+    "definition": (("definition", True), ("distinguishing_property", False)),
+    "comparison": (("direct_contrast", True), ("dimension", False), ("relationship", False)),
+    "causal": (("causal_evidence", True), ("effect_direction", False), ("limitations", False)),
+    "causal_drivers": (("candidate_drivers", True), ("mechanism", False), ("causation_limits", False)),
+    "numeric": (("measured_value", True), ("measurement_conditions", False), ("limitations", False)),
+    "temporal": (("figure_for_period", True), ("period_confirmation", False)),
+    "procedural": (("steps", True), ("preconditions", False)),
+    "recommendation": (("recommendation", True), ("tradeoffs", False)),
+    "list": (("items", True), ("completeness", False)),
+    "synthesis": (("part_answer", True),),
+}
+#: The slot of a comparison that pairs of sides and relationships may fill.
+CONTRAST = "direct_contrast"
 
 
 def slots(questions: DataFrame) -> DataFrame:
@@ -31,13 +41,13 @@ def answer_coverage(required: DataFrame, published: DataFrame) -> DataFrame:
 def discharged(coverage: DataFrame, causal: DataFrame, pairs: DataFrame, relations: DataFrame) -> DataFrame:
     """coverage (question_id, slot, core, claims: how many were published for it, 0 if none) with `filled`.
 
-    The slot causal_evidence needs a claim that states causation (causal: question_id). The slot `contrast` is also filled by a complete pair of sides (pairs: question_id) or by a relationship that makes a contrast needless
+    The slot causal_evidence needs a claim that states causation (causal: question_id). The slot CONTRAST is also filled by a complete pair of sides (pairs: question_id) or by a relationship that makes a contrast needless
     (relations: question_id).
     """
     flag = lambda t, name: t.select("question_id").distinct().withColumn(name, F.lit(True))
     rows = coverage.join(flag(causal, "_causal"), "question_id", "left").join(flag(pairs, "_pair"), "question_id", "left").join(flag(relations, "_related"), "question_id", "left")
     own = (F.col("claims") > 0) & ((F.col("slot") != "causal_evidence") | F.col("_causal").isNotNull())
-    other = (F.col("slot") == "contrast") & (F.col("_pair").isNotNull() | F.col("_related").isNotNull())
+    other = (F.col("slot") == CONTRAST) & (F.col("_pair").isNotNull() | F.col("_related").isNotNull())
     return rows.select("question_id", "slot", "core", "claims", (own | other).alias("filled"))
 
 

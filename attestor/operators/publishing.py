@@ -21,11 +21,11 @@ def parts_supported(parts: DataFrame, scores: DataFrame, threshold: float) -> Da
 def stages(claims: DataFrame) -> DataFrame:
     """claim_id, stage: where a claim's way ends. claims: claim_id, supported, repairable, repair_supported, fault (of relevance), core (whether its slot is one the answer turns on), judged (true, false or null).
 
-    An unsupported claim may be reworded once, if only its wording was at fault. A negative judgement withholds claims of core slots only; a missing one withholds all: nothing is published unjudged.
+    An unsupported claim may be reworded once, if only its wording was at fault. A negative or missing judgement withholds claims of core slots only; what other slots hold is for the answer's coverage to weigh.
     """
     sound = F.col("supported") | (F.col("repairable") & F.coalesce("repair_supported", F.lit(False)))
     stage = (
-        F.when(~sound, "withheld: entailment").when(F.col("fault").isNotNull(), "withheld: relevance").when(F.col("judged").isNull(), "withheld: no judgement").when(~F.col("judged") & F.col("core"), "withheld: judgement")
+        F.when(~sound, "withheld: entailment").when(F.col("fault").isNotNull(), "withheld: relevance").when(F.col("core") & F.col("judged").isNull(), "withheld: no judgement").when(F.col("core") & ~F.col("judged"), "withheld: judgement")
         .when(~F.col("supported"), "published: repaired").otherwise("published")
     )
     return claims.select("claim_id", stage.alias("stage"))

@@ -113,16 +113,16 @@ def complete_pairs(spark, sf):
 
 
 @query(
-    f"""WITH {_SIDES_SQL}, q AS (SELECT DISTINCT conv_id AS question_id FROM conversations), s AS (SELECT * FROM (VALUES ('causal_evidence', true), ('contrast', true), ('trade_off', false)) v(slot, core)),
-    r AS (SELECT question_id, slot, core, CASE slot WHEN 'trade_off' THEN 0 ELSE question_id % 2 END AS claims FROM q, s), p AS (SELECT conv_id FROM t WHERE n IN (0, 1) GROUP BY 1 HAVING count(DISTINCT n) = 2 UNION SELECT conv_id FROM t WHERE n IN (2, 4)), x AS (SELECT DISTINCT conv_id FROM t WHERE n = 2)
-    SELECT question_id, slot, core, claims, CASE slot WHEN 'causal_evidence' THEN claims > 0 AND question_id % 3 = 0 WHEN 'contrast' THEN claims > 0 OR question_id IN (SELECT conv_id FROM p) OR question_id IN (SELECT conv_id FROM x) ELSE claims > 0 END AS filled FROM r"""
+    f"""WITH {_SIDES_SQL}, q AS (SELECT DISTINCT conv_id AS question_id FROM conversations), s AS (SELECT * FROM (VALUES ('causal_evidence', true), ('direct_contrast', true), ('dimension', false)) v(slot, core)),
+    r AS (SELECT question_id, slot, core, CASE slot WHEN 'dimension' THEN 0 ELSE question_id % 2 END AS claims FROM q, s), p AS (SELECT conv_id FROM t WHERE n IN (0, 1) GROUP BY 1 HAVING count(DISTINCT n) = 2 UNION SELECT conv_id FROM t WHERE n IN (2, 4)), x AS (SELECT DISTINCT conv_id FROM t WHERE n = 2)
+    SELECT question_id, slot, core, claims, CASE slot WHEN 'causal_evidence' THEN claims > 0 AND question_id % 3 = 0 WHEN 'direct_contrast' THEN claims > 0 OR question_id IN (SELECT conv_id FROM p) OR question_id IN (SELECT conv_id FROM x) ELSE claims > 0 END AS filled FROM r"""
 )
 def discharged_slots(spark, sf):
     """Slots filled by claims of their own, by causal claims only where causation is asked for, and contrasts filled by pairs or relationships."""
     sides = _sides(spark, sf).withColumnRenamed("conv_id", "question_id")
     q = sides.select("question_id").distinct()
-    slots = F.explode(F.array(*(F.struct(F.lit(n).alias("slot"), F.lit(c).alias("core")) for n, c in (("causal_evidence", True), ("contrast", True), ("trade_off", False)))))
-    rows = q.select("question_id", slots.alias("s")).select("question_id", "s.slot", "s.core").withColumn("claims", F.when(F.col("slot") == "trade_off", 0).otherwise(F.col("question_id") % 2))
+    slots = F.explode(F.array(*(F.struct(F.lit(n).alias("slot"), F.lit(c).alias("core")) for n, c in (("causal_evidence", True), ("direct_contrast", True), ("dimension", False)))))
+    rows = q.select("question_id", slots.alias("s")).select("question_id", "s.slot", "s.core").withColumn("claims", F.when(F.col("slot") == "dimension", 0).otherwise(F.col("question_id") % 2))
     pairs = answers.complete_pairs(sides.select("question_id", "slot", "about"), F.array(F.lit("Kafka"), F.lit("Redis")))
     return answers.discharged(rows, q.where("question_id % 3 = 0"), pairs, sides.where("resolves"))
 
@@ -208,11 +208,11 @@ def url_documents(spark, sf):
 
 @query(
     """WITH t AS (SELECT doc_id, text, replace(text, chr(13) || chr(10), chr(10)) AS c FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(c, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS cleaned,
-    trim(regexp_replace(text, '[*_`]+', '', 'g'), ' ') AS plain, lower(trim(regexp_replace(translate(text, '‘’“”–— ', '''''""-- '), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))) AS matching FROM t WHERE NOT regexp_matches(text, '(^|\\n)#|\\[')"""
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# ![a](b)' || text, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^#{1,6} +', '', 'g'), '[*_`]+', '', 'g'), ' ') AS plain, lower(trim(regexp_replace(translate(text, '‘’“”–— ', '''''""-- '), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))) AS matching FROM t"""
 )
 def text_forms(spark, sf):
     """Texts cleaned, without marks, and in the form in which quotes are looked for."""
-    d, t = vw.table(spark, sf, "documents").where("not text rlike '(^|\\n)#|\\\\['"), F.col("text")
+    d, t = vw.table(spark, sf, "documents"), F.col("text")
     return d.select("doc_id", tx.cleaned(t).alias("cleaned"), tx.unmarked(F.concat(F.lit("# "), F.lit("![a](b)"), t)).alias("plain"), tx.for_match(t).alias("matching"))
 
 

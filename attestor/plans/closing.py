@@ -135,7 +135,7 @@ def run_rollup(spark, sf):
     n = F.count(F.lit(1))
     return metrics.joined_rows(
         vw.sources(spark, sf).agg(n.alias("sources"), F.count_if("usable").alias("usable"), F.sum("word_count").alias("words")), vw.evidence(spark, sf).agg(n.alias("evidence"), F.count_if(F.expr("quote_match = 'exact'")).alias("exact_quotes")),
-        vw.claims(spark, sf).agg(n.alias("claims"), F.count_if(F.expr("kind = 'substantive'")).alias("substantive")), vw.results(spark, sf).agg(n.alias("search_results")), vw.attempts(spark, sf).agg(n.alias("requests"), F.count_if(F.expr("status = 'ok'")).alias("answered")), vw.runs(spark, sf).agg(F.count_if("ok").alias("good_runs")),
+        vw.claim_texts(spark, sf).agg(n.alias("claims"), F.count_if(F.expr("kind = 'substantive'")).alias("substantive")), vw.results(spark, sf).agg(n.alias("search_results")), vw.attempts(spark, sf).agg(n.alias("requests"), F.count_if(F.expr("status = 'ok'")).alias("answered")), vw.runs(spark, sf).agg(F.count_if("ok").alias("good_runs")),
     )
 
 
@@ -174,7 +174,7 @@ def scorer_readiness(spark, sf):
 
 
 # type, slot; core (or unknown), may discharge a core slot
-ROLE_CASES = [("comparison", "contrast", True, True), ("comparison", "relationship", False, True), ("comparison", "trade_off", False, False), ("definition", "scope", False, False), ("definition", "steps", True, True), ("list", "", True, True), ("causal", "causal_evidence", True, True), ("causal", "mechanism", False, False)]
+ROLE_CASES = [("comparison", "direct_contrast", True, True), ("comparison", "relationship", False, True), ("comparison", "dimension", False, False), ("definition", "distinguishing_property", False, False), ("definition", "steps", True, True), ("list", "", True, True), ("causal", "causal_evidence", True, True), ("causal", "effect_direction", False, False)]
 
 
 @query(expected([c[2:] for c in ROLE_CASES], "decisive, discharges"))

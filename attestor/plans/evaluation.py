@@ -41,7 +41,7 @@ _METRICS = (
 def evaluation_metrics(spark, sf):
     """The twelve metrics of a run. Evidence, claims, citations and verdicts are computed once, as tables, and each count reduces them to a row."""
     sources = vw.sources(spark, sf)
-    evidence = store.written(vw.evidence(spark, sf), "evidence")
+    evidence = vw.evidence(spark, sf)
     claims = store.written(vw.claims(spark, sf, evidence).drop("text"), "claims")
     resolved = store.written(rs.resolved(claims, evidence), "citations")
     verdicts = store.written(_verdicts(spark, sf, claims, evidence), "verdicts")
@@ -168,7 +168,7 @@ def adjudication_packet(spark, sf):
 )
 def audit_counts(spark, sf):
     """Judged, published, wrongly published and wrongly withheld claims by placement and over all; claims of odd turns ought to be published."""
-    rows = _verdicts(spark, sf).join(vw.claims(spark, sf).select("claim_id", "placement", "turn"), "claim_id")
+    rows = _verdicts(spark, sf).join(vw.claim_texts(spark, sf).select("claim_id", "placement", "turn"), "claim_id")
     yes, right = F.col("verdict") == "supported", F.col("turn") % 2 == 1
     return rows.rollup("placement").agg(F.count(F.lit(1)).alias("judged"), F.count_if(yes).alias("published"), F.count_if(yes & ~right).alias("unsafe"), F.count_if(~yes & right).alias("withheld"), F.round(F.count_if(yes) / F.count(F.lit(1)), 4).alias("rate"), F.count_if(F.col("diagnosis") != "").alias("diagnosed"))
 
@@ -179,9 +179,10 @@ def audit_counts(spark, sf):
 )
 def published_citations(spark, sf):
     """Claims with their quotes and the pages of these; what doesn't resolve stays, marked."""
-    c = vw.claims(spark, sf).select("claim_id", "kind", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
+    claims, evidence = vw.cited(spark, sf)
+    c = claims.select("claim_id", "kind", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
     s = vw.sources(spark, sf).select("source_id", F.concat(F.lit("https://"), "domain", F.lit("/"), F.col("doc_id").cast("string")).alias("source_url"))
-    return c.join(vw.evidence(spark, sf).select("evidence_id", "source_id"), "evidence_id", "left").join(s, "source_id", "left").select("claim_id", "kind", "pos", "evidence_id", "source_id", F.col("source_id").isNotNull().alias("resolved"), "source_url")
+    return c.join(evidence.select("evidence_id", "source_id"), "evidence_id", "left").join(s, "source_id", "left").select("claim_id", "kind", "pos", "evidence_id", "source_id", F.col("source_id").isNotNull().alias("resolved"), "source_url")
 
 
 @query(
@@ -190,7 +191,7 @@ def published_citations(spark, sf):
 )
 def gate_disagreements(spark, sf):
     """Substantive claims whose showing (turns 1, 5, ...) goes against their verdict."""
-    j = vw.claims(spark, sf).where("kind = 'substantive'").select("claim_id", (F.col("turn") % 4 == 1).alias("shown")).join(_verdicts(spark, sf).select("claim_id", (F.col("verdict") == "supported").alias("ok")), "claim_id")
+    j = vw.claim_texts(spark, sf).where("kind = 'substantive'").select("claim_id", (F.col("turn") % 4 == 1).alias("shown")).join(_verdicts(spark, sf).select("claim_id", (F.col("verdict") == "supported").alias("ok")), "claim_id")
     return j.where("shown <> ok").select("claim_id", F.when(F.col("ok"), "withheld though supported").otherwise("shown though not supported").alias("disagreement"))
 
 
@@ -288,11 +289,11 @@ def fingerprints(spark, sf):
 
 
 @query(
-    """SELECT doc_id, '> [REDACTED: ' || (2 + instr(text || chr(10), chr(10)) - 1) || ' characters]' || chr(10) || 'end' AS quoted, CASE WHEN text = '' THEN '' ELSE '[REDACTED: ' || length(text) || ' characters]' END AS hidden, '<<' || doc_id || '>>' AS neutral,
-    NOT regexp_matches(lower(text), 'idiot|clown|moron') AS unnamed, 'D' || (doc_id + 100) AS ordinal, doc_id % 50 AS number, 'S' || doc_id % 50 || 'x' AS id FROM documents WHERE regexp_matches(text, '^[^ \\t\\n]')"""
+    """SELECT doc_id, CASE WHEN regexp_matches(l, '^\\s*> ?\\S') THEN '> [REDACTED: ' || length(l) || ' characters]' ELSE l END || chr(10) || 'end' AS quoted, CASE WHEN text = '' THEN '' ELSE '[REDACTED: ' || length(text) || ' characters]' END AS hidden, '<<' || doc_id || '>>' AS neutral,
+    NOT regexp_matches(lower(text), 'idiot|clown|moron') AS unnamed, 'D' || (doc_id + 100) AS ordinal, doc_id % 50 AS number, 'S' || doc_id % 50 || 'x' AS id FROM (SELECT *, '> ' || split_part(text, chr(10), 1) AS l FROM documents)"""
 )
 def text_safety(spark, sf):
-    d, t = vw.table(spark, sf, "documents").where(F.col("text").rlike("^[^ \\t\\n]")), F.col("text")
+    d, t = vw.table(spark, sf, "documents"), F.col("text")
     first = F.substring_index(t, "\n", 1)
     key = tx.id_order(F.concat(F.lit("S"), (F.col("doc_id") % 50).cast("string"), F.lit("x")))
     quoted = tx.without_quotes(F.concat(F.lit("> "), first, F.lit("\nend")))
@@ -301,11 +302,15 @@ def text_safety(spark, sf):
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, text, {vw.spaced_sql("text")} AS s, doc_id % 60 AS pos FROM documents) SELECT doc_id, CASE WHEN pos < length(s) THEN length(regexp_extract(text, '^[ \\t\\r\\n\\f\\x0B]*(?:[^ \\t\\r\\n\\f\\x0B]|[ \\t\\r\\n\\f\\x0B]+){{' || pos || '}}')) END AS "offset" FROM t"""
+    """SELECT doc_id, item_id, place, CAST(length(regexp_extract(text, '^[ \\t\\r\\n\\f\\x0B]*')) + length(array_to_string(list_slice(regexp_extract_all(trim(text, chr(32) || chr(9) || chr(13) || chr(10) || chr(12) || chr(11)), '[ \\t\\r\\n\\f\\x0B]+|[^ \\t\\r\\n\\f\\x0B]'), 1, place), '')) AS INT) AS "offset"
+    FROM (SELECT doc_id, item_id, CAST(place AS INT) AS place, text FROM v_held JOIN documents USING (doc_id))"""
 )
 def original_offsets(spark, sf):
-    """Where a character of the one-spaced text stands in the text itself."""
-    return vw.table(spark, sf, "documents").select("doc_id", tx.offset_in_original(F.col("text"), F.col("doc_id") % 60).cast("long").alias("offset"))
+    """Where the passages that documents hold stand in the matching form, and in the documents as they are, whole texts of any length."""
+    d = vw.table(spark, sf, "documents").select("doc_id", tx.for_match(F.col("text")).alias("t"))
+    b = vw.table(spark, sf, "benchmark").select("item_id", tx.for_match(F.col("text")).alias("q"))
+    held = vw.quote_places(spark, sf).where("quote_match = 'exact'").join(d, "doc_id").join(b, "item_id")
+    return held.select("doc_id", "item_id", (F.instr("t", F.col("q")) - 1).alias("place"), "offset")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
 from attestor.functions import wording
-from attestor.operators import metrics, publishing
+from attestor.operators import metrics, ordered, publishing
 from attestor.plans.language import expected, with_cases
 from attestor.plans.queries import query
 from attestor.sources import views as vw
@@ -25,7 +25,7 @@ def parts_supported(spark, sf):
 
 # supported, repairable, repair_supported, fault, core, judged; stage
 STAGE_CASES = [
-    (True, False, None, None, True, True, "published"), (True, False, None, None, True, False, "withheld: judgement"), (True, False, None, None, False, False, "published"), (True, False, None, None, False, None, "withheld: no judgement"),
+    (True, False, None, None, True, True, "published"), (True, False, None, None, True, False, "withheld: judgement"), (True, False, None, None, False, False, "published"), (True, False, None, None, False, None, "published"), (True, False, None, None, True, None, "withheld: no judgement"),
     (True, False, None, "other period", True, True, "withheld: relevance"), (False, True, True, None, True, True, "published: repaired"), (False, True, False, None, True, True, "withheld: entailment"), (False, True, None, None, True, True, "withheld: entailment"),
     (False, False, True, None, True, True, "withheld: entailment"),
 ]
@@ -50,14 +50,14 @@ def off_subject_claims(spark, sf):
 
 # question, told, entities, ambiguous; type, slots, core, usable, why not
 CONTRACT_CASES = [
-    ("What is {z}?", "list", ["{z}"], False, "definition", ["definition", "scope"], ["definition"], True, ""),
-    ("Tell me of {z}", "numeric", [], False, "numeric", ["value", "conditions"], ["value"], True, ""),
+    ("What is {z}?", "list", ["{z}"], False, "definition", ["definition", "distinguishing_property"], ["definition"], True, ""),
+    ("Tell me of {z}", "numeric", [], False, "numeric", ["measured_value", "measurement_conditions", "limitations"], ["measured_value"], True, ""),
     ("Tell me of {z}", None, [], False, None, [], [], False, "no known type"),
     ("Tell me of {z}", "poem", [], False, "poem", [], [], False, "no known type"),
-    ("{z} vs Redis", None, ["{z}", "Redis"], False, "comparison", ["contrast", "relationship", "trade_off"], ["contrast"], True, ""),
+    ("{z} vs Redis", None, ["{z}", "Redis"], False, "comparison", ["direct_contrast", "dimension", "relationship"], ["direct_contrast"], True, ""),
     ("Tell me of {z}", "comparison", ["{z}"], False, "comparison", [], [], False, "nothing to compare"),
     ("What is {z}?", None, [], True, "definition", [], [], False, "ambiguous"),
-    ("Should we use {z}?", None, [], False, "recommendation", ["recommendation", "trade_off"], ["recommendation", "trade_off"], True, ""),
+    ("Should we use {z}?", None, [], False, "recommendation", ["recommendation", "tradeoffs"], ["recommendation"], True, ""),
 ]
 
 
@@ -152,12 +152,21 @@ def capture_index(spark, sf):
     return c.select("conv_id", "turn", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", (F.col("t") - F.min("t").over(w)).alias("elapsed"))
 
 
-@query("SELECT claim_id, source_id, min(item_id % 9 + 1) AS page FROM (SELECT claim_id, unnest(evidence_ids) AS evidence_id FROM v_claims) JOIN v_evidence USING (evidence_id) WHERE quote_match = 'exact' GROUP BY ALL")
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents WHERE doc_id IN (SELECT doc_id FROM v_held)),
+    g AS (SELECT doc_id, page, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY page) - length(line) - 1 AS start FROM l),
+    h AS (SELECT doc_id, item_id, length(regexp_extract(text, '^[ \\t\\r\\n\\f\\x0B]*')) + length(array_to_string(list_slice(regexp_extract_all(trim(text, chr(32) || chr(9) || chr(13) || chr(10) || chr(12) || chr(11)), '[ \\t\\r\\n\\f\\x0B]+|[^ \\t\\r\\n\\f\\x0B]'), 1, CAST(place AS INT)), '')) AS spot
+      FROM v_held JOIN documents USING (doc_id)),
+    p AS (SELECT doc_id, item_id, max(page) AS page FROM h JOIN g USING (doc_id) WHERE start <= spot GROUP BY ALL)
+    SELECT claim_id, source_id, CAST(arg_min(page, pos) AS INTEGER) AS page FROM (SELECT claim_id, generate_subscripts(evidence_ids, 1) AS pos, unnest(evidence_ids) AS evidence_id FROM v_claims) JOIN v_evidence USING (evidence_id) JOIN p USING (doc_id, item_id) WHERE quote_match = 'exact' GROUP BY ALL"""
+)
 def cited_pages(spark, sf):
-    """The first page of each source that a claim cites."""
-    c = vw.claims(spark, sf).select("claim_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
-    e = vw.evidence(spark, sf).where("quote_match = 'exact'").select("evidence_id", "source_id", (F.col("item_id") % 9 + 1).alias("page"))
-    return c.join(e, "evidence_id").groupBy("claim_id", "source_id").agg(F.min_by("page", "pos").alias("page"))
+    """The page of each source that a claim cites first: the last page that starts at or before the quote's place."""
+    claims, evidence = vw.cited(spark, sf)
+    quotes = evidence.where("quote_match = 'exact'").select("evidence_id", "source_id", "doc_id", "offset")
+    placed = ordered.as_of(quotes, vw.document_pages(spark, sf).select("doc_id", "page", F.col("offset").alias("start")), ["doc_id"], "offset", "start", ["page"])
+    cites = claims.select("claim_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
+    return cites.join(placed.select("evidence_id", "source_id", "page"), "evidence_id").groupBy("claim_id", "source_id").agg(F.min_by("page", "pos").alias("page"))
 
 
 @query(

@@ -231,7 +231,7 @@ def content_duplicates(spark, sf):
     FROM (SELECT claim_id, CAST(generate_subscripts(evidence_ids, 1) - 1 AS INT) AS pos, unnest(evidence_ids) AS evidence_id FROM v_claims) c LEFT JOIN v_evidence e USING (evidence_id)"""
 )
 def claim_resolution(spark, sf):
-    return rs.resolved(vw.claims(spark, sf), vw.evidence(spark, sf))
+    return rs.resolved(*vw.cited(spark, sf))
 
 
 _RESOLVED = """r AS (SELECT c.claim_id, c.pos, c.evidence_id, e.source_id, CASE WHEN e.source_id IS NULL THEN 'unknown_evidence' WHEN quote_match <> 'exact' THEN 'quote_unverified' END AS issue
@@ -242,12 +242,12 @@ _RESOLVED = """r AS (SELECT c.claim_id, c.pos, c.evidence_id, e.source_id, CASE
 
 @query(f"WITH {_RESOLVED} SELECT claim_id, coalesce(source_ids, []) AS source_ids, cited, sound, unknown, unverified FROM n LEFT JOIN s USING (claim_id)")
 def claim_citations(spark, sf):
-    return rs.citations(vw.claims(spark, sf), vw.evidence(spark, sf))
+    return rs.citations(*vw.cited(spark, sf))
 
 
 @query(f"WITH {_RESOLVED} SELECT source_id FROM v_sources WHERE usable AND source_id NOT IN (SELECT source_id FROM r WHERE issue IS NULL)")
 def unused_sources(spark, sf):
-    return rs.unused_sources(vw.sources(spark, sf), vw.claims(spark, sf), vw.evidence(spark, sf))
+    return rs.unused_sources(vw.sources(spark, sf), *vw.cited(spark, sf))
 
 
 @query(
@@ -255,7 +255,7 @@ def unused_sources(spark, sf):
     FROM n JOIN v_claims USING (claim_id)) SELECT *, coalesce(round(sound / nullif(citations, 0), 4), 1.0::DOUBLE) AS citation_integrity, round(covered / nullif(substantive, 0), 4) AS citation_coverage FROM a"""
 )
 def citation_integrity(spark, sf):
-    return rs.integrity(vw.claims(spark, sf), vw.evidence(spark, sf))
+    return rs.integrity(*vw.cited(spark, sf))
 
 
 @query(
@@ -312,22 +312,10 @@ def evidence_packages(spark, sf):
     return cv.packages(vw.evidence(spark, sf), rank)
 
 
-@query(
-    """SELECT 'S' || d.doc_id AS source_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(trim(regexp_replace(d.text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))))"""
-)
+@query("SELECT 'S' || doc_id AS source_id, item_id FROM v_held")
 def exact_quotes(spark, sf):
-    """Passages that a document holds word for word. The inner words of a passage are whole words of the document: passages meet documents by four of them in a row, shorter ones by their longest. Only passages without an inner word are looked for in every document."""
-    d = vw.table(spark, sf, "documents").select("doc_id", F.lower(tx.one_spaced(F.col("text"))).alias("t"))
-    b = vw.table(spark, sf, "benchmark").select("item_id", F.lower(tx.one_spaced(F.col("text"))).alias("q")).withColumn("w", F.split("q", " "))
-    inner = F.slice("w", 2, F.size("w") - 2)
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = b.where("size(w) >= 3").select("item_id", F.when(F.size("w") >= 6, F.xxhash64(*(F.try_element_at("w", F.lit(k)) for k in (2, 3, 4, 5)))).otherwise(F.xxhash64(longest)).alias("h"))
-    known = keyed.select("h").distinct()
-    words = d.select("doc_id", F.explode(F.concat(vw.grams(F.col("t"), 4, whole=False), F.transform(F.split("t", " "), lambda x: F.xxhash64(x)))).alias("h")).join(vw.bounded(known), "h", "left_semi")
-    met = words.join(vw.bounded(keyed), "h").select("doc_id", "item_id").distinct().join(d, "doc_id").join(b.select("item_id", "q"), "item_id")
-    everywhere = b.where("size(w) < 3").select("item_id", "q").join(d, F.col("t").contains(F.col("q"))).select("item_id", "doc_id", "t", "q")
-    full = met.select("item_id", "doc_id", "t", "q").unionByName(everywhere).where(F.col("t").contains(F.col("q")))
-    return full.select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "item_id")
+    """Passages that a document holds word for word in the matching form."""
+    return vw.quote_places(spark, sf).where("quote_match = 'exact'").select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "item_id")
 
 
 # --- Topics -----------------------------------------------------------------------------------------------------------------------------------------------
@@ -351,9 +339,8 @@ def topical_overlap(spark, sf):
 
 @query()
 def quote_classes(spark, sf):
-    """exact, fuzzy or none for documents and passages that share three words in a row. The ratio of the fuzzy form has no SQL form; tests compare it with plain code."""
-    pairs = vw.shared_passages(spark, sf).join(vw.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(vw.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
-    return pairs.select("doc_id", "item_id", matching.quote_match(F.col("quote"), F.col("text")).alias("quote_match"))
+    """Class and place of each piece of evidence: exact, fuzzy or none, and the offset in the document as it is. The ratio of the fuzzy form has no SQL form; tests compare it with plain code."""
+    return vw.evidence(spark, sf).select("doc_id", "item_id", "quote_match", "offset")
 
 
 # --- Calibration and comparison --------------------------------------------------------------------------------------------------------------------------

@@ -35,15 +35,16 @@ _VERDICTS_SQL = f"""{_PAIRS_SQL},
 
 
 def _verdicts(spark, sf, claims=None, evidence=None):
-    claims = vw.claims(spark, sf) if claims is None else claims
-    pairs = gate.scoring_pairs(claims, vw.evidence(spark, sf) if evidence is None else evidence)
+    if claims is None or evidence is None:
+        claims, evidence = vw.cited(spark, sf)
+    pairs = gate.scoring_pairs(claims, evidence)
     ranks = vw.sources(spark, sf).select("source_id", F.lit(0).alias("rank"), "quality")
     return gate.verdicts(claims, pairs, _scores(pairs), ranks)
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT claim_id, evidence_id, source_id FROM p")
 def scoring_pairs(spark, sf):
-    return gate.scoring_pairs(vw.claims(spark, sf), vw.evidence(spark, sf)).select("claim_id", "evidence_id", "source_id")
+    return gate.scoring_pairs(*vw.cited(spark, sf)).select("claim_id", "evidence_id", "source_id")
 
 
 @query(f"WITH {_VERDICTS_SQL} SELECT * FROM v")
@@ -64,7 +65,7 @@ def support_breakdown(spark, sf):
 )
 def sound_contradictions(spark, sf):
     """Whether both sides of a disagreement, each with the claims of several conversations, have a supported one."""
-    claims = vw.claims(spark, sf)
+    claims = vw.claim_texts(spark, sf)
     sides = claims.select((F.col("conv_id") % 11).alias("contradiction_id"), (F.floor(F.col("conv_id") / 50) % 2).alias("side"), "claim_id")
     sound = gate.both_sides(sides, _verdicts(spark, sf)).withColumn("s", F.lit(True))
     return sides.select("contradiction_id").distinct().join(sound, "contradiction_id", "left").select("contradiction_id", F.coalesce("s", F.lit(False)).alias("sound"))
@@ -77,7 +78,7 @@ def sound_contradictions(spark, sf):
     SELECT name, value, higher_is_better, CASE WHEN value IS NULL THEN 'n/a' WHEN value BETWEEN 0 AND 1 THEN printf('%.0f', value * 100) || '%' ELSE printf('%.2f', value) END AS shown FROM m"""
 )
 def run_metrics(spark, sf):
-    one = rs.integrity(vw.claims(spark, sf), vw.evidence(spark, sf)).withColumn("concentration", cv.domain_concentration(vw.sources(spark, sf)).select("concentration").scalar())
+    one = rs.integrity(*vw.cited(spark, sf)).withColumn("concentration", cv.domain_concentration(vw.sources(spark, sf)).select("concentration").scalar())
     return gate.metric_rows(one, [("citation_integrity", "citation_integrity", True), ("citation_coverage", "citation_coverage", True), ("source_concentration", "concentration", False)])
 
 

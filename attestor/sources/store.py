@@ -17,9 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_attestor").rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/attestor/{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table there, read back with its schema: computed once, however often it is used."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/attestor/{uuid.uuid4().hex}/{name}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

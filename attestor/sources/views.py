@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
 from attestor.functions import urls
+from attestor.operators import ordered, quotes
+from attestor.sources import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,29 +71,54 @@ def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(bounded(b), "h").select("doc_id", "item_id").distinct()
 
 
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, quote_match (exact or fuzzy), offset of the passages that documents hold or come close to."""
+    return quotes.located(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages as quotes against the documents that share three words in a row with them; a quote is exact where the document holds it word for word. Close ones are told apart by `quote_classes`."""
-    pairs = shared_passages(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
-    held = F.lower(tx.one_spaced(F.col("text"))).contains(F.lower(tx.one_spaced(F.col("quote"))))
-    return pairs.select(
+    """Passages as quotes against documents: all that a document holds (exact) or comes close to (fuzzy), and, as quotes that fail (none), those that share three words in a row with it. Written once, so that a query may use it often."""
+    pairs = shared_passages(spark, sf_dir).join(quote_places(spark, sf_dir), ["doc_id", "item_id"], "full").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
+    rows = pairs.select(
         F.concat(F.lit("S"), F.col("doc_id").cast("string"), F.lit("-e"), F.col("item_id").cast("string")).alias("evidence_id"), F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "doc_id", "item_id",
         F.concat(F.lit("SQ"), (F.col("item_id") % 5).cast("string")).alias("sub_question_id"), "quote", F.when((F.col("doc_id") + F.col("item_id")) % 7 == 0, "contradicts").otherwise("supports").alias("stance"),
-        ((F.col("doc_id") * 31 + F.col("item_id") * 17) % 100 / 100.0).alias("relevance"), F.when(held, "exact").otherwise("none").alias("quote_match"),
+        ((F.col("doc_id") * 31 + F.col("item_id") * 17) % 100 / 100.0).alias("relevance"), F.coalesce("quote_match", F.lit("none")).alias("quote_match"), "offset",
     )
+    return store.written(rows, "evidence")
 
 
-def claims(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
-    """Assistant turns as claims. Each cites the first three items of evidence, by document, of the passage whose number is that of its conversation modulo the passages, and one item that doesn't exist. held: the evidence, if it is at hand."""
+def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claims and the evidence that they cite, which is computed once."""
+    held = evidence(spark, sf_dir)
+    return claims(spark, sf_dir, held), held
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as pages: doc_id, page (from 1), offset where it starts, text."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    pages = store.written(lines.select("doc_id", (F.col("n") + 1).alias("page"), "text"), "pages")
+    placed = ordered.running_sums(pages, ["doc_id"], "page", [], {"end": F.length("text") + 1})
+    return placed.select("doc_id", "page", (F.col("end") - F.length("text") - 1).alias("offset"), "text")
+
+
+def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as claims, without what they cite."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return c.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("claim_id"), "conv_id", "turn", "text", F.when(F.col("turn") <= 1, "summary").when(F.col("turn") <= 3, "finding").otherwise("section").alias("placement"),
+        F.when(F.col("conv_id") % 9 == 0, "framing").when(F.col("conv_id") % 9 == 1, "extracted").otherwise("substantive").alias("kind"), F.concat(F.lit("slot"), (F.col("conv_id") % 4).cast("string")).alias("slot"),
+    )
+
+
+def claims(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """Claims. Each cites the first three items of evidence, by document, of the passage whose number is that of its conversation modulo the passages, and one item that doesn't exist. held: the evidence, if it is at hand."""
     n = table(spark, sf_dir, "benchmark").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     first = Window.partitionBy("item_id").orderBy("doc_id")
     e = (evidence(spark, sf_dir) if held is None else held).select("item_id", "doc_id", "evidence_id").withColumn("place", F.row_number().over(first)).where("place <= 3")
     of_item = e.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]).alias("ids"))
     ids = F.concat(F.coalesce("ids", F.array().cast("array<string>")), F.array(F.lit("S-1-e0")))
-    return c.withColumn("item_id", F.col("conv_id") % n).join(of_item, "item_id", "left").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("claim_id"), "conv_id", "turn", "text", ids.alias("evidence_ids"), F.when(F.col("turn") <= 1, "summary").when(F.col("turn") <= 3, "finding").otherwise("section").alias("placement"),
-        F.when(F.col("conv_id") % 9 == 0, "framing").when(F.col("conv_id") % 9 == 1, "extracted").otherwise("substantive").alias("kind"), F.concat(F.lit("slot"), (F.col("conv_id") % 4).cast("string")).alias("slot"),
-    )
+    met = claim_texts(spark, sf_dir).withColumn("item_id", F.col("conv_id") % n).join(of_item, "item_id", "left")
+    return met.select("claim_id", "conv_id", "turn", "text", ids.alias("evidence_ids"), "placement", "kind", "slot")
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +172,11 @@ def spaced_sql(x: str) -> str:
     return SPACED.format(x=x)
 
 
+def match_sql(x: str) -> str:
+    """DuckDB's matching form of a quote or text."""
+    return "lower(" + spaced_sql(f"translate({x}, '{tx.TYPOGRAPHIC}', '{tx.PLAIN.replace(chr(39), chr(39) * 2)}')") + ")"
+
+
 VIEWS = {
     "v_results": f"""SELECT *, CASE WHEN query_id = 'Q7' THEN '' ELSE 'SQ' || (CAST(substr(query_id, 2) AS INT) % 5) END AS sub_question_id, {canonical_sql("url")} AS canonical_url, {domain_sql("url")} AS domain FROM (
         SELECT page_id * 3 + v AS seq, CASE WHEN v = 2 THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(regexp_replace(url, '#.*$', ''), '?') THEN '&utm_medium=v2' ELSE '?utm_medium=v2' END || regexp_extract(url, '(#.*)$', 1)
@@ -156,10 +188,11 @@ VIEWS = {
         CAST(len(regexp_extract_all(text, '[^ \\t\\r\\n\\f\\x0B]+')) AS BIGINT) AS word_count, n_chars > 0 AS usable, (doc_id * 13 % 100) / 100.0::DOUBLE AS quality FROM documents""",
     "v_grams": f"""SELECT kind, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM
         (SELECT 'd' AS kind, doc_id AS id, string_split(lower({spaced_sql("text")}), ' ') AS w FROM documents UNION ALL SELECT 'b', item_id, string_split(lower({spaced_sql("text")}), ' ') FROM benchmark)""",
-    "v_evidence": f"""SELECT 'S' || doc_id || '-e' || item_id AS evidence_id, 'S' || doc_id AS source_id, doc_id, item_id, 'SQ' || (item_id % 5) AS sub_question_id, b.text AS quote,
-        CASE WHEN (doc_id + item_id) % 7 = 0 THEN 'contradicts' ELSE 'supports' END AS stance, (doc_id * 31 + item_id * 17) % 100 / 100.0::DOUBLE AS relevance,
-        CASE WHEN contains(lower({spaced_sql("d.text")}), lower({spaced_sql("b.text")})) THEN 'exact' ELSE 'none' END AS quote_match
-        FROM (SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM v_grams x JOIN v_grams y USING (g) WHERE x.kind = 'd' AND y.kind = 'b') p JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)""",
+    "v_held": f"""SELECT doc_id, item_id, instr(t, q) - 1 AS place FROM (SELECT doc_id, {match_sql("text")} AS t FROM documents) JOIN (SELECT item_id, {match_sql("text")} AS q FROM benchmark) ON contains(t, q) WHERE length(q) >= 12""",
+    "v_evidence": f"""SELECT 'S' || p.doc_id || '-e' || p.item_id AS evidence_id, 'S' || p.doc_id AS source_id, p.doc_id, p.item_id, 'SQ' || (p.item_id % 5) AS sub_question_id, b.text AS quote,
+        CASE WHEN (p.doc_id + p.item_id) % 7 = 0 THEN 'contradicts' ELSE 'supports' END AS stance, (p.doc_id * 31 + p.item_id * 17) % 100 / 100.0::DOUBLE AS relevance,
+        CASE WHEN v_held.doc_id IS NULL THEN 'none' ELSE 'exact' END AS quote_match
+        FROM (SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM v_grams x JOIN v_grams y USING (g) WHERE x.kind = 'd' AND y.kind = 'b' UNION SELECT doc_id, item_id FROM v_held) p JOIN benchmark b USING (item_id) LEFT JOIN v_held USING (doc_id, item_id)""",
     "v_claims": """SELECT conv_id * 100 + turn AS claim_id, conv_id, turn, text, list_append(coalesce(ids, []), 'S-1-e0') AS evidence_ids,
         CASE WHEN turn <= 1 THEN 'summary' WHEN turn <= 3 THEN 'finding' ELSE 'section' END AS placement, CASE WHEN conv_id % 9 = 0 THEN 'framing' WHEN conv_id % 9 = 1 THEN 'extracted' ELSE 'substantive' END AS kind, 'slot' || (conv_id % 4) AS slot
         FROM conversations LEFT JOIN (SELECT item_id, list(evidence_id ORDER BY place) AS ids FROM (SELECT item_id, evidence_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS place FROM v_evidence) WHERE place <= 3 GROUP BY 1) i

@@ -95,7 +95,7 @@ def test_quota_and_ledger(spark):
 
 def test_answers(spark):
     q = spark.createDataFrame([(1, "causal"), (2, "list"), (3, "odd")], "question_id int, question_type string")
-    pub = spark.createDataFrame([(1, "mechanism"), (2, "members"), (2, "members")], "question_id int, slot string")
+    pub = spark.createDataFrame([(1, "limitations"), (2, "items"), (2, "items")], "question_id int, slot string")
     got = {r.question_id: (r.answered, r.partly, r.repeats) for r in answers.answer_coverage(answers.slots(q), pub).collect()}
     assert got == {1: (False, True, 0), 2: (True, False, 1)}
 

@@ -1,13 +1,16 @@
 """Queries over whole tables and texts, against plain code."""
 
 import difflib
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from attestor.functions import lexicon as lx
 from attestor.functions import urls
+from attestor.operators import ordered, quotes
 
 
 def terms(text):
@@ -40,27 +43,105 @@ def test_citation_markers_reads_whole_texts(spark, tmp_path):
 
 
 def test_exact_quotes_of_any_length(spark, tmp_path):
+    """Word for word, inside words too; quotes of fewer than twelve characters prove nothing."""
     docs = [(1, "Alpha  beta gamma delta epsilon zeta eta"), (2, "xalpha beta gammax"), (3, "word " * 30_000 + "one two three four five six"), (4, None), (5, "")]
-    items = [(0, "alpha beta"), (1, "beta gamma delta"), (2, "one two three four five six"), (3, "alph"), (4, "beta gamma delta epsilon"), (5, "lpha beta gamma delta epsilon zet"), (6, "beta"), (7, "nowhere to be found at all here")]
+    items = [(0, "alpha beta g"), (1, "beta gamma delta"), (2, "one two three four five six"), (3, "alph"), (4, "beta gamma delta epsilon"), (5, "lpha beta gamma delta epsilon zet"), (6, "beta"), (7, "nowhere to be found at all here"), (8, "lpha  beta gamma"), (9, "word word word")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     plain = lambda t: " ".join(t.lower().split())
-    want = {(f"S{d}", i) for d, t in docs if t is not None for i, q in items if plain(q) in plain(t)}
+    want = {(f"S{d}", i) for d, t in docs if t is not None for i, q in items if len(plain(q)) >= 12 and plain(q) in plain(t)}
     got = entry.queries()["exact_quotes"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) > 8 and {(r.source_id, r.item_id) for r in got} == want
 
 
+def classified(quote, text):
+    """Class and place in the matching form of one quote in one text, window by window."""
+    form = lambda t: re.sub(r"\s+", " ", (t or "").translate(str.maketrans("‘’“”–—\u00a0", "''\"\"-- ")).lower()).strip()
+    q, t = form(quote), form(text)
+    if len(q) < 12 or not t:
+        return None
+    if q in t:
+        return "exact", t.find(q)
+    if len(q) > len(t):
+        return ("fuzzy", None) if difflib.SequenceMatcher(None, q, t).ratio() >= 0.88 else None
+    return next((("fuzzy", s) for s in range(0, len(t) - len(q) + 1, max(1, len(q) // 4)) if difflib.SequenceMatcher(None, t[s : s + len(q)], q).ratio() >= 0.88), None)
+
+
+def edited(rnd, s, n):
+    out = list(s)
+    for _ in range(n):
+        i = rnd.randrange(len(out) + 1)
+        out[i : i + rnd.choice([0, 1, 1])] = rnd.choice(["", "z", " ", "e"])
+    return "".join(out)
+
+
+def test_quotes_equal_brute_force(spark, monkeypatch):
+    """Exact, close and other quotes of all lengths against all texts; the slices of texts and places are cut small for a third of the rounds."""
+    rnd, seen = random.Random(8), Counter()
+    syllables = "ba be di lo ka mu nu re si ta en er in on the and of".split()
+    for turn in range(9):
+        if turn % 3 == 0:
+            monkeypatch.setattr(quotes, "PIECE", 50)
+            monkeypatch.setattr(quotes, "PAIRS", 10)
+        else:
+            monkeypatch.undo()
+        texts = [" ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 110))) for _ in range(8)] + ["a" * 50 + "b" + "a" * 28, "short text of its own"]
+        asked = ["a" * 30, "short text of its ovn!"]
+        for _ in range(20):
+            t, n = rnd.choice(texts), rnd.choice([11, 12, 13, 17, 20, 30, 60, 120, 200, 260])
+            start = rnd.randrange(len(t) + 1)
+            asked.append(edited(rnd, t[start : start + n], rnd.choice([0, 1, 2, n * 6 // 100, n * 10 // 100, n * 13 // 100])))
+        own = [i for i, q in enumerate(asked) if len(quotes.matching_form(q)) >= 12]
+        block = quotes.Quotes(own, [quotes.matching_form(asked[i]) for i in own])
+        for t in texts:
+            found = block.found(quotes.matching_form(t)) if t.strip() else {}
+            got = {block.ids[k]: (kind, at if at >= 0 else None) for k, (kind, at) in found.items()}
+            for i, q in enumerate(asked):
+                want = classified(q, t)
+                assert got.get(i) == want, (q, t)
+                seen[want and want[0]] += 1
+    assert seen["exact"] > 40 and seen["fuzzy"] > 40
+
+
+def test_quotes_typographic_short_and_odd(spark):
+    docs = [(1, "He  said “don’t panic” and\n left"), (2, "under extraordinary\u00a0circumstances only"), (3, "The alphabetical beta versions gammarays deltawings epsilonics came"), (4, None), (5, ""), (6, "  \n Leading space, then said \"don't panic\" and left"), (6, "twice: said 'x'")]
+    items = [(0, "said \"don't panic\" and left"), (1, "extraordinary circumstances"), (2, "alphabetical betaversions gammarayss deltawings epsilonics"), (3, "don't panic"), (4, None), (5, ""), (0, "under extraordinary")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, Offset string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.quote_match, r.offset) for r in quotes.located(d, b).collect()}
+    assert got == {(1, 0, "exact", 4), (6, 0, "exact", docs[5][1].index("said")), (2, 1, "exact", 6), (2, 0, "exact", 0), (3, 2, "fuzzy", 0)}
+    assert classified(items[2][1], docs[2][1]) == ("fuzzy", 0)
+    assert quotes.located(d.limit(0), b).count() == 0 and quotes.located(d, b.limit(0)).count() == 0
+
+
 def test_quote_classes(spark):
-    sf = "/root/testdata/sf0.01"
+    """Every pair of a document and an item that matches is evidence, with its class and the place in the document as it is."""
+    sf = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     quote = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    plain = lambda t: re.sub("[ \t\r\n\f\x0b]+", " ", t.translate(str.maketrans("‘’“”–— ", "''\"\"-- "))).strip().lower()
-    rows = entry.queries()["quote_classes"](spark, sf).collect()
-    for r in rows:
-        q, t = plain(quote[r.item_id]), plain(text[r.doc_id])
-        best = 0.0 if q in t else max(difflib.SequenceMatcher(None, t[s : s + len(q)], q, autojunk=False).ratio() for s in range(0, max(1, len(t) - len(q) + 1), max(1, len(q) // 4)))
-        assert r.quote_match == ("exact" if q in t else "fuzzy" if best >= 0.88 else "none")
-    assert len(rows) > 50 and {r.quote_match for r in rows} >= {"exact", "none"}
+    rows = {(r.doc_id, r.item_id): r for r in entry.queries()["quote_classes"](spark, sf).collect()}
+    for i, q in quote.items():
+        for d, t in text.items():
+            near = 2 * sum((Counter(quotes.matching_form(q)) & Counter(quotes.matching_form(t))).values()) >= 0.8 * len(q)
+            want = classified(q, t) if q[:60].lower() in t.lower() or near and len(t) < 3 * len(q) else None
+            if want:
+                assert rows[d, i].quote_match == want[0]
+    held = [r for r in rows.values() if r.quote_match == "exact"]
+    assert held and all(" ".join(text[r.doc_id][r.offset :].lower().split()).startswith(" ".join(quote[r.item_id].lower().split())) for r in held)
+    assert all((r.offset is None) == (r.quote_match == "none") for r in rows.values())
+
+
+def test_as_of_and_running_sums(spark):
+    rnd = random.Random(2)
+    starts = [(rnd.choice([0, 0, 0, 1, 2]), rnd.randrange(1000), i) for i in range(300)]
+    points = [(rnd.choice([0, 0, 0, 1, 2, 3]), rnd.choice([None, rnd.randrange(-5, 1005)]), i) for i in range(400)]
+    p, s = spark.createDataFrame(points, "g int, at int, id int"), spark.createDataFrame(starts, "g int, start int, page int")
+    for cuts in (1, 7, 64):
+        got = {r.id: r.page for r in ordered.as_of(p, s, ["g"], "at", "start", ["page"], cuts).collect()}
+        assert got == {i: max(((x, n) for h, x, n in starts if h == g and at is not None and x <= at), default=(0, None))[1] for g, at, i in points}
+        sums = {r.id: r.total for r in ordered.running_sums(p.where("at is not null"), ["g"], "at", ["id"], {"total": F.col("id")}, cuts).collect()}
+        assert sums == {i: sum(j for h, x, j in points if h == g and x is not None and (x, j) <= (at, i)) for g, at, i in points if at is not None}
+    assert ordered.as_of(p, s.limit(0), ["g"], "at", "start", ["page"]).where("page is not null").count() == 0
 
 
 def test_page_texts(spark):
