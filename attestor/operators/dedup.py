@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from attestor.functions import lexicon as lx
 from attestor.functions import matching
 from attestor.functions import text as tx
+from attestor.sources import store
 
 
 def ordered_distinct(pairs: Column) -> Column:
@@ -65,35 +65,68 @@ def claims(rows: DataFrame) -> DataFrame:
     return keyed.select("claim_id", "placement", "kind", "_at").join(kept.withColumn("_kept", F.lit(True)), "_at", "left").select("claim_id", "placement", ((F.col("kind") == "framing") | F.col("_kept").isNotNull()).alias("stays"))
 
 
+#: Lengths of the pieces of titles of any length that matches allow: SHORTEST_TITLE and the ratio give no others.
+PIECE_WIDTHS = (4, 5, 6)
+
+
+def _edits(n: Column, m: Column) -> Column:
+    """Characters of two titles of n and m characters that a matching ratio leaves over at most, on both sides together."""
+    return F.floor(F.lit(1 - matching.TITLE_RATIO) * (n + m) + 1e-9).cast("int")
+
+
+def near_pairs(titles: DataFrame) -> DataFrame:
+    """domain, first, then (numbers, first < then) of all titles (domain, digits, number, t) of one domain and with equal digits that match. t: at least SHORTEST_TITLE characters; each stands once.
+
+    With e characters left over at most, e + 1 pieces of the shorter title leave one unbroken in the longer, shifted by e at most. So each title is written out once as its pieces and once as all its parts of the lengths
+    that pieces have; titles meet by equal parts, then by lengths and shift, and only then by the ratio.
+    """
+    n = F.length("t")
+    longest = F.floor(n * (2 / matching.TITLE_RATIO - 1) + 1e-9).cast("int")  # of a title that can match a shorter one of n
+    k = _edits(n, longest) + 1
+    rows = titles.select("domain", "digits", "number", "t", n.alias("n"), k.alias("k"))
+    size, more = F.floor(F.col("n") / F.col("k")).cast("int"), F.col("n") % F.col("k")
+    start = lambda i: (i * size + F.least(i, more)).cast("int")
+    width = lambda i: size + (i < more).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.substr("t", start(i) + 1, width(i)).alias("piece"), start(i).alias("p")))
+    short = rows.select("domain", "digits", F.col("number").alias("a"), F.col("n").alias("na"), F.explode(pieces).alias("_x")).select("domain", "digits", "a", "na", "_x.*")
+    parts = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda i: F.struct(F.substr("t", i + 1, F.col("w")).alias("piece"), i.alias("p2")))
+    widths = rows.withColumn("w", F.explode(F.array(*map(F.lit, PIECE_WIDTHS))))
+    long = widths.select("domain", "digits", F.col("number").alias("b"), F.col("n").alias("nb"), F.explode(parts).alias("_x")).select("domain", "digits", "b", "nb", "_x.*")
+    e = _edits(F.col("na"), F.col("nb"))
+    met = short.join(long, ["domain", "digits", "piece"]).where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")) & (F.abs(F.col("p") - F.col("p2")) <= e) & (F.col("nb") - F.col("na") <= e))
+    pairs = met.select("domain", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("then")).distinct()
+    text = titles.select("number", "t")
+    both = pairs.join(text.select(F.col("number").alias("first"), F.col("t").alias("x")), "first").join(text.select(F.col("number").alias("then"), F.col("t").alias("y")), "then")
+    return both.where(matching.titles_match(F.col("y"), F.col("x"))).select("domain", "first", "then")
+
+
 def near_titles(candidates: DataFrame) -> DataFrame:
     """Candidates (canonical_url, seq, domain, title) whose title is nearly that of an earlier one of their domain that is kept itself: canonical_url, kept_as (the earliest such).
 
-    Titles meet inside one domain, with equal digits and lengths that the ratio allows. Who is kept depends on who was kept before: the near pairs of a domain, not its titles, go through one task in order, which holds the
-    numbers of those given up.
+    Equal titles are one, with the number of the first: all have its fate. Who is kept depends on who was kept before: the near pairs of a domain, not its titles, go through one task in order, which holds the numbers of those given up.
     """
     low = F.lower(tx.one_spaced(F.coalesce("title", F.lit(""))))
     t = candidates.select("canonical_url", "seq", "domain", low.alias("t")).where(F.length("t") >= matching.SHORTEST_TITLE)
     t = t.withColumn("digits", F.array_join(F.regexp_extract_all("t", F.lit("([0-9]+)"), 1), ","))
-    # The ratio is twice the matched characters over both lengths, so these differ by a factor of 2 / ratio - 1 at most: two titles that can match lie in one band of lengths or in neighbouring ones.
-    band = F.floor(F.log(F.length("t").cast("double")) / math.log(2 / matching.TITLE_RATIO - 1)).cast("int")
-    later = t.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    earlier = t.select("domain", "digits", band.alias("band"), F.col("canonical_url").alias("earlier"), F.col("seq").alias("s"), F.col("t").alias("u"))
-    met = later.join(earlier, ["domain", "digits", "band"]).where(F.col("s") < F.col("seq"))
-    near = met.where(matching.titles_match(F.col("t"), F.col("u"))).select("domain", "seq", "canonical_url", "s", "earlier")
+    own = store.written(t.groupBy("domain", "digits", "t").agg(F.min("seq").alias("number"), F.min_by("canonical_url", "seq").alias("url"), F.count(F.lit(1)).alias("copies")), "titles")
+    near = near_pairs(own).select("domain", "then", "first")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         domain, given_up = None, set()
         for b in batches:
             out = []
-            for d, seq, url, s, first in b.itertuples(index=False):
+            for d, then, first in b.itertuples(index=False):
                 if d != domain:
                     domain, given_up = d, set()
-                if s not in given_up and seq not in given_up:
-                    given_up.add(seq)
-                    out.append((url, first))
-            yield pd.DataFrame(out, columns=["canonical_url", "kept_as"])
-
-    return near.repartition("domain").sortWithinPartitions("domain", "seq", "s").mapInPandas(decide, "canonical_url string, kept_as string")
+                if first not in given_up and then not in given_up:
+                    given_up.add(then)
+                    out.append((then, first))
+            yield pd.DataFrame(out, columns=["number", "kept"])
+
+    gone = store.written(near.repartition("domain").sortWithinPartitions("domain", "then", "first").mapInPandas(decide, "number long, kept long"), "near_titles")
+    urls = own.select(F.col("number").alias("kept"), F.col("url").alias("kept_as"))
+    fate = own.join(gone, "number", "left").withColumn("kept", F.coalesce("kept", "number")).join(urls, "kept").where("copies > 1 or kept <> number").select("domain", "digits", "t", "kept", "kept_as")
+    return t.join(fate, ["domain", "digits", "t"]).where(F.col("seq") != F.col("kept")).select("canonical_url", "kept_as")
 
 
 def collapsed(candidates: DataFrame) -> DataFrame:

@@ -107,6 +107,13 @@ def near_titles(spark, sf):
     return dedup.near_titles(_titled(spark, sf))
 
 
+@query()
+def collapsed_candidates(spark, sf):
+    """Candidates by URL without those whose title is nearly that of an earlier one of their domain; what found these counts for the one kept. The ratio has no SQL form; a test does it in plain loops."""
+    found = dedup.by_url(vw.results(spark, sf)).select("canonical_url", "seq", "domain", "title", "best_score", "sub_questions")
+    return dedup.collapsed(store.written(found, "candidates"))
+
+
 # --- Reviews ---------------------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,12 +1,15 @@
 import difflib
+import random
 import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from attestor.operators import accounts, answers, captures, coverage, dedup, gate, measure, merge, resolve
 from attestor.sources import ingest
+from attestor.sources import views as vw
 
 RESULTS = "seq long, url string, title string, domain string, score double, query_id string, sub_question_id string, canonical_url string, content string"
 
@@ -120,6 +123,50 @@ def test_near_titles(spark):
     assert got["u1"].sub_questions == ["SQ1", *(f"SQ{u[1:]}" for u, v in want.items() if v == "u1")]
 
 
+def alike(a, b):
+    return len(a) >= 20 and len(b) >= 20 and re.findall(r"\d+", a) == re.findall(r"\d+", b) and difflib.SequenceMatcher(None, a, b).ratio() >= 0.92
+
+
+def given_up(titles):
+    """url: the one kept for it, of (url, seq, domain, title) in order, each against all kept ones."""
+    want, kept = {}, []
+    for url, _, d, t in sorted(titles, key=lambda r: r[1]):
+        low = " ".join((t or "").lower().split())
+        first = next((u for u, e, x in kept if e == d and alike(low, x)), None)
+        if first is None:
+            kept.append((url, d, low))
+        else:
+            want[url] = first
+    return want
+
+
+def test_near_titles_equal_brute_force(spark):
+    """Titles of many lengths with few and many edits, copies, and a domain with most of the rows."""
+    rnd = random.Random(4)
+    assert {w for n in range(20, 5000) for k in [int(0.08 * (n + int(n * (2 / 0.92 - 1) + 1e-9)) + 1e-9) + 1] for w in (n // k, n // k + (n % k > 0))} == set(dedup.PIECE_WIDTHS)
+    bases = ["".join(rnd.choice("abcdefgh 12") for _ in range(rnd.choice([18, 19, 20, 21, 24, 30, 45, 80, 160]))) for _ in range(12)]
+    titles = []
+    for i in range(260):
+        t = list(rnd.choice(bases))
+        for _ in range(rnd.choice([0, 0, 1, 2, 3, len(t) // 12, len(t) // 9])):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.choice([0, 1, 1, 2])] = rnd.choice(["", "x", "b", "zz"])
+        titles.append((f"u{i}", i * 3, rnd.choice(["hot.org"] * 4 + ["a.org", "b.org"]), "".join(t)))
+    df = spark.createDataFrame(titles, "canonical_url string, seq long, domain string, title string")
+    want = given_up(titles)
+    assert {r.canonical_url: r.kept_as for r in dedup.near_titles(df).collect()} == want and len(want) > 60
+
+
+def test_collapsed_candidates(spark):
+    sf = "/root/testdata/sf0.01"
+    found = dedup.by_url(vw.results(spark, sf)).select("canonical_url", "seq", "domain", "title", "sub_questions").collect()
+    want = given_up([(r.canonical_url, r.seq, r.domain, r.title) for r in found])
+    got = {r.canonical_url: r for r in entry.queries()["collapsed_candidates"](spark, sf).collect()}
+    assert set(got) == {r.canonical_url for r in found} - set(want) and sum(r.merged for r in got.values()) == len(want) > 0
+    for r in found:
+        assert set(r.sub_questions) <= set(got[want.get(r.canonical_url, r.canonical_url)].sub_questions)
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([("a", i, c, 1.0) for i, c in enumerate([40.0, 70.0, 50.0, 10.0, 1.0])] + [("b", 9, 101.0, 1.0)], "k string, i int, c double, n double").repartition(5)
     assert {(r.k, r.i): r.granted for r in accounts.reservations(rows, "k", "i", "c", 100.0).collect()} == {("a", 0): True, ("a", 1): False, ("a", 2): True, ("a", 3): True, ("a", 4): False, ("b", 9): False}
