@@ -85,19 +85,35 @@ class Rollup:
             return False
         return True
 
-    def _folded(self, number: int | None = None) -> tuple[int, set[str]]:
-        """The newest compaction, or the one asked for (0: none), and the ids of the batches in it."""
-        last = max((int(n) for n in self._list(f"{self.path}/compacted")), default=0) if number is None else number
-        return last, {r["id"] for r in self.spark.read.parquet(f"{self.path}/compacted/{last}/ids").toLocalIterator()} if last else set()
+    def _folded(self, number: int | None = None) -> int:
+        """The newest compaction, or the one asked for; 0: none."""
+        return max((int(n) for n in self._list(f"{self.path}/compacted")), default=0) if number is None else number
+
+    def _ids(self, number: int) -> DataFrame:
+        """The ids of the batches in a compaction: a table, for they only ever grow."""
+        return self.spark.read.schema("id string").parquet(f"{self.path}/compacted/{number}/ids") if number else self.spark.createDataFrame([], "id string")
+
+    def _among(self, number: int, names: list[str]) -> set[str]:
+        """Which of some names are in a compaction."""
+        if not number or not names:
+            return set()
+        asked = self.spark.createDataFrame([(n,) for n in names], "id string")
+        return {r["id"] for r in self._ids(number).join(F.broadcast(asked), "id", "left_semi").distinct().collect()}
+
+    def batches(self) -> DataFrame:
+        """id of every batch."""
+        deltas = self._list(f"{self.path}/deltas")  # before the compaction is looked up: what has left the list since is in it
+        return self._ids(self._folded()).unionByName(self.spark.createDataFrame([(n,) for n in deltas], "id string")).distinct()
 
-    def batches(self) -> set[str]:
-        return set(self._list(f"{self.path}/deltas")) | self._folded()[1]
+    def has(self, batch: str) -> bool:
+        at, files = self._at(f"{self.path}/deltas/{batch}")
+        return files.exists(at) or bool(self._among(self._folded(), [batch]))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the batch; False if it is there already. Ids: letters, digits, `-`, `_` and `.`."""
         if not batch or not all(c.isalnum() or c in "-_." for c in batch) or batch[0] in "._":
             raise ValueError(f"bad batch id {batch!r}")
-        if batch in self.batches():
+        if self.has(batch):
             return False
         sums = signed(changes).groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         own = f"{self.path}/unfinished/{uuid.uuid4().hex}"
@@ -107,7 +123,9 @@ class Rollup:
         remove(self.spark, own)
         return False
 
-    def _totals(self, folded: int, ids: set[str], deltas: list[str]) -> DataFrame:
+    def _totals(self, folded: int, deltas: list[str]) -> DataFrame:
+        """The compaction and those of the listed deltas that are not in it."""
+        ids = self._among(folded, deltas)
         paths = [f"{self.path}/deltas/{n}" for n in deltas if n not in ids] + ([f"{self.path}/compacted/{folded}/sums"] if folded else [])
         rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         sums = rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
@@ -115,20 +133,22 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         deltas = self._list(f"{self.path}/deltas")  # before the compaction is looked up: what has left the list since is in it
-        return self._totals(*self._folded(), deltas)
+        return self._totals(self._folded(), deltas)
 
     def compact(self) -> None:
         """Folds the deltas listed at the start, and no others, into one table with their ids. The deltas of the compaction before, and older compactions, are removed; readers have had a whole generation to finish."""
         deltas = self._list(f"{self.path}/deltas")
-        folded, ids = self._folded()
-        if not set(deltas) - ids:
+        folded = self._folded()
+        ids = self._among(folded, deltas)
+        new = [n for n in deltas if n not in ids]
+        if not new:
             return
         own = f"{self.path}/unfinished/{uuid.uuid4().hex}"
-        self._totals(folded, ids, deltas).write.parquet(f"{own}/sums")
-        self.spark.createDataFrame([(i,) for i in sorted(ids | set(deltas))], "id string").coalesce(1).write.parquet(f"{own}/ids")
+        self._totals(folded, deltas).write.parquet(f"{own}/sums")
+        self._ids(folded).unionByName(self.spark.createDataFrame([(n,) for n in new], "id string")).write.parquet(f"{own}/ids")
         if not self._rename(own, f"{self.path}/compacted/{folded + 1}"):
             return remove(self.spark, own)  # another has compacted meanwhile
-        for n in set(deltas) & ids:
+        for n in ids:
             remove(self.spark, f"{self.path}/deltas/{n}")
         for n in self._list(f"{self.path}/compacted"):
             if int(n) < folded:
