@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from attestor.llm.common import passing
+
 #: Fixed value: the pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 KEPT_PIECES = 400_000
@@ -189,8 +191,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
     """The columns `keep` with n_tokens, and ids array<int> and digests of the ids and the decoded text as asked for. One pass, no shuffle; batches are bounded by rows and worked document by document."""
     fields = [T.StructField("n_tokens", T.LongType()), *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids]
     fields += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256") if digests]
-    schema = T.StructType([*(docs.schema[c] for c in keep if c not in {f.name for f in fields}), *fields])
-    kept = [f.name for f in schema if f.name in keep]
+    kept = passing(keep, (f.name for f in fields))
+    schema = T.StructType([*(docs.schema[c] for c in kept), *fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -213,8 +215,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
 def decoded(encodings: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and text, decoded from the array of ids; null ids: null."""
-    schema = T.StructType([*(encodings.schema[c] for c in keep if c != "text"), T.StructField("text", T.StringType())])
-    kept = [c for c in keep if c != "text"]
+    kept = passing(keep, ["text"])
+    schema = T.StructType([*(encodings.schema[c] for c in kept), T.StructField("text", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)

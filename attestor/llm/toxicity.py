@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import small_batches
+from attestor.llm.common import passing, small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 GRADES = 3
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, supp
 def scored(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """docs with severity (0 to 3), toxic_probability, grade (the likeliest) and toxic."""
     fields = [T.StructField("severity", T.DoubleType()), T.StructField("toxic_probability", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
-    kept = [c for c in docs.columns if c not in {f.name for f in fields}]
+    kept = passing(docs.columns, (f.name for f in fields))
     schema = T.StructType([*(docs.schema[c] for c in kept), *fields])
     cues, at = model.cues, kept.index(text)
 

@@ -54,3 +54,13 @@ def test_query_against_the_library(spark):
         ids = THEIRS.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_names_in_other_cases(spark):
+    """Columns named like the new ones, in any case of letters, are replaced, and what is left can be used."""
+    docs = spark.createDataFrame([(1, "some text", 5, "x"), (2, None, 5, "x")], "doc_id long, text string, N_tokens int, IDS_sha256 string")
+    out = encoded(docs, PATH, keep=("doc_id", "N_tokens", "IDS_sha256"), digests=True)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id: r.n_tokens for r in out.select("doc_id", "n_tokens").collect()} == {1: 2, 2: 0}
+    back = decoded(out.withColumnRenamed("doc_id", "Text"), PATH, keep=("Text",))
+    assert [r.text for r in back.select("text").where("text <> ''").collect()] == ["some text"]

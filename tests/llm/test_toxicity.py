@@ -86,3 +86,12 @@ def test_query(spark):
     missed = [r.doc_id for r in rows if label.get(r.doc_id) == 1 and not r.toxic]
     assert len(missed) <= 16  # some labels have no cue at all, and stems of few documents are not learnt
     assert not [r.doc_id for r in rows if label.get(r.doc_id) == 0 and r.toxic]
+
+
+def test_names_in_other_cases(spark):
+    """Columns named like the new ones, in any case of letters, are replaced, and what is left can be used."""
+    docs = spark.createDataFrame([(i, "vile brute" if i % 2 else "kind words", "x", 1) for i in range(80)], "doc_id long, text string, Severity string, TOXIC int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    out = scored(docs, fit(docs, labels))
+    assert out.columns == ["doc_id", "text", "severity", "toxic_probability", "grade", "toxic"]
+    assert out.select("doc_id", "severity", "toxic").where("toxic").count() == 40
