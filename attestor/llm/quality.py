@@ -2,7 +2,8 @@
 
 A document is described by STATISTICS of its whole text. Standardised, they go through D random Fourier features, cos and sin of random projections, whose products
 approximate a Gaussian kernel. Each partition sums its part of the normal equations; the sums of equal positions are added up, and the driver solves one
-system of fixed size. Scores of the training rows, in bins of fixed width, are made monotone by pooling adjacent violators, and that table maps a score to a probability.
+system of fixed size. For the calibration, the rows fall in two halves by a hash of their statistics, so that copies fall together; each half is scored by a system that was solved from the other one.
+These scores, in bins of fixed width, are made monotone by pooling adjacent violators, and that table maps a score to a probability.
 
 Cases: null and empty text has the statistics of no words, and a score; labels without a document or with null quality teach nothing, and of several labels for a
 document the smallest counts; with labels of one kind, or none, every score is that kind's share (0.5 if none); repeated rows get equal results; texts are read
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import written
+from attestor.llm.common import passing, written
 
 FOURIER = 192
 BINS = 512
@@ -56,14 +57,14 @@ def statistics(text: str | None) -> list[float]:
     return [
         np.log1p(n), np.log1p(len(lines)), float(lengths.mean()), float(lengths.std()), len(counts) / n, max(counts.values()) / n, same_next / n, drop(_UPPER) / size, drop(_DIGITS) / size, drop(_MARKS) / size, drop(_ODD) / size,
         sum(e in _ODD for e in ends) / n, sum(len(w) == 1 and w in _MARKS for w in words) / n, 1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)), sum(65 <= w[0] <= 90 for w in words) / n, len(_ENDS.findall(data)) / n,
-        len(zlib.compress(data, 1)) / size, (len(data) - len(text)) / size, 1 - len(pairs) / max(1, sum(pairs.values())),
+        len(zlib.compress(data, 1)) / size, (len(data) - len(text)) / size, 1 - len(pairs) / max(1, n - 1) if n > 1 else 0.0,
     ]
 
 
 def described(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and stats array<double>."""
-    schema = T.StructType([*(docs.schema[c] for c in keep if c != "stats"), T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    kept = [c for c in keep if c != "stats"]
+    kept = passing(keep, ["stats"])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,17 +121,17 @@ def isotonic(good: np.ndarray, total: np.ndarray) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     """stats: doc_id, stats (written). labels: doc_id, quality; all labelled rows teach. Only sums of fixed size reach the driver."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("double").alias("y"))
-    rows = written(stats.join(known, "doc_id").select("stats", "y"), "labelled_stats")
+    rows = written(stats.join(known, "doc_id").select("stats", "y", (F.abs(F.xxhash64("stats")) % 2).cast("int").alias("half")), "labelled_stats")
     d = len(STATISTICS)
 
     def summed(features, width: int) -> np.ndarray:
-        """Adds up features(stats, y), one vector of fixed width a partition, by position."""
+        """Adds up features(stats, y, half), one vector of fixed width a partition, by position."""
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(width)
             for b in batches:
                 if len(b):
-                    total += features(np.stack(b["stats"].to_numpy()), b["y"].to_numpy())
+                    total += features(np.stack(b["stats"].to_numpy()), b["y"].to_numpy(), b["half"].to_numpy())
             at = np.flatnonzero(total)
             yield pd.DataFrame({"at": at, "value": total[at]})
 
@@ -139,7 +140,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
             out[r["at"]] = r["value"]
         return out
 
-    m = summed(lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * d)
+    m = summed(lambda x, y, _: np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * d)
     n, good = m[0], m[1]
     model = QualityModel(np.zeros(d), np.ones(d), np.zeros(0), np.zeros(BINS), float(good / n) if n else 0.5)
     if not 0 < good < n:
@@ -151,18 +152,28 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     width = FOURIER + 1
     upper = np.triu_indices(width)
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        z, w = model.fourier(x), np.where(y > 0, heavy[1], heavy[0])
-        return np.concatenate([((z * w[:, None]).T @ z)[upper], (z * w[:, None]).T @ y])
-
-    sums = summed(normal, len(upper[0]) + width)
-    gram = np.zeros((width, width))
-    gram[upper] = sums[: len(upper[0])]
-    gram = gram + np.triu(gram, 1).T
-    model.weights = np.round(np.linalg.solve(gram + RIDGE * np.eye(width), sums[len(upper[0]) :]), 9)
+    part = len(upper[0]) + width
 
-    def binned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        at = bin_of(model.fourier(x) @ model.weights)
+    def normal(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
+        z, w = model.fourier(x), np.where(y > 0, heavy[1], heavy[0])
+        sums = []
+        for own in (half == 0, half == 1):
+            weighted = (z[own] * w[own][:, None]).T
+            sums += [(weighted @ z[own])[upper], weighted @ y[own]]
+        return np.concatenate(sums)
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        gram = np.zeros((width, width))
+        gram[upper] = sums[: len(upper[0])]
+        gram = gram + np.triu(gram, 1).T
+        return np.round(np.linalg.solve(gram + RIDGE * np.eye(width), sums[len(upper[0]) :]), 9)
+
+    sums = summed(normal, 2 * part)
+    of_other = np.stack([solved(sums[part:]), solved(sums[:part])])  # weights for a half, from the other one
+    model.weights = solved(sums[:part] + sums[part:])
+
+    def binned(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
+        at = bin_of((model.fourier(x) * of_other[half]).sum(axis=1))
         return np.concatenate([np.bincount(at, y, BINS), np.bincount(at, minlength=BINS)])
 
     counts = summed(binned, 2 * BINS)
@@ -172,7 +183,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
 
 def scored(stats: DataFrame, model: QualityModel) -> DataFrame:
     """stats with score in place of stats."""
-    kept = [c for c in stats.columns if c not in ("stats", "score")]
+    kept = passing(stats.columns, ["stats", "score"])
     schema = T.StructType([*(stats.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +208,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """docs with score, in one pass over the texts."""
-    kept = [c for c in docs.columns if c != "score"]
+    kept = passing(docs.columns, ["score"])
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
     at = kept.index(text)
 

@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from attestor.llm.quality import BINS, FOURIER, RIDGE, STATISTICS, described, fit, isotonic, op7_quality, projections, scored, statistics
+from attestor.llm.quality import BINS, FOURIER, RIDGE, STATISTICS, described, fit, isotonic, op7_quality, projections, scored, statistics, with_score
 
 SF = "/root/testdata/sf0.1"
 
@@ -8,6 +9,18 @@ SF = "/root/testdata/sf0.1"
 def test_statistics():
     assert len(statistics("The end. The end.\nThe end!! |")) == len(STATISTICS)
     assert not any(statistics(None)) and not any(statistics(" \n"))
+    assert statistics("word")[STATISTICS.index("repeated_pair_share")] == 0
+
+
+def test_names_in_other_cases(spark):
+    """Columns named like the new ones, in any case of letters, are replaced, and what is left can be used."""
+    docs = spark.createDataFrame([(i, "some plain words here." if i % 2 else "WORD!! $$$ WORD!!", 5.0, 6.0) for i in range(60)], "doc_id long, text string, Score double, STATS double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    stats = described(docs, keep=("doc_id", "Score", "STATS"))
+    assert stats.columns == ["doc_id", "Score", "stats"]
+    model = fit(stats, labels)
+    for out in (scored(stats, model), with_score(docs.drop("STATS"), model)):
+        assert "Score" not in out.columns and out.select("doc_id", "score").where("score >= 0.5").count() == 30
 
 
 def test_word_pairs_of_both_parities():
@@ -64,7 +77,14 @@ def test_fit_and_scores_against_plain_code(spark):
     w = np.where(y > 0, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()))
     weights = np.linalg.solve((f * w[:, None]).T @ f + RIDGE * np.eye(f.shape[1]), (f * w[:, None]).T @ y)
     assert np.allclose(model.weights, weights, atol=1e-5)
-    bins = np.clip(((f @ model.weights + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
+    # The table is made of scores of each half by weights that were solved from the other one.
+    half = {r.doc_id: abs(r.h) % 2 for r in stats.select("doc_id", F.xxhash64("stats").alias("h")).collect()}
+    own = np.array([half[i] for i in known])
+    raw = np.zeros(len(known))
+    for side in (0, 1):
+        g, v, t = f[own != side], w[own != side], y[own != side]
+        raw[own == side] = f[own == side] @ np.linalg.solve((g * v[:, None]).T @ g + RIDGE * np.eye(f.shape[1]), (g * v[:, None]).T @ t)
+    bins = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
     steps = isotonic(np.bincount(bins, y, BINS), np.bincount(bins, minlength=BINS))
     assert np.abs(steps - model.steps).max() < 0.05 and (np.diff(model.steps) >= 0).all()
     for r in scored(stats, model).collect():
