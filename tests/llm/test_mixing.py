@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -66,6 +67,43 @@ def test_schedule_is_even_and_whole(spark):
             assert sum(r["_source"] == s for r in rows[:n]) == pytest.approx(n * (s + 1) / 6, abs=4)
 
 
+def plain_mix(rows, block):
+    """taken and first slot of each row, (doc_id, source, words, order key): the schedule slot by slot, and every word of a source's stream by its place."""
+    names = sorted({s for _, s, _, _ in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(n for _, t, n, _ in rows if t == s) for s in names}
+    goal = targets([own[s] for s in names], [1 + i % 3 for i in range(len(names))])
+    words = [min(round(t), 3 * own[s]) for t, s in zip(goal, names)]
+    quota = [-(-w // block) for w in words]
+    total, bounds = sum(quota), [sum(quota[: i + 1]) for i in range(len(quota))]
+    slots = [[] for _ in names]
+    for slot in range(total):
+        u = (((slot + 1) * 0x9E3779B97F4A7C15) % 2**64 >> 11) / 2.0**53 * bounds[-1]
+        slots[next((i for i, b in enumerate(bounds) if u < b), len(bounds) - 1)].append(slot)
+    out = {}
+    for i, s in enumerate(names):
+        stream = [d for d, t, n, _ in sorted((r for r in rows if r[1] == s), key=lambda r: (r[3], r[0])) for _ in range(n)]
+        for w in range(words[i]):
+            d, b = stream[w % len(stream)], w // block
+            slot = slots[i][b] if b < len(slots[i]) else total
+            taken_words, first = out.get(d, (0, total))
+            out[d] = taken_words + 1, min(first, slot)
+    return {d: out.get(d, (0, None)) for d, _, _, _ in rows}
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_blocks_and_pieces_equal_a_plain_mix(spark, block, monkeypatch):
+    """Which words of which documents the mix takes, and in which slot a document comes first, word by word."""
+    rng = random.Random(block)
+    docs = spark.createDataFrame([(i, "w " * rng.choice([0, 1, 3, 40, 300, 700]), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(90)], "doc_id long, text string, source string")
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64(F.lit(9), "doc_id", F.crc32(F.col("text").cast("binary"))).alias("k")).collect()}
+    rows = [(r.doc_id, r.source, len(r.text.split()), keys[r.doc_id]) for r in docs.collect()]
+    m = mix(sized(docs), block=block)
+    sums = {r.doc_id: (r.words, r.slot) for r in m.takes.groupBy("doc_id").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).collect()}
+    assert {d: sums.get(d, (0, None)) for d in keys} == plain_mix(rows, block)
+    if block == 256:
+        assert {r.doc_id: (r.taken, r.first_slot) for r in taken(docs).collect()} == plain_mix(rows, block)
+
+
 def test_mix_is_interleaved(spark, tmp_path):
     """Files of the written mix hold the sources in their shares, whatever order documents came in."""
     docs = spark.createDataFrame([(i, f"w{i} " * 64, "abc"[i // 200]) for i in range(600)], "doc_id long, text string, source string").withColumn("_tie", F.lit("x")).withColumn("words", F.lit(0)).withColumn("slot", F.lit("y"))
