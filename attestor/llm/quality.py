@@ -2,7 +2,8 @@
 
 A document is described by STATISTICS of its whole text. Standardised, they go through D random Fourier features, cos and sin of random projections, whose products
 approximate a Gaussian kernel. Each partition sums its part of the normal equations; the sums of equal positions are added up, and the driver solves one
-system of fixed size. For the calibration, the rows fall in two halves by a hash of their statistics, so that copies fall together; each half is scored by a system that was solved from the other one.
+system of fixed size. For the calibration, the rows fall in two halves by a hash of their statistics, so that copies fall together; each half is scored by a system that was solved from the other one
+(where a half has labels of one kind only: by that of all).
 These scores, in bins of fixed width, are made monotone by pooling adjacent violators, and that table maps a score to a probability.
 
 Cases: null and empty text has the statistics of no words, and a score; labels without a document or with null quality teach nothing, and of several labels for a
@@ -140,13 +141,13 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
             out[r["at"]] = r["value"]
         return out
 
-    m = summed(lambda x, y, _: np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * d)
+    m = summed(lambda x, y, half: np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x * x).sum(axis=0), np.bincount((2 * half + y).astype(int), minlength=4)]), 6 + 2 * d)
     n, good = m[0], m[1]
     model = QualityModel(np.zeros(d), np.ones(d), np.zeros(0), np.zeros(BINS), float(good / n) if n else 0.5)
     if not 0 < good < n:
         return model
     model.center = np.round(m[2 : 2 + d] / n, 9)
-    model.spread = np.round(np.sqrt(np.maximum(m[2 + d :] / n - (m[2 : 2 + d] / n) ** 2, 1e-12)), 9)
+    model.spread = np.round(np.sqrt(np.maximum(m[2 + d : 2 + 2 * d] / n - (m[2 : 2 + d] / n) ** 2, 1e-12)), 9)
     # Both kinds weigh the same in the fit; the calibration brings their shares back.
     heavy = (0.5 * n / (n - good), 0.5 * n / good)
     width = FOURIER + 1
@@ -169,8 +170,9 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
         return np.round(np.linalg.solve(gram + RIDGE * np.eye(width), sums[len(upper[0]) :]), 9)
 
     sums = summed(normal, 2 * part)
-    of_other = np.stack([solved(sums[part:]), solved(sums[:part])])  # weights for a half, from the other one
     model.weights = solved(sums[:part] + sums[part:])
+    # Weights for a half, from the other one; where a half lacks one kind, as among a few rows, the weights of all stand in.
+    of_other = np.stack([solved(sums[part:]), solved(sums[:part])] if (m[-4:] > 0).all() else [model.weights] * 2)
 
     def binned(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
         at = bin_of((model.fourier(x) * of_other[half]).sum(axis=1))
