@@ -1,25 +1,14 @@
-"""Functions for SQL texts: `register(spark)` makes the Arrow UDFs and the table function `propositions` known to a session. What is a column expression here needs no registration."""
+"""Functions for SQL texts: `register(spark)` makes the Arrow UDFs and the table function `propositions`, a row for each part of a claim, known to a session. What is a column expression here needs no registration."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from attestor.functions import matching, wording
 
 
-@udtf(returnType="part int, said string")
-class Propositions:
-    """The parts of a claim that state something of their own, a row each: SELECT * FROM propositions('...'), or with LATERAL over a table."""
-
-    def eval(self, claim: str) -> Iterator[tuple[int, str]]:
-        yield from enumerate(matching.parts_of(claim))
-
-
 def register(spark: SparkSession) -> None:
     spark.udf.register("main_text", matching.main_text)
     spark.udf.register("title_ratio", matching.ratio)
     spark.udf.register("comparison_sides", wording.comparison_sides)
-    spark.udtf.register("propositions", Propositions)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION propositions(claim STRING) RETURNS TABLE(part INT, said STRING) RETURN SELECT pos, col FROM posexplode({matching.propositions_sql('claim')})")

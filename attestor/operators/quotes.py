@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
@@ -214,6 +215,46 @@ class QuoteFiles:
             yield from self.held[1]
 
 
+def met_needles(texts: DataFrame, needles: DataFrame, text: str, needle_id: str, needle: str) -> DataFrame:
+    """needle_id of the needles that any of the texts holds, as they are. One pass over the texts, with the needles in files that tasks read; an automaton for each file finds all needles of it at once. Null matches nothing; an empty needle
+    is in every text."""
+    spark = texts.sparkSession
+    folder = store.fresh_path(spark, "needles")
+    needles.where(F.col(needle).isNotNull()).select(F.col(needle_id).alias("id"), F.col(needle).alias("needle")).write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder)
+        paths = sorted(f.path for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.is_file and f.base_name.endswith(".parquet"))
+        held: tuple[str, dict[str, list], ahocorasick.Automaton | None] = ("", {}, None)
+        met: set = set()
+        for batch in batches:
+            new = []
+            for path in paths:
+                if held[0] != path:
+                    with files.open_input_file(path) as f:
+                        table = pq.read_table(f)
+                    ids: dict[str, list] = {}
+                    for i, x in zip(table.column("id").to_pylist(), table.column("needle").to_pylist(), strict=True):
+                        ids.setdefault(x, []).append(i)
+                    found = ahocorasick.Automaton()
+                    for x in ids:
+                        if x:
+                            found.add_word(x, x)
+                    if len(found):
+                        found.make_automaton()
+                    held = (path, ids, found)
+                _, ids, found = held
+                for t in batch.iloc[:, 0]:
+                    if t is not None:
+                        hits = {x for _, x in found.iter(t)} if len(found) else set()
+                        new += [i for x in hits | {""} for i in ids.get(x, ()) if i not in met]
+                        met.update(new)
+            yield pd.DataFrame({needle_id: pd.Series(sorted(set(new)), dtype="object")})
+
+    schema = T.StructType([T.StructField(needle_id, needles.schema[needle_id].dataType)])
+    return texts.select(text).mapInPandas(work, schema).distinct()
+
+
 def located(texts: DataFrame, quotes: DataFrame, text_id: str = "doc_id", text: str = "text", quote_id: str = "item_id", quote: str = "text") -> DataFrame:
     """text_id, quote_id, quote_match (exact or fuzzy), offset (of the first place, in the text as it is; null where the whole text is the close window) for all pairs that match. Null texts and
     quotes, and quotes of fewer than SHORTEST_QUOTE characters, match nothing. One pass over the texts, no shuffle."""

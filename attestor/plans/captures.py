@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import matching, urls, wording
 from attestor.functions import text as tx
-from attestor.operators import accounts, answers, captures, selection
+from attestor.operators import accounts, answers, captures, quotes, selection
 from attestor.plans.language import expected, with_cases
 from attestor.plans.queries import query
 from attestor.sources import views as vw
@@ -129,14 +129,11 @@ def discharged_slots(spark, sf):
 
 @query("SELECT b.item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(regexp_extract(b.text, '^([A-Za-z]+)', 1) || ' ' || regexp_extract(b.text, '^[A-Za-z]+ ([A-Za-z]+)', 1))))")
 def absent_entities(spark, sf):
-    """Items whose first two words no document holds in a row. Documents are split into pairs of words once and met by these; what isn't met by whole words is looked for in every document."""
-    low = F.lower("text")
+    """Items whose first two words no document holds in a row: one pass over the documents, which looks for all of them at once."""
     first = F.lower(F.concat(F.regexp_extract("text", "^([A-Za-z]+)", 1), F.lit(" "), F.regexp_extract("text", "^[A-Za-z]+ ([A-Za-z]+)", 1)))
     b = vw.table(spark, sf, "benchmark").select("item_id", first.alias("entity"))
-    d = vw.table(spark, sf, "documents").select(low.alias("t"))
-    words = d.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("([a-z]+ [a-z]+)"), 1))).alias("entity")).distinct()
-    left = b.join(words, "entity", "left_anti")
-    return left.join(d, F.col("t").contains(F.col("entity")), "left_anti").select("item_id")
+    met = quotes.met_needles(vw.table(spark, sf, "documents").select(F.lower("text").alias("t")), b, "t", "item_id", "entity")
+    return b.join(met, "item_id", "left_anti").select("item_id")
 
 
 # --- Loop control and selection ----------------------------------------------------------------------------------------------------------------------------

@@ -108,7 +108,7 @@ CLAUSE_CASES = [
 def claim_clauses(spark, sf):
     rows = with_cases(spark, sf, [c[:1] for c in CLAUSE_CASES], "claim string")
     c = F.col("claim")
-    return rows.select("conv_id", "turn", wording.compound_reasons(c).alias("reasons"), wording.compound_markers(c).alias("markers"), wording.sentence_count(c).alias("sentences"), matching.propositions(c).alias("parts"))
+    return rows.select("conv_id", "turn", wording.compound_reasons(c).alias("reasons"), wording.compound_markers(c).alias("markers"), wording.sentence_count(c).alias("sentences"), matching.propositions("claim").alias("parts"))
 
 
 # question, entities; shape, sides, reconciled sides

@@ -87,7 +87,7 @@ def test_fuzzy(spark):
 def test_html_and_propositions(spark):
     html = '<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><h1>Head</h1><p>One &amp; <b>two</b><script>x()</script><p>Three</body></html>'
     assert column(spark, [html, None], main_text) == ["Head\nOne & two\nThree", ""]
-    assert column(spark, ["The output increased, and the error rate decreased", "Fast, cheap and small parts are sold; they break", None], propositions) == [["The output increased", "the error rate decreased"], ["Fast, cheap and small parts are sold; they break"], []]
+    assert column(spark, ["The output increased, and the error rate decreased", "Fast, cheap and small parts are sold; they break", None], lambda _: propositions("x")) == [["The output increased", "the error rate decreased"], ["Fast, cheap and small parts are sold; they break"], []]
 
 
 def test_allocation(spark):
