@@ -90,7 +90,7 @@ def test_query(spark):
 
 def test_names_in_other_cases(spark):
     """Columns named like the new ones, in any case of letters, are replaced, and what is left can be used."""
-    docs = spark.createDataFrame([(i, "vile brute" if i % 2 else "kind words", "x", 1) for i in range(80)], "doc_id long, text string, Severity string, TOXIC int")
+    docs = spark.createDataFrame([(i, f"word{'s' * (i % 5)} plain text vile" if i % 2 else "plain words of text", "x", 1) for i in range(80)], "doc_id long, text string, Severity string, TOXIC int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
     out = scored(docs, fit(docs, labels))
     assert out.columns == ["doc_id", "text", "severity", "toxic_probability", "grade", "toxic"]
