@@ -5,7 +5,7 @@ A text's tokens are its words in lower case; other signs between words are one t
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from itertools import product
 
 from pyspark.sql import Column
@@ -24,11 +24,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.concat(F.lit("^ "), marked), r"\s+"), lambda w: w != "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def runs(text: Column, longest: int = LONGEST) -> Column:
     """All runs of 1 to `longest` tokens, each once."""
-    words = tokens(text)
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(1, longest + 1)))))
+    def all_of(words: Column) -> Column:
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(1, longest + 1)))))
+
+    return _once(tokens(text), all_of)
 
 
 def _as_tokens(phrase: str) -> str:
@@ -53,6 +60,6 @@ def first_kind(text: Column, kinds: Mapping[str, Iterable[str]], default: str |
             rank.setdefault(_as_tokens(p), n)
     table = F.create_map(*(F.lit(x) for item in rank.items() for x in item))
     met = F.array_intersect(runs(text, _most(rank)), F.array(*map(F.lit, rank)))
-    best = F.array_min(F.transform(met, lambda p: table[p]))
-    names = F.array(*map(F.lit, kinds))
-    return F.coalesce(F.when(best.isNotNull(), F.element_at(names, (best + 1).cast("int"))), F.lit(default).cast("string"))
+    names = F.array(*map(F.lit, kinds), F.lit(default).cast("string"))
+    best = F.coalesce(F.array_min(F.transform(met, lambda p: table[p])), F.lit(len(kinds)))
+    return F.element_at(names, (best + 1).cast("int"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from attestor.functions import lexicon as lx
 from attestor.functions import text as tx
-from attestor.operators import answers, measure, merge, selection
+from attestor.operators import answers, measure, merge, select, selection
 from attestor.plans.queries import query
-from attestor.sources import ingest
+from attestor.sources import ingest, store
 from attestor.sources import views as vw
 
 
@@ -92,9 +92,12 @@ def page_offsets(spark, sf):
 
 @query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos, event_type AS event, '{\"id\":' || event_id || '}' AS data FROM events")
 def sse_events(spark, sf):
-    block = F.concat(F.lit("event: "), F.col("event_type"), F.lit('\ndata: {"id":'), F.col("event_id").cast("string"), F.lit("}"))
-    raw = vw.table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("raw"))
-    return ingest.sse_events(raw, "user_id")
+    """The events of each user's captured stream, which comes in chunks that are cut inside blocks."""
+    block = F.encode(F.concat(F.lit("event: "), F.col("event_type"), F.lit('\ndata: {"id":'), F.col("event_id").cast("string"), F.lit("}\n\n")), "UTF-8")
+    at = (F.col("event_id") % 25 + 1).cast("int")
+    halves = F.array(F.struct((F.col("event_id") * 2).alias("n"), F.substring("b", F.lit(1), at).alias("body")), F.struct((F.col("event_id") * 2 + 1).alias("n"), F.substring("b", at + 1, F.length("b")).alias("body")))
+    chunks = vw.table(spark, sf, "events").withColumn("b", block).select("user_id", F.explode(halves).alias("c")).select("user_id", "c.n", "c.body")
+    return ingest.sse_records(chunks, "user_id", "n")
 
 
 # --- Merging ---------------------------------------------------------------------------------------------------------------------------------------------
@@ -191,7 +194,10 @@ def arm_order(spark, sf):
 
 @query("SELECT lang, median(n) AS median_words, round(avg(n), 4) AS mean_words, count(*) AS documents FROM (SELECT lang, word_count AS n FROM v_sources) GROUP BY 1")
 def median_words(spark, sf):
-    return vw.sources(spark, sf).groupBy("lang").agg(F.median("word_count").alias("median_words"), F.round(F.avg("word_count"), 4).alias("mean_words"), F.count(F.lit(1)).alias("documents"))
+    """The exact median of the words of each language's documents, found by counts of ranges; no language's values meet in one place."""
+    s = store.written(vw.sources(spark, sf).select("lang", "word_count"), "word_counts")
+    means = s.groupBy("lang").agg(F.round(F.avg("word_count"), 4).alias("mean_words"), F.count(F.lit(1)).alias("documents"))
+    return means.join(select.medians(s, "lang", "word_count"), "lang").select("lang", F.col("median").alias("median_words"), "mean_words", "documents")
 
 
 @query(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.operators import ordered
+from attestor.sources import store
+
 
 def payload_rows(payloads: DataFrame, body: str = "body") -> DataFrame:
     """payloads: query_id, body (JSON with `results`). A row for each result with an http(s) URL; the title falls back to the URL, a score that is no number to null; bodies that can't be read give no row."""
@@ -81,3 +84,22 @@ def sse_events(captures: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     blocks = captures.select(key, F.posexplode(F.split(raw, "\n\n")).alias("pos", "b"))
     event = F.coalesce(F.nullif(F.regexp_extract("b", r"(?m)^event: ?(.*)$", 1), F.lit("")), F.lit("message"))
     return blocks.where(F.col("b").rlike(r"(?m)^data: ?")).select(key, "pos", event.alias("event"), F.regexp_extract("b", r"(?m)^data: ?(.*)$", 1).alias("data"))
+
+
+def sse_records(chunks: DataFrame, key: str, order: str, body: str = "body") -> DataFrame:
+    """key, pos, event, data of captured server-sent streams that come in chunks cut anywhere, between two bytes of a character too: the blocks that have data, as sse_events gives them for the whole.
+
+    Lines are numbered by the newlines before them, blocks by the blank lines before theirs; both are running sums that cut a capture into ranges. What lies in several chunks meets by its number, so no more than one line, and then
+    one block, is ever in one place. order: a number that is unique within a capture. body: binary; null counts as empty. A line's last `\\r` goes with its newline.
+    """
+    text = F.decode(F.coalesce(F.col(body), F.lit(b"")), "ISO-8859-1")  # a character a byte
+    rows = store.written(chunks.select(F.col(key).alias("k"), F.col(order).alias("n"), text.alias("t")), "chunks")
+    ends = ordered.running_sums(rows, ["k"], "n", [], {"upto": F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))})
+    pieces = ends.withColumn("own", F.split("t", "\n")).select("k", "n", (F.col("upto") - F.size("own") + 1).alias("before"), F.posexplode("own").alias("i", "piece"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "")
+    lines = pieces.groupBy("k", (F.col("before") + F.col("i")).alias("line")).agg(F.decode(F.encode(line, "ISO-8859-1"), "UTF-8").alias("said"))
+    lines = store.written(lines.select("k", "line", F.regexp_replace("said", r"\r$", "").alias("said")), "lines")
+    blocks = ordered.running_sums(lines, ["k"], "line", [], {"pos": (F.col("said") == "").cast("long")}).where("said <> ''")
+    first = lambda name: F.min_by(F.when(F.col("said").startswith(name + ":"), F.regexp_replace("said", f"^{name}: ?", "")), F.when(F.col("said").startswith(name + ":"), F.col("line")))
+    found = blocks.groupBy("k", "pos").agg(first("event").alias("event"), first("data").alias("data"))
+    return found.where("data is not null").select(F.col("k").alias(key), F.col("pos").cast("int").alias("pos"), F.coalesce(F.nullif("event", F.lit("")), F.lit("message")).alias("event"), "data")

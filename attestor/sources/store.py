@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,6 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_attestor").rstrip("/")
 
 
+#: Rows of a table of ids and numbers that is broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """small (ids and numbers) for a broadcast if it has few rows, else as it is."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/attestor/{uuid.uuid4().hex}/{name}"
 
