@@ -16,6 +16,7 @@ import difflib
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -118,7 +119,9 @@ class Quotes:
         """(quote, how many runs it shares with the text at each distance) of the quotes of `own` that share enough of them in cells of CELL distances that a window could reach."""
         cells = width // CELL + 1
         coarse = np.zeros(len(self.needles) * cells, np.int64)
-        for k, d in self.meetings(text, start, width, q, *index):
+        slices = self.meetings(text, start, width, q, *index)
+        held = list(islice(slices, 2))  # a single slice, as most texts have, is made once
+        for k, d in chain(held, slices):
             coarse += np.bincount(k * cells + d // CELL, minlength=len(coarse))
         ends = np.cumsum(np.pad(coarse.reshape(len(self.needles), cells)[own], ((0, 0), (1, 0))), axis=1)
         spread = (2 * self.slack[own] // CELL + 2)[:, None]  # cells that a window's distances can lie in
@@ -128,7 +131,8 @@ class Quotes:
         number = np.full(len(self.needles), -1)
         number[chosen] = np.arange(len(chosen))
         fine = np.zeros(len(chosen) * width, np.int32)
-        for k, d in self.meetings(text, start, width, q, *index) if len(chosen) else ():
+        again = held if len(held) < 2 else self.meetings(text, start, width, q, *index)
+        for k, d in again if len(chosen) else ():
             ok = number[k] >= 0
             fine += np.bincount(number[k[ok]] * width + d[ok], minlength=len(fine)).astype(np.int32)
         yield from zip(chosen.tolist(), fine.reshape(len(chosen), width), strict=True)
@@ -176,14 +180,19 @@ class Quotes:
 
 
 def reaches(places: dict[str, int], n: int, text: str, owed: int) -> bool:
-    """Whether the longest common subsequence of a string of n characters (places: the positions of each as bits) and a text may have `owed` characters. Given up where too many characters of the text have met none."""
+    """Whether the longest common subsequence of a string of n characters (places: the positions of each as bits) and a text may have `owed` characters. Given up where too many characters of the text have met none.
+
+    What may be left over on either side also bounds how far apart the places of matched characters are, so only places in that band count."""
     every = (1 << n) - 1
     free, spare = every, len(text) - owed
     if spare < 0 or n < owed:
         return False
+    shift = max(spare, n - owed)
     for start in range(0, len(text), 16):
+        low = max(0, start - shift)
+        band = ((1 << (start + 16 + shift - low)) - 1) << low
         for c in text[start : start + 16]:
-            met = free & places.get(c, 0)
+            met = free & places.get(c, 0) & band
             free = ((free + met) | (free - met)) & every
         if min(start + 16, len(text)) - n + free.bit_count() > spare:
             return False
