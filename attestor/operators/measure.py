@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.operators import ordered
+from attestor.sources import store
+
 
 def seconds(ts: Column) -> Column:
     """Seconds since 1970 of a timestamp with or without zone, in UTC."""
@@ -78,10 +81,10 @@ def usage(attempts: DataFrame) -> DataFrame:
 
 
 def ledger(rows: DataFrame, key: str, order: str, cost: str, ceiling: float) -> DataFrame:
-    """Running sum of cost inside each key, headroom before the row, and whether the row still fits."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.round(F.sum(cost).over(w), 8)
-    return rows.withColumn("cumulative", total).withColumn("headroom", F.round(F.lit(ceiling) - (total - F.col(cost)), 8)).withColumn("fits", total <= ceiling)
+    """Running sum of cost inside each key, headroom before the row, and whether the row still fits. The order is a number, unique within a key; a key's rows are summed in ranges of it."""
+    total = F.round("cumulative", 8)
+    summed = ordered.running_sums(store.written(rows, "ledger"), [key], order, [], {"cumulative": F.col(cost)})
+    return summed.withColumn("cumulative", total).withColumn("headroom", F.round(F.lit(ceiling) - (total - F.col(cost)), 8)).withColumn("fits", total <= ceiling)
 
 
 def daily_quota(events: DataFrame, limit: int) -> DataFrame:

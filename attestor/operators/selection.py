@@ -45,5 +45,5 @@ def starved(candidates: DataFrame, picks: DataFrame, sub_questions: DataFrame, g
 def interleaved(queries: DataFrame, budget: int) -> DataFrame:
     """Query ids in the order in which they are issued: all first queries before any second one, by priority and id, up to the budget."""
     depth = Window.partitionBy("sub_question_id").orderBy("query_id")
-    rows = queries.withColumn("depth", F.row_number().over(depth))
+    rows = queries.withColumn("depth", F.row_number().over(depth)).where(F.col("depth") <= budget)  # cut in every task before they meet
     return rows.orderBy("depth", "priority", "sub_question_id").limit(budget)

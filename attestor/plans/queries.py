@@ -13,8 +13,9 @@ from attestor.functions import quality as ql
 from attestor.functions import text as tx
 from attestor.functions import urls
 from attestor.operators import coverage as cv
-from attestor.operators import dedup, measure
+from attestor.operators import dedup, measure, ordered
 from attestor.operators import resolve as rs
+from attestor.sources import store
 from attestor.sources import views as vw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,10 +187,12 @@ def query_counts(spark, sf):
     CASE WHEN CAST(substr(query_id, 2) AS INT) >= 4 THEN 'advanced' ELSE 'basic' END AS depth FROM v_results"""
 )
 def rank_scores(spark, sf):
-    w = Window.partitionBy("query_id")
-    place = F.row_number().over(w.orderBy("seq"))
+    """Places within a query by running counts over ranges of seq."""
     round_number = F.floor(F.substring("query_id", 2, 9).cast("int") / 4) + 1  # queries 4 and up belong to the second round
-    return vw.results(spark, sf).select("query_id", "seq", F.round(1 - (place - 1) / F.count(F.lit(1)).over(w), 3).alias("rank_score"), F.when(round_number > 1, "advanced").otherwise("basic").alias("depth"))
+    rows = store.written(vw.results(spark, sf).select("query_id", "seq"), "ranked")
+    placed = ordered.running_sums(rows, ["query_id"], "seq", [], {"place": F.lit(1)})
+    met = placed.join(store.bounded(rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))), "query_id")
+    return met.select("query_id", "seq", F.round(1 - (F.col("place") - 1) / F.col("n"), 3).alias("rank_score"), F.when(round_number > 1, "advanced").otherwise("basic").alias("depth"))
 
 
 def _leaders(spark, sf):

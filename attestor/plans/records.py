@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import lexicon as lx
 from attestor.functions import text as tx
-from attestor.operators import answers, measure, merge, select, selection
+from attestor.operators import answers, measure, merge, ordered, select, selection
 from attestor.plans.queries import query
 from attestor.sources import ingest, store
 from attestor.sources import views as vw
@@ -86,8 +86,10 @@ def fetch_decisions(spark, sf):
 def page_offsets(spark, sf):
     """Turns of a conversation as pages: where each starts, and the page five characters on."""
     pages = ingest.page_offsets(vw.table(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "offset")
-    starts = pages.groupBy("conv_id").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
-    return pages.join(starts, "conv_id").select("conv_id", "turn", "offset", ingest.page_of(F.col("offsets"), F.col("offset") + 5).alias("page"))
+    pages = store.written(pages, "offsets")
+    numbered = ordered.running_sums(pages, ["conv_id"], "turn", [], {"page": F.lit(1)}).select("conv_id", F.col("offset").alias("start"), F.col("page").cast("int").alias("page"))
+    asked = pages.withColumn("place", F.col("offset") + 5)
+    return ordered.as_of(asked, numbered, ["conv_id"], "place", "start", ["page"]).select("conv_id", "turn", "offset", "page")
 
 
 @query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos, event_type AS event, '{\"id\":' || event_id || '}' AS data FROM events")

@@ -61,9 +61,10 @@ def fetch_status(status: Column, content_type: Column, length: Column, most: int
 
 
 def page_offsets(pages: DataFrame, doc: str = "doc_id", number: str = "page_no", text: str = "text") -> DataFrame:
-    """Start of each page in the joined text, where a newline follows each page."""
-    before = Window.partitionBy(doc).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("offset", F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0)))
+    """Start of each page in the joined text, where a newline follows each page. A document's pages are summed in ranges of their numbers, which are unique within it."""
+    taken = F.coalesce(F.length(text) + 1, F.lit(0))
+    ends = ordered.running_sums(store.written(pages, "pages"), [doc], number, [], {"offset": taken})
+    return ends.withColumn("offset", F.col("offset") - taken)
 
 
 def page_summaries(pages: DataFrame, doc: str, number: str, text: str, most_pages: int, most_chars: int) -> DataFrame:
