@@ -266,7 +266,7 @@ def met_needles(texts: DataFrame, needles: DataFrame, text: str, needle_id: str,
 
 def located(texts: DataFrame, quotes: DataFrame, text_id: str = "doc_id", text: str = "text", quote_id: str = "item_id", quote: str = "text") -> DataFrame:
     """text_id, quote_id, quote_match (exact or fuzzy), offset (of the first place, in the text as it is; null where the whole text is the close window) for all pairs that match. Null texts and
-    quotes, and quotes of fewer than SHORTEST_QUOTE characters, match nothing. One pass over the texts, no shuffle."""
+    quotes, and quotes of fewer than SHORTEST_QUOTE characters, match nothing. One pass over the texts, without a shuffle where they have as many partitions as there are cores."""
     spark = texts.sparkSession
     folder = store.fresh_path(spark, "quotes")
     quotes.where(F.col(quote).isNotNull()).select(F.col(quote_id).alias("quote_id"), F.col(quote).alias("quote")).write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
@@ -287,4 +287,8 @@ def located(texts: DataFrame, quotes: DataFrame, text_id: str = "doc_id", text:
             out = pd.DataFrame(rows, columns=schema.names)
             yield out.astype({"offset": "Int64"})
 
-    return texts.select(text_id, text).mapInPandas(work, schema)
+    rows = texts.select(text_id, text)
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a small table in a few files: its texts are dealt out, for the work on each is long
+        rows = rows.repartition(cores)
+    return rows.mapInPandas(work, schema)
