@@ -316,7 +316,7 @@ def original_offsets(spark, sf):
     """Where the passages that documents hold stand in the matching form, and in the documents as they are, whole texts of any length."""
     d = vw.table(spark, sf, "documents").select("doc_id", tx.for_match(F.col("text")).alias("t"))
     b = vw.table(spark, sf, "benchmark").select("item_id", tx.for_match(F.col("text")).alias("q"))
-    held = vw.quote_places(spark, sf).where("quote_match = 'exact'").join(d, "doc_id").join(b, "item_id")
+    held = vw.quote_places(spark, sf, close=False).join(d, "doc_id").join(b, "item_id")
     return held.select("doc_id", "item_id", (F.instr("t", F.col("q")) - 1).alias("place"), "offset")
 
 

@@ -318,7 +318,7 @@ def evidence_packages(spark, sf):
 @query("SELECT 'S' || doc_id AS source_id, item_id FROM v_held")
 def exact_quotes(spark, sf):
     """Passages that a document holds word for word in the matching form."""
-    return vw.quote_places(spark, sf).where("quote_match = 'exact'").select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "item_id")
+    return vw.quote_places(spark, sf, close=False).select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("source_id"), "item_id")
 
 
 # --- Topics -----------------------------------------------------------------------------------------------------------------------------------------------

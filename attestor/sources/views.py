@@ -71,9 +71,9 @@ def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(bounded(b), "h").select("doc_id", "item_id").distinct()
 
 
-def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quote_places(spark: SparkSession, sf_dir: str, close: bool = True) -> DataFrame:
     """doc_id, item_id, quote_match (exact or fuzzy), offset of the passages that documents hold or come close to."""
-    return quotes.located(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return quotes.located(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), close=close)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
