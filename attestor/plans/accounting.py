@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestor.operators import accounts
@@ -49,5 +50,8 @@ def leak_scan(spark, sf):
 
 @query("SELECT o_custkey AS custkey, CAST(sum(o_totalprice) AS BIGINT) // 10 AS quota, CASE WHEN o_custkey % 7 > 0 AND CAST(sum(o_totalprice) AS BIGINT) // 10 >= o_custkey % 7 * 5000 THEN CAST(sum(o_totalprice) AS BIGINT) // 10 // (o_custkey % 7 * 5000) ELSE 0 END AS runs FROM orders GROUP BY 1")
 def affordable_runs(spark, sf):
-    o = vw.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.floor(F.round(F.sum("o_totalprice"), 0).cast("long") / 10).alias("quota"))
+    """A customer's prices are added in the order of their keys, so that a sum that ends in a half is the same however the rows are dealt; halves round to even, as the cast in SQL does."""
+    by_key = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice")
+    running = vw.table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.sum("o_totalprice").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.row_number().over(by_key).alias("n"))
+    o = running.groupBy("custkey").agg(F.floor(F.rint(F.max_by("total", "n")).cast("long") / 10).alias("quota"))
     return o.select("custkey", "quota", accounts.runs_affordable(F.col("quota"), F.col("custkey") % 7 * 5000).alias("runs"))
