@@ -61,3 +61,20 @@ def test_exact_places_by_an_automaton(spark):
     low = [quotes.matching_form(q) for q in asked]
     assert got == {(i, k, "exact", t.lower().index(q)) for i, t in enumerate(texts) if t for k, q in enumerate(low) if len(q) >= 12 and q in t.lower()}
     assert quotes.located(d, b.limit(0), close=False).count() == 0
+
+
+def test_evidence_is_made_once(spark, monkeypatch):
+    made = []
+    held = quotes.located
+    monkeypatch.setattr(quotes, "located", lambda *a, **k: made.append(1) or held(*a, **k))
+    entry.queries()["claim_judgments"](spark, SF)
+    assert len(made) == 1
+
+
+def test_shared_runs(spark):
+    asked = ["a b c d", "c d e", "a b", "", None, "x  y z", "a b c a b c"]
+    texts = ["z a b c", "c d", None, "", "x  y z", "b c d e", "a b c d e"]
+    d, b = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    runs = lambda t: {tuple(t.split(" ")[i : i + 3]) for i in range(len(t.split(" ")) - 2)} if t is not None else set()
+    got = [tuple(r) for r in quotes.shared_runs(d, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, k) for i, t in enumerate(texts) for k, q in enumerate(asked) if runs(t) & runs(q)}
