@@ -24,8 +24,13 @@ def passage_guards(spark, sf):
     """What each of the nine guards says of each claim and quote that it cites."""
     i = gated.inputs(spark, sf)
     quotes = i.evidence.select(F.col("evidence_id").alias("quote_id"), "quote", "domain")
-    met = i.claims.select("claim_id", "text", F.explode("evidence_ids").alias("quote_id")).join(quotes, "quote_id")
-    return met.select("claim_id", "quote_id", F.explode(wording.run_guards(F.col("text"), F.col("quote"), F.col("domain"))).alias("g")).select("claim_id", "quote_id", "g.name", "g.passed")
+    met = store.written(i.claims.select("claim_id", "text", F.explode("evidence_ids").alias("quote_id")).join(quotes, "quote_id"), "cited_quotes")
+    # Guards read the wording alone, so each case of it is judged once; the cases are few bytes and much work, so they are dealt over the cores.
+    keys = ["text", "quote", "domain"]
+    cases = met.select(*keys).distinct().repartition(4 * spark.sparkContext.defaultParallelism)
+    judged = store.written(cases.select(*(F.col(k).alias(f"_{k}") for k in keys), wording.run_guards(F.col("text"), F.col("quote"), F.col("domain")).alias("guards")), "judged_quotes")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return met.join(judged, same).select("claim_id", "quote_id", F.explode("guards").alias("g")).select("claim_id", "quote_id", "g.name", "g.passed")
 
 
 @query()
