@@ -78,3 +78,23 @@ def test_shared_runs(spark):
     runs = lambda t: {tuple(t.split(" ")[i : i + 3]) for i in range(len(t.split(" ")) - 2)} if t is not None else set()
     got = [tuple(r) for r in quotes.shared_runs(d, b).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, k) for i, t in enumerate(texts) for k, q in enumerate(asked) if runs(t) & runs(q)}
+
+
+def test_each_wording_is_judged_once(spark, monkeypatch):
+    from attestor.sources import store
+
+    kept, held = {}, store.written
+    monkeypatch.setattr(store, "written", lambda df, name: kept.setdefault(name, held(df, name)))
+    n = entry.queries()["passage_guards"](spark, SF).count()
+    cited, judged = kept["cited_quotes"], kept["judged_quotes"]
+    assert n == 9 * cited.count() and judged.count() == cited.select("text", "quote", "domain").distinct().count()
+
+
+def test_titles_are_not_broadcast(spark):
+    """Tables that grow with the candidates go to no driver, however well their files compress."""
+    from attestor.operators import dedup
+
+    rows = [(f"u{i}", i, "d", f"a title of some length {i % 7}", 0.5, ["SQ1"]) for i in range(20)]
+    c = spark.createDataFrame(rows, "canonical_url string, seq long, domain string, title string, best_score double, sub_questions array<string>")
+    out = dedup.collapsed(c)
+    assert out.count() == 7 and "BroadcastHashJoin" not in out._jdf.queryExecution().toString()
