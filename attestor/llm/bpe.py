@@ -29,8 +29,9 @@ from attestor.llm.common import passing
 
 #: Fixed value: the pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-KEPT_PIECES = 400_000
-KEPT_PAIRS = 1_000_000
+#: Entries of the tables of a coder, some 300 bytes each.
+KEPT_PIECES = 100_000
+KEPT_PAIRS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,6 +72,10 @@ class BytePairCoder:
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
+    def release(self) -> None:
+        """Gives the tables up: a worker lives on after its task, and other work follows in it and beside it."""
+        self.fits, self.pieces = {}, {}
+
     def merged(self, data: bytes) -> list[int]:
         """Plain merging by rank: the definition, used for pairs of tokens."""
         ids = [self.single[b] for b in data]
@@ -196,19 +201,22 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                found = [c.encode(t.as_py()) for t in batch.column(len(kept))]
-                out = [batch.column(i) for i in range(len(kept))]
-                out.append(pa.array([len(x) for x in found], pa.int64()))
-                if ids:
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found]))))
-                if digests:
-                    out.append(pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in found], pa.string()))
-                    out.append(pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 256):
+                    batch = whole.slice(start, 256)
+                    found = [c.encode(t.as_py()) for t in batch.column(len(kept))]
+                    out = [batch.column(i) for i in range(len(kept))]
+                    out.append(pa.array([len(x) for x in found], pa.int64()))
+                    if ids:
+                        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found]))))
+                    if digests:
+                        out.append(pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in found], pa.string()))
+                        out.append(pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in found], pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
+        finally:
+            c.release()
 
     return docs.select(*kept, text).mapInArrow(work, schema)
 

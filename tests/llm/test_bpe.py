@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -64,3 +65,18 @@ def test_names_in_other_cases(spark):
     assert {r.doc_id: r.n_tokens for r in out.select("doc_id", "n_tokens").collect()} == {1: 2, 2: 0}
     back = decoded(out.withColumnRenamed("doc_id", "Text"), PATH, keep=("Text",))
     assert [r.text for r in back.select("text").where("text <> ''").collect()] == ["some text"]
+
+
+def test_workers_keep_no_tables(spark):
+    """After its task a worker holds the coder, but none of the pieces and pairs that it met."""
+    df = spark.createDataFrame([(i, f"some words of text {i} unbelievably") for i in range(200)], "doc_id long, text string").repartition(4)
+    assert encoded(df, PATH).count() == 200
+
+    def held(batches):
+        from attestor.llm import bpe
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(len(c.pieces) + len(c.fits) for c in bpe._coders.values())]})
+
+    encoded(df, PATH).write.format("noop").mode("overwrite").save()
+    assert {r.n for r in spark.range(8).repartition(4).mapInPandas(held, "n long").collect()} == {0}
