@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from attestor.functions import lexicon as lx
 from attestor.functions import matching, urls
 from attestor.operators import ordered, quotes
+from attestor.sources import store
 
 
 def terms(text):
@@ -205,3 +206,24 @@ def test_unsafe_addresses(spark):
              ("http://[2606:4700::1111]/", None), ("http://[nonsense]/", "blocked address"), ("http://172.31.0.1/", "private address"), ("http://172.32.0.1/", None), ("http://198.18.0.1/", "private address"), (None, "scheme"), ("http:///x", "no host")]
     rows = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "i int, u string").orderBy("i")
     assert [r.w for r in rows.select(urls.unsafe_reason(F.col("u")).alias("w")).collect()] == [w for _, w in cases]
+
+
+def test_cited_pages_cuts_only_documents_that_are_cited(spark, tmp_path, monkeypatch):
+    """Places before, at and after line ends, also behind signs beyond the first plane; lines of documents are never written as rows."""
+    quote = "alpha beta gamma delta"
+    docs = [(0, f"\n\n{quote}\nend"), (1, f"one\ntwo \U0001f600 {quote}\n\n"), (2, "alpha\n beta\ngamma delta"), (3, "line\n" * 5_000), (4, None), (5, f"late\n{quote}")]
+    turns = [(0, 1, "assistant", "said"), (9, 3, "assistant", None), (4, 0, "user", "asked")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, quote)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows, write = [], store.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(store, "written", counted)
+    got = {(r.claim_id, r.source_id, r.page) for r in entry.queries()["cited_pages"](spark, str(tmp_path)).collect()}
+    assert got == {(c, s, p) for c in (1, 903) for s, p in (("S0", 3), ("S1", 2), ("S2", 1))}
+    assert max(rows) < 20
