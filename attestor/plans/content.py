@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.functions import matching, wording
-from attestor.operators import answers, gate_run, publishing
+from attestor.operators import answers, publishing
 from attestor.plans import gated
 from attestor.plans.queries import query
 from attestor.sources import store
@@ -71,7 +71,7 @@ def rewrite_faults(spark, sf):
 def run_answers(spark, sf):
     """By conversation: what its answer asks for, which slots the claims that the run has published fill, whether it is answered, and what is said of its gaps."""
     i = gated.inputs(spark, sf)
-    ended = store.written(gate_run.run(i.claims, i.evidence, i.contracts, i.scores, i.rewrites, i.judgements), "ended")
+    ended = store.written(i.ended(), "ended")
     published = ended.where("state = 'published'").join(i.claims.select("claim_id", "slot"), "claim_id").select("question_id", "slot", "text")
     required = answers.slots(i.contracts.where("usable").select("question_id", "question_type"))
     counted = required.join(published.groupBy("question_id", "slot").agg(F.count(F.lit(1)).alias("claims")), ["question_id", "slot"], "left").fillna(0, ["claims"])

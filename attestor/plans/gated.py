@@ -29,6 +29,10 @@ class Inputs:
     rewrites: DataFrame
     judgements: DataFrame
 
+    def ended(self) -> DataFrame:
+        """The run over all of them. It reads the scores twice, so they are written here; queries of the wording alone don't make them."""
+        return gate_run.run(self.claims, self.evidence, self.contracts, store.written(self.scores, "scores"), self.rewrites, self.judgements)
+
 
 def inputs(spark, sf: str) -> Inputs:
     """Every assistant turn makes a claim of a sentence of the passage that its conversation is about: the wording turns by its ids. It cites the first items of evidence of that passage, one more each turn. Scores say whether the
@@ -65,12 +69,11 @@ def inputs(spark, sf: str) -> Inputs:
     entailment = F.when(shared >= 0.6, 0.99).otherwise(F.round(shared * 0.5, 4))
     scores = parts.select("claim_id", "attempt", "part", "quote_id", entailment.alias("entailment"), F.round(1 - entailment, 4).alias("neutral"), F.lit(0.0).alias("contradiction"))
     judged = claims.where("question_id % 7 <> 3").select("claim_id", (F.col("question_id") % 5 != 2).alias("relevant"), F.lit("off the point").alias("why"))
-    return Inputs(claims.drop("rewritten", "s"), evidence, contracts, store.written(scores, "scores"), claims.where("rewritten is not null").select("claim_id", "rewritten"), judged)
+    return Inputs(claims.drop("rewritten", "s"), evidence, contracts, scores, claims.where("rewritten is not null").select("claim_id", "rewritten"), judged)
 
 
 def _ended(spark, sf: str) -> DataFrame:
-    i = inputs(spark, sf)
-    return gate_run.run(i.claims, i.evidence, i.contracts, i.scores, i.rewrites, i.judgements)
+    return inputs(spark, sf).ended()
 
 
 @query()

@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from attestor.functions import lexicon as lx
 from attestor.functions import matching, wording
 from attestor.operators import answers, gate_run, publishing
 from attestor.plans import gated
+from attestor.sources import store
 
 SF = "/root/testdata/sf0.01"
 
@@ -203,3 +205,15 @@ def test_empty(spark):
     i = made(spark, [], [], [], [])
     ended = gate_run.run(i.claims, i.evidence, i.contracts, i.scores, i.rewrites, i.judgements)
     assert ended.count() == 0 and gate_run.counts(ended).count() == 0
+
+
+def test_wording_queries_make_no_scores(spark, monkeypatch):
+    names, write = [], store.written
+
+    def noted(df, name):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(store, "written", noted)
+    assert entry.queries()["rewrite_faults"](spark, "/root/testdata/sf0.001").columns == ["claim_id", "fault", "before", "after"]
+    assert "gated_claims" in names and "scores" not in names
