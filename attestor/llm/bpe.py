@@ -4,7 +4,8 @@ Encoding. Text is cut at the special tokens' strings and then into pieces by the
 Aho-Corasick automaton over the reversed vocabulary gives, for every start, all tokens that match there, the longest first. A token is taken when the
 pair it makes with the one before is compatible: merging the two tokens' bytes by the ranks gives exactly these two back. If none that starts here is,
 the last token is given up for the next shorter one. Each position is marked once it is known to lead nowhere, so the work is linear in the piece.
-Pairs are looked up in a table that fills as pairs are met; distinct pieces are kept in a bounded table, for words repeat.
+Pairs are looked up in a table that fills as pairs are met. Distinct pieces are kept in two bounded tables, for words repeat: when the newer one is full it
+becomes the older one, so what is met again stays and what came once goes.
 
 Decoding. All tokens' bytes lie in one array; an offset table says where each starts. The ids gather their slices at once.
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,8 +31,8 @@ from attestor.llm.common import passing
 
 #: Fixed value: the pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of the tables of a coder, some 300 bytes each.
-KEPT_PIECES = 100_000
+#: Entries of the tables of a coder, some 300 bytes each. Pieces have two such tables.
+KEPT_PIECES = 200_000
 KEPT_PAIRS = 200_000
 
 
@@ -41,6 +43,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Pieces(dict):
+    """The ids of pieces that were met; those of others are made when they are asked for."""
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]]) -> None:
+        super().__init__()
+        self.encode = encode
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece) or self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class BytePairCoder:
     """Encodes and decodes with the vocabulary of a tokenizer file (JSON, model BPE, byte level)."""
 
@@ -57,6 +77,12 @@ class BytePairCoder:
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for s, i in [*vocab.items(), *((k.encode(), v) for k, v in self.special.items())]:
             self.bytes_of[i] = s
+        self.decimals = [str(i) for i in range(len(self.bytes_of))]
+        # Of each token the rank of the merge that makes it (-1: none) and its parts. Usable if there is one such merge at most, and if it comes after those of its parts.
+        self.rank, self.left, self.right = ([-1] * len(self.bytes_of) for _ in range(3))
+        for (a, b), (rank, i) in self.merges.items():
+            self.rank[i], self.left[i], self.right[i] = rank, a, b
+        self.ordered = len({i for _, i in self.merges.values()} | set(self.single)) == len(self.merges) + len(set(self.single)) and all(max(self.rank[a], self.rank[b]) < rank for (a, b), (rank, _) in self.merges.items())
         # A token that no merge makes can't come out of merging.
         made = {i for _, i in self.merges.values()} | set(self.single)
         self.automaton = ahocorasick.Automaton()
@@ -70,11 +96,11 @@ class BytePairCoder:
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self.encode_piece)
 
     def release(self) -> None:
         """Gives the tables up: a worker lives on after its task, and other work follows in it and beside it."""
-        self.fits, self.pieces = {}, {}
+        self.fits, self.pieces = {}, Pieces(self.encode_piece)
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging by rank: the definition, used for pairs of tokens."""
@@ -99,62 +125,73 @@ class BytePairCoder:
         if known is None:
             if len(self.fits) >= KEPT_PAIRS:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.fits[a, b] = self.stand_apart(a, b) if self.ordered else self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
+    def stand_apart(self, a: int, b: int) -> bool:
+        """Whether merging the two tokens' bytes gives them back. Merges come in the order of their ranks, so the two tokens that meet at the boundary are known for every rank: going back, the one made later falls into its parts. They
+        merge there if that comes before either goes into the token that it is a part of; of equal merges the left one comes first."""
+        merges, rank = self.merges, self.rank
+        until_a = until_b = 1 << 60
+        while True:
+            found = merges.get((a, b))
+            if found and found[0] < until_a and found[0] <= until_b:
+                return False
+            made_a, made_b = rank[a], rank[b]
+            if made_a > made_b:
+                until_a, a = made_a, self.right[a]
+            elif made_b >= 0:
+                until_b, b = made_b, self.left[b]
+            else:
+                return True
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
         n = len(data)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(data[::-1].decode("latin-1")):
-            at[n - 1 - end].append(match)
+            at[-1 - end].append(match)
         ids: list[int] = []
         starts: list[int] = []  # of each id
         choice: list[int] = []  # its index among the matches at its start
         dead = bytearray(n + 1)  # 1: no way from here on
-        pos, k = 0, 0
+        fits, compatible = self.fits.get, self.compatible
+        pos, k, last = 0, 0, -1
         while pos < n:
-            found, last = at[pos], ids[-1] if ids else -1
-            while k < len(found):
+            found = at[pos]
+            for k in range(k, len(found)):
                 size, token = found[k]
-                if not dead[pos + size] and (last < 0 or self.compatible(last, token)):
-                    break
-                k += 1
-            if k < len(found):
-                ids.append(token)
-                starts.append(pos)
-                choice.append(k)
-                pos, k = pos + size, 0
+                if not dead[pos + size]:
+                    if last < 0:
+                        break
+                    known = fits((last, token))
+                    if known or known is None and compatible(last, token):
+                        break
             else:
                 if not ids:
                     raise ValueError("the vocabulary lacks a byte")
                 dead[pos] = 1
                 ids.pop()
+                last = ids[-1] if ids else -1
                 pos, k = starts.pop(), choice.pop() + 1
+                continue
+            ids.append(token)
+            starts.append(pos)
+            choice.append(k)
+            pos, k, last = pos + size, 0, token
         return tuple(ids)
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        known = self.pieces.get(piece)
-        if known is None:
-            if len(self.pieces) >= KEPT_PIECES:
-                self.pieces.clear()
-            known = self.encode_piece(piece)
-            if len(piece) <= 64:
-                self.pieces[piece] = known
-        return known
-
     def encode(self, text: str | None) -> np.ndarray:
         """The ids (int32) of the whole text."""
         if not text:
             return np.empty(0, dtype=np.int32)
         out: list[int] = []
-        get, add = self.pieces.get, out.extend
+        ids = self.pieces.__getitem__
         for k, part in enumerate(self.cut(text) if self.cut else [text]):
             if k % 2:
                 out.append(self.special[part])
             else:
-                for piece in self.split(part):
-                    add(get(piece) or self.piece_ids(piece))
+                out.extend(chain.from_iterable(map(ids, self.split(part))))
         return np.array(out, dtype=np.int32)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -201,6 +238,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
+        decimals = c.decimals.__getitem__
         try:
             for whole in batches:
                 for start in range(0, whole.num_rows, 256):
@@ -212,7 +250,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
                         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                         out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found]))))
                     if digests:
-                        out.append(pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in found], pa.string()))
+                        out.append(pa.array([hashlib.sha256(",".join(map(decimals, x.tolist())).encode()).hexdigest() for x in found], pa.string()))
                         out.append(pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in found], pa.string()))
                     yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
         finally:

@@ -80,3 +80,26 @@ def test_workers_keep_no_tables(spark):
 
     encoded(df, PATH).write.format("noop").mode("overwrite").save()
     assert {r.n for r in spark.range(8).repartition(4).mapInPandas(held, "n long").collect()} == {0}
+
+
+def test_pairs_by_their_boundary_are_those_of_merging():
+    """Whether two tokens stand apart is read off the merges that meet at their boundary; merging their bytes is the definition."""
+    made = sorted({i for _, i in OURS.merges.values()} | set(OURS.single))
+    met = OURS.encode("the unbelievable Donaudampfschifffahrt aaaaaaaa ====== l'été où naïve 12345 " * 3).tolist()
+    pairs = [(a, b) for a in {*met, *made[:60]} for b in {*met, *made[-40:]}] + [(a, a) for a in made[::7]] + list(zip(made[::11], made[5::11], strict=False))
+    assert OURS.ordered
+    for a, b in pairs:
+        assert OURS.stand_apart(a, b) == (OURS.merged(OURS.bytes_of[a] + OURS.bytes_of[b]) == [a, b]), (a, b)
+
+
+def test_frequent_pieces_outlive_a_full_table(monkeypatch):
+    """A piece that comes again and again is encoded once, however many others fill the table."""
+    from attestor.llm import bpe
+
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 8)
+    c, encoded_pieces = BytePairCoder(PATH), []
+    c.pieces.encode = lambda piece: encoded_pieces.append(piece) or c.encode_piece(piece)
+    for i in range(40):
+        assert c.encode(f" often new{chr(97 + i % 26)}{chr(97 + i // 26)}q").tolist() == THEIRS.encode(f" often new{chr(97 + i % 26)}{chr(97 + i // 26)}q", add_special_tokens=False).ids
+    assert encoded_pieces.count(" often") == 1 and len(encoded_pieces) == 41
+    assert len(c.pieces) <= 8 and len(c.pieces.older) <= 8
