@@ -58,9 +58,9 @@ def inputs(spark, sf: str) -> Inputs:
     questions = first.select("question_id", F.concat(F.lit("What is said of "), entity, F.lit("?")).alias("question"), kind.alias("question_type"), F.when(F.col("question_id") % 6 == 0, F.array(entity)).otherwise(F.array().cast("array<string>")).alias("entities"))
     contracts = questions.select("*", table[F.col("question_type")].alias("slots"), core[F.col("question_type")].alias("core"), (F.col("question_id") % 17 != 0).alias("usable"))
     domains = vw.sources(spark, sf).select("source_id", "domain", "quality")
-    evidence = held.join(domains, "source_id").select("evidence_id", "source_id", "quote", "quote_match", "domain", F.lit(0).alias("rank"), "quality")
+    evidence = held.join(domains.hint("merge"), "source_id").select("evidence_id", "source_id", "quote", "quote_match", "domain", F.lit(0).alias("rank"), "quality")
 
-    quotes = claims.select("claim_id", "question_id", "text", "rewritten", "s", F.explode("evidence_ids").alias("quote_id")).join(evidence.select(F.col("evidence_id").alias("quote_id"), "quote"), "quote_id")
+    quotes = claims.select("claim_id", "question_id", "text", "rewritten", "s", F.explode("evidence_ids").alias("quote_id")).join(evidence.select(F.col("evidence_id").alias("quote_id"), "quote").hint("merge"), "quote_id")
     told = quotes.select("*", F.explode(F.array(F.struct(F.lit(0).alias("attempt"), F.col("text").alias("t")), F.struct(F.lit(1).alias("attempt"), F.col("rewritten").alias("t")))).alias("a")).where("a.t is not null and question_id % 13 <> 0")
     parts = told.select("claim_id", "question_id", "quote_id", "quote", "s", "a.attempt", F.posexplode(matching.propositions("a.t")).alias("part", "said"))
     # The scorer is outside; its table is made of whether the quote holds the words of the part.

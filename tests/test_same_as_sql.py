@@ -98,3 +98,15 @@ def test_titles_are_not_broadcast(spark):
     c = spark.createDataFrame(rows, "canonical_url string, seq long, domain string, title string, best_score double, sub_questions array<string>")
     out = dedup.collapsed(c)
     assert out.count() == 7 and "BroadcastHashJoin" not in out._jdf.queryExecution().toString()
+
+
+def test_gate_broadcasts_passages_only(spark, monkeypatch):
+    """What grows with claims, evidence or sources meets in shuffled joins, however small its files are."""
+    from attestor.sources import store
+
+    plans, held = {}, store.written
+    monkeypatch.setattr(store, "written", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().toString()) or held(df, name))
+    out = entry.queries()["gate_counts"](spark, SF)
+    plans["counts"] = [out._jdf.queryExecution().toString()]
+    assert {"scores", "resolved", "quotes", "first_pass", "repairs", "counts"} < set(plans)
+    assert {name for name, of in plans.items() if any("BroadcastHashJoin" in p for p in of)} <= {"evidence", "gated_claims"}
