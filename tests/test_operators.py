@@ -157,6 +157,23 @@ def test_near_titles_equal_brute_force(spark):
     assert {r.canonical_url: r.kept_as for r in dedup.near_titles(df).collect()} == want and len(want) > 60
 
 
+def test_near_titles_meet_in_blocks(spark, monkeypatch):
+    """A hot group is cut into blocks that meet two by two, and few pairs get as far as the ratio."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("etaonhrsdlé") for _ in range(rnd.randrange(2, 9))) for _ in range(60)]
+    titles = [" ".join(rnd.choice(words) for _ in range(10))[:60] for _ in range(150)]
+    titles += [t[:k] + rnd.choice(["x", "", "yy"]) + t[k + 1 :] for t in titles[:60] for k in (rnd.randrange(len(t)),)] + ["z" * 70 + t + "e" * 200 for t in titles[:9]]
+    rows = [(f"u{i}", i, "hot.org", t) for i, t in enumerate(titles)]
+    seen = list(dedup.may_match(titles))
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    assert len(seen) == len(set(seen)) < 400 and {(i, j) for j in range(len(titles)) for i in range(j) if ratio(titles[j], titles[i]) >= 0.92} <= set(seen)
+    assert {(i, j) for i, j in seen if i < 100 <= j} == {(i, j + 100) for i, j in dedup.may_match(titles[:100], titles[100:])}
+    monkeypatch.setattr(dedup, "BLOCK_TITLES", 16)
+    df = spark.createDataFrame(rows, "canonical_url string, seq long, domain string, title string")
+    want = given_up(rows)
+    assert {r.canonical_url: r.kept_as for r in dedup.near_titles(df).collect()} == want and len(want) > 50
+
+
 def test_collapsed_candidates(spark):
     sf = "/root/testdata/sf0.01"
     found = dedup.by_url(vw.results(spark, sf)).select("canonical_url", "seq", "domain", "title", "sub_questions").collect()
