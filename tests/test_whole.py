@@ -105,6 +105,28 @@ def test_quotes_equal_brute_force(spark, monkeypatch):
     assert seen["exact"] > 40 and seen["fuzzy"] > 40
 
 
+def test_long_quotes_are_found_by_long_runs():
+    """From 200 characters on what matches falls into few stretches, so close windows share runs of eight characters, which other texts seldom hold."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("etaonihrsdlu" * 4 + "pqvxzkjéñ") for _ in range(rnd.randrange(2, 9))) for _ in range(80)]
+    seen = Counter()
+    for _ in range(120):
+        text = " ".join(rnd.choice(words) for _ in range(160))
+        n, start = rnd.choice([150, 199, 200, 230, 299, 300, 390]), rnd.randrange(300)
+        needle = quotes.matching_form(edited(rnd, text[start : start + n], rnd.choice([0, 1, n * 4 // 100, n * 8 // 100, n * 12 // 100])))
+        block = quotes.Quotes([0], [needle])
+        for s in range(0, len(text) - len(needle) + 1, 7):
+            m = difflib.SequenceMatcher(None, text[s : s + len(needle)], needle)
+            if m.ratio() >= 0.88:
+                assert len(m.get_matching_blocks()) - 1 <= quotes.stretches(needle)
+        found = block.found(quotes.matching_form(text))
+        want = classified(needle, text)
+        assert {k: (kind, at) for k, (kind, at) in found.items()} == ({0: want} if want else {})
+        seen[want and want[0], len(needle) >= 200] += 1
+        assert len(needle) < 200 or quotes.run_length(needle) == 8
+    assert seen["fuzzy", True] > 5 and seen["exact", True] > 2
+
+
 def test_quotes_typographic_short_and_odd(spark):
     docs = [(1, "He  said “don’t panic” and\n left"), (2, "under extraordinary\u00a0circumstances only"), (3, "The alphabetical beta versions gammarays deltawings epsilonics came"), (4, None), (5, ""), (6, "  \n Leading space, then said \"don't panic\" and left"), (6, "twice: said 'x'")]
     items = [(0, "said \"don't panic\" and left"), (1, "extraordinary circumstances"), (2, "alphabetical betaversions gammarayss deltawings epsilonics"), (3, "don't panic"), (4, None), (5, ""), (0, "under extraordinary")]
